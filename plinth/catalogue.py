@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from plinth.plans import curating, entities, retrieving, series, streams  # noqa: F401  they register on import
+from plinth.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

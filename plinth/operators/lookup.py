@@ -91,6 +91,10 @@ def _cut(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
+def _ordered(column: str, order) -> Column:
+    return F.transform(column, lambda x, i: F.struct(order(x).cast("long").alias("o"), i.alias("i"), x["name"].alias("n")))
+
+
 def context_bundle(states: DataFrame, guide_hits: DataFrame, stage_enemies: DataFrame, ranked: DataFrame, enemy_facts: DataFrame, operator_facts: DataFrame, guides: int = 3, recommended: int = 5, enemies: int = 3, operators: int = 3) -> DataFrame:
     """state_id, text, citations (ordered struct ord, kind, name, evidence), by state: guide hits, the stage's enemies, recommended operators, the most seen enemies and the cheapest
     operators at hand. A state without a stage has no stage parts; nothing found gives empty ones. states: state_id, stage_id, enemies array<struct<name, observed_count>>, cards
@@ -104,8 +108,7 @@ def context_bundle(states: DataFrame, guide_hits: DataFrame, stage_enemies: Data
     parts.append(top.select("state_id", line(2, F.col("rank"), F.col("operator"), F.format_string("%s %.2f", "operator", "score"), "inferred").alias("l")))
     for part, column, order, most, facts in ((3, "enemies", lambda x: -F.coalesce(x.observed_count, F.lit(0)), enemies, enemy_facts), (4, "cards", lambda x: F.coalesce(x.cost, F.lit(10**6)), operators, operator_facts)):
         # The few entries of a state are ordered inside its row.
-        keyed = F.transform(column, lambda x, i, order=order: F.struct(order(x).cast("long").alias("o"), i.alias("i"), x["name"].alias("n")))
-        first = states.select("state_id", F.posexplode(F.slice(F.array_sort(keyed), 1, most)).alias("ord", "x")).select("state_id", "ord", F.col("x.n").alias("name"))
+        first = states.select("state_id", F.posexplode(F.slice(F.array_sort(_ordered(column, order)), 1, most)).alias("ord", "x")).select("state_id", "ord", F.col("x.n").alias("name"))
         parts.append(first.join(facts.select("name", "text"), "name").select("state_id", line(part, F.col("ord"), F.col("name"), _cut(F.col("text"), 120), "fact").alias("l")))
     whole = parts[0]
     for p in parts[1:]:
