@@ -5,9 +5,9 @@ shorter lines are copies only if equal. A line goes if an earlier line (by doc_i
 Lines are compared without blanks at their ends; words are what single blanks separate. Blank lines always stay.
 
 1. Equal lines become one class at its first place (a partial aggregate runs before the shuffle, so a very common line costs a
-   row for each task).
-2. Only lines that share their first or last half with another class can be near copies: one edit leaves a half as it is. The
-   halves' hashes are counted, and only lines with a shared half go on.
+   row for each task). A class keeps hashes of its first and last halves, not its text.
+2. Only lines that share a half with another class can be near copies: one edit leaves a half as it is. The halves' hashes are
+   counted, and only lines with a shared half go on; their texts are fetched again from where they stand.
 3. Those emit their deletion neighbourhood: a key for each word left out (its place is part of the key when it may be replaced), and
    a key for the line itself. Keys are XORs of hashes of (place, word), so a line of n words costs n steps, not n squared.
 4. Equal keys are joined with the earliest line of the key; each such link is verified on the words, and links to the earliest
@@ -26,17 +26,23 @@ from plinth.llm.common import cut
 
 #: Words from which a line has near copies.
 MIN_WORDS = 8
+#: What a key stands for: a line with a word replaced, a line with a word left out, a line itself.
+SWAP, GAP, OWN = 0, 1, 2
 
 
-def _key(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+#: Rows of fetched places up to which they are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (the row's place, stable while the input is), doc_id and text."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, no and line of each line that isn't blank. row: the row's place, stable while the input is."""
-    # Numbered before lines are made of them: beside a generator in one select, the number would count lines.
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+    """row, doc_id, no and line of each line that isn't blank."""
+    # Numbered before lines are made of rows: beside a generator in one select, the number would count lines.
+    rows = numbered(docs).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     return rows.select("row", "doc_id", "no", F.trim(F.col("raw")).alias("line")).filter("line <> ''")
 
 
@@ -44,38 +50,59 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row", "no")
 
 
-def classes_of(lines: DataFrame) -> DataFrame:
-    """id (two hashes of a line) and first, the place of its first occurrence."""
-    return lines.select(F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b")).alias("id"), place().alias("at")).groupBy("id").agg(F.min("at").alias("first"))
+def halves(min_words: int) -> Column:
+    """Hashes of a line's first and last halves, empty for a short line. The longer line of a pair has n or n + 1 words, m; the halves are its first
+    m div 2 words and its other words, counted from the end. Three of the four lengths differ."""
+    n = "(length(line) - length(translate(line, ' ', '')) + 1)"
+    first = "xxhash64('first', {0}, substring_index(line, ' ', cast({0} as int)))"
+    last = "xxhash64('last', {0}, substring_index(line, ' ', -cast({0} as int)))"
+    low, high = f"({n} div 2)", f"(({n} + 1) div 2)"
+    both = f"if({n} % 2 = 0, array({first.format(low)}, {last.format(low)}, {last.format(f'({low} + 1)')}), array({first.format(low)}, {first.format(high)}, {last.format(high)}))"
+    return F.expr(f"if({n} >= {min_words}, {both}, cast(array() as array<bigint>))")
+
+
+def classes_of(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """a and b (two hashes of a line, which name its class), first (the place of its first occurrence) and halves."""
+    keyed = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"), place().alias("at"), halves(min_words).alias("halves"))
+    return keyed.groupBy("a", "b").agg(F.min("at").alias("first"), F.any_value("halves").alias("halves"))
 
 
-def near_copies(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id of each class of lines that an earlier near copy makes go."""
-    n = (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n")
-    # A class's line is taken at its first place, which orders the classes too.
-    whole = lines.select("line", n, place().alias("at")).filter(F.col("n") >= min_words)
-    ident = F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"))
-    m = F.explode(F.array("n", F.col("n") + 1))  # the words of the longer line of a pair
-    with_m = whole.select(ident.alias("id"), "line", "n", m.alias("m"))
-    first, last = F.expr("substring_index(line, ' ', cast(m div 2 as int))"), F.expr("substring_index(line, ' ', -cast(m - m div 2 as int))")
-    halves = with_m.select("id", F.explode(F.array(_key(F.lit("first"), F.col("m"), first), _key(F.lit("last"), F.col("m"), last))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("half")
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b, first of the classes that share a half with another one."""
+    one = classes.select("a", F.explode("halves").alias("half"))
+    shared = one.groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("half")
     # Written first: a join of two plain tables is one whose hot keys Spark can split.
-    shared = cut(shared)
-    some = cut(halves.join(shared, "half", "left_semi").select(F.col("id").alias("some_id")).distinct())
-    # One row for each class that has a shared half, with its line and first place.
-    chosen = whole.withColumn("id", ident).join(some, F.col("id") == F.col("some_id"), "left_semi").groupBy("id").agg(F.min("at").alias("at"), F.any_value("line").alias("line"))
-    chosen = cut(chosen)
-    keys = cut(_neighbourhood(chosen))
+    some = one.join(cut(shared), "half", "left_semi").select(F.col("a").alias("some")).distinct()
+    return classes.join(some, F.col("a") == F.col("some"), "left_semi").select("a", "b", "first")
+
+
+def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """a, b, first, line of places (a, b, first): each row's wanted lines are gathered, and only its text is split again."""
+    wanted = places.groupBy(F.col("first.row").alias("of")).agg(F.collect_list(F.struct("a", "b", "first")).alias("places"))
+    wanted = cut(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    got = numbered(docs).join(wanted, F.col("row") == F.col("of")).withColumn("lines", F.split("text", "\n", -1))
+    return got.select(F.explode(F.transform("places", lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), p.first.alias("first"), F.trim(F.get("lines", p.first.no)).alias("line")))).alias("p")).select("p.*")
+
+
+def near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a and b of each class of lines that an earlier near copy makes go."""
+    found = texts_at(docs, cut(candidates(classes)))
+    chosen = cut(found.select(F.struct("a", "b").alias("id"), F.col("first").alias("at"), F.split("line", " ").alias("w")))
+    keys = _neighbourhood(chosen)
+    # Keys of one class alone go first: what is left is small enough to carry places.
+    met = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
+    keys = cut(keys.join(cut(met), "key", "left_semi").join(chosen.select(F.col("id.a").alias("of"), "id", "at"), F.col("a") == F.col("of")).select("key", "kind", "spot", "id", "at"))
     # The earliest of a key: any member for replacements; the line itself against those with a word more, for deletions.
-    low = keys.groupBy("key").agg(F.min(F.when(F.col("kind") != "gap", F.struct("at", "id", "spot"))).alias("own"), F.min(F.when(F.col("kind") != "own", F.struct("at", "id", "spot"))).alias("any"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    low = cut(low)
-    links = keys.join(low, "key").withColumn("to", F.when(F.col("kind") == "own", F.col("any")).when(F.col("kind") == "gap", F.col("own")).otherwise(F.col("any")))
+    mine = F.struct("at", "id", "spot")
+    low = keys.groupBy("key").agg(F.min(F.when(F.col("kind") != GAP, mine)).alias("own"), F.min(F.when(F.col("kind") != OWN, mine)).alias("any"))
+    links = keys.join(cut(low), "key").withColumn("to", F.when(F.col("kind") == GAP, F.col("own")).otherwise(F.col("any")))
     links = links.filter("to is not null and to.at < at").select("id", "kind", "spot", F.col("to.id").alias("to_id"), F.col("to.spot").alias("to_spot"))
-    here, there = chosen.select("id", F.split("line", " ").alias("w")), chosen.select(F.col("id").alias("to_id"), F.split("line", " ").alias("v"))
-    same = F.when(F.col("kind") == "swap", _without("w", "spot") == _without("v", "spot")).when(F.col("kind") == "gap", _without("w", "spot") == F.col("v")).otherwise(F.col("w") == _without("v", "to_spot"))
-    # A swap keeps its place, so the words left out must be the same place of lines equally long.
-    return links.join(here, "id").join(there, "to_id").filter(same).select("id").distinct()
+    here, there = chosen.select("id", "w"), chosen.select(F.col("id").alias("to_id"), F.col("w").alias("v"))
+    # A replaced word stands at the same place of both lines, which its key holds.
+    same = F.when(F.col("kind") == SWAP, _without("w", "spot") == _without("v", "spot")).when(F.col("kind") == GAP, _without("w", "spot") == F.col("v")).otherwise(F.col("w") == _without("v", "to_spot"))
+    return links.join(here, "id").join(there, "to_id").filter(same).select("id.a", "id.b").distinct()
 
 
 def _without(words: str, spot: str) -> Column:
@@ -83,25 +110,25 @@ def _without(words: str, spot: str) -> Column:
 
 
 def _neighbourhood(chosen: DataFrame) -> DataFrame:
-    """key, kind (swap, gap or own), spot (the word left out), id, at."""
-    e = chosen.withColumn("w", F.split("line", " ")).drop("line").withColumn("n", F.size("w"))
+    """key, kind (SWAP, GAP or OWN), spot (the word left out), a (the class)."""
+    e = chosen.select(F.col("id.a").alias("a"), "w", F.size("w").alias("n"))
     e = e.withColumn("e", F.transform("w", lambda w, i: F.xxhash64(i, w))).withColumn("f", F.transform("w", lambda w, i: F.xxhash64(i - 1, w))).drop("w")
     # XORs of all places before each place: of words where they stand, and of words moved up by one.
     running = "aggregate({0}, named_struct('x', 0L, 'xs', array(0L)), (a, v) -> named_struct('x', a.x ^ v, 'xs', array_append(a.xs, a.x ^ v)), a -> a.xs)"
     e = e.withColumn("pe", F.expr(running.format("e"))).withColumn("pf", F.expr(running.format("f")))
     e = e.withColumn("te", F.expr("pe[n]")).withColumn("tf", F.expr("pf[n]"))
-    swap = F.expr("transform(e, (x, i) -> named_struct('key', xxhash64('swap', n, i, te ^ x), 'kind', 'swap', 'spot', i))")
-    gap = F.expr("transform(e, (x, i) -> named_struct('key', xxhash64('gap', n - 1, pe[i] ^ tf ^ pf[i + 1]), 'kind', 'gap', 'spot', i))")
-    own = F.expr("array(named_struct('key', xxhash64('gap', n, te), 'kind', 'own', 'spot', 0))")
-    return e.select("id", "at", F.explode(F.concat(swap, gap, own)).alias("k")).select("k.key", "k.kind", "k.spot", "id", "at")
+    swap = F.expr(f"transform(e, (x, i) -> named_struct('key', xxhash64('swap', n, i, te ^ x), 'kind', {SWAP}, 'spot', i))")
+    gap = F.expr(f"transform(e, (x, i) -> named_struct('key', xxhash64('gap', n - 1, pe[i] ^ tf ^ pf[i + 1]), 'kind', {GAP}, 'spot', i))")
+    own = F.expr(f"array(named_struct('key', xxhash64('gap', n, te), 'kind', {OWN}, 'spot', 0))")
+    return e.select("a", F.explode(F.concat(swap, gap, own)).alias("k")).select("k.key", "k.kind", "k.spot", "a")
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_of (row), _kept (numbers of its lines that stay, blank ones aside) and _near (lines, first of their kind, that a near copy makes go)."""
-    lines = lines_of(docs)
-    near = near_copies(lines, min_words).select(F.col("id").alias("near_id"), F.lit(True).alias("near"))
-    classes = classes_of(lines).join(near, F.col("id") == F.col("near_id"), "left")
-    return classes.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
+    classes = cut(classes_of(lines_of(docs), min_words))
+    near = near_copies(docs, classes).select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(True).alias("near"))
+    judged = classes.drop("halves").join(near, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left")
+    return judged.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
 
 
 #: Lines of a text, those that go taken out. A row without kept lines has none in kept_lines, or an empty list.
