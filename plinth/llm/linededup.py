@@ -51,19 +51,19 @@ def place() -> Column:
 
 
 def halves(min_words: int) -> Column:
-    """Hashes of a line's first and last halves, empty for a short line. The longer line of a pair has n or n + 1 words, m; the halves are its first
-    m div 2 words and its other words, counted from the end. Three of the four lengths differ."""
-    n = "(length(line) - length(translate(line, ' ', '')) + 1)"
-    first = "xxhash64('first', {0}, substring_index(line, ' ', cast({0} as int)))"
-    last = "xxhash64('last', {0}, substring_index(line, ' ', -cast({0} as int)))"
-    low, high = f"({n} div 2)", f"(({n} + 1) div 2)"
-    both = f"if({n} % 2 = 0, array({first.format(low)}, {last.format(low)}, {last.format(f'({low} + 1)')}), array({first.format(low)}, {first.format(high)}, {last.format(high)}))"
-    return F.expr(f"if({n} >= {min_words}, {both}, cast(array() as array<bigint>))")
+    """Hashes of the first and last halves of a line of n words, empty for a short line. The longer line of a pair has n or n + 1 words, m; the halves are
+    its first m div 2 words and its other words, counted from the end. Three of the four lengths differ."""
+    first = "xxhash64('first', {0}, substring_index(line, ' ', {0}))"
+    last = "xxhash64('last', {0}, substring_index(line, ' ', -({0})))"
+    low, high = "(n div 2)", "((n + 1) div 2)"
+    low, high = f"cast{low[:-1]} as int)", f"cast{high[:-1]} as int)"
+    return F.expr(f"if(n < {min_words}, cast(array() as array<bigint>), array({first.format(low)}, {last.format(high)}, if(n % 2 = 0, {last.format(low + ' + 1')}, {first.format(high)})))")
 
 
 def classes_of(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """a and b (two hashes of a line, which name its class), first (the place of its first occurrence) and halves."""
-    keyed = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"), place().alias("at"), halves(min_words).alias("halves"))
+    n = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n")
+    keyed = lines.select("*", n).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), F.col("line")).alias("b"), place().alias("at"), halves(min_words).alias("halves"))
     return keyed.groupBy("a", "b").agg(F.min("at").alias("first"), F.any_value("halves").alias("halves"))
 
 
