@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, groups
+from plinth.llm.common import column, groups, small
 
 #: Words of a window; hit words times SHARE reach the words of a contaminated document.
 WINDOW, SHARE = 13, 20
@@ -52,7 +52,7 @@ def powers(p: np.uint64, n: int) -> np.ndarray:
         x = np.full(max(n, 4096), p, np.uint64)
         x[0] = 1
         have = np.multiply.accumulate(x)
-        if n <= 4_000_000:
+        if n <= 1_000_000:
             _powers[int(p)] = have
     return have[:n]
 
@@ -208,7 +208,7 @@ def _pass(rows: DataFrame, block: Block | None) -> DataFrame:
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = column(b, "text")
             found = [x for s, e in groups(texts) for x in scan(texts[s:e], sent.value)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in found], kind), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
@@ -248,7 +248,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS)
     sent = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = column(b, "text")
             keep = []
             for s, e in groups(texts):

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column
+from plinth.llm.common import column, small
 
 MARK = "▁"
 #: Words that a worker remembers: two tables of this many, of which the older goes first.
-REMEMBERED = 250_000
-#: A word of more characters is not remembered.
-LONG_WORD = 100
+REMEMBERED = 100_000
+#: A word of more characters is not remembered; so many answers of the pair test are, before they are forgotten.
+LONG_WORD, PAIRS = 100, 400_000
 
 
 class Pieces:
@@ -114,7 +114,7 @@ class Pieces:
             if across is not None and (across > limit or across == limit and was_left is False):
                 result = False
                 break
-        if len(self.known) >= 4_000_000:
+        if len(self.known) >= PAIRS:
             self.known.clear()
         self.known[key] = result
         return result
@@ -258,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for b in batches:
+        for b in small(batches):
             ids = [encode(p, t) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
@@ -270,7 +270,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(p, x or []) for x in column(b, "ids")], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -281,7 +281,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for b in batches:
+        for b in small(batches):
             found = [digest(p, t) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

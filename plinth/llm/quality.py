@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, crc_mod, cut
+from plinth.llm.common import column, crc_mod, cut, small
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Shares go through log odds with this much added to both sides.
@@ -91,7 +91,7 @@ def featurize(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in column(b, "text")], pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
@@ -145,7 +145,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(features, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(np.array(column(b, "x")).reshape(-1, len(NAMES))), pa.float64())], ["doc_id", "score"])
 
     return features.mapInArrow(run, "doc_id long, score double").select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(featurize(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             x = np.array([statistics(t) for t in column(b, "text")]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= THRESHOLD))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column
+from plinth.llm.common import column, small
 
 KINDS = ("assign", "access", "hex", "random")
 #: The contract's patterns and least lengths.
@@ -106,7 +106,7 @@ def scan_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             counts, digests, spans = [[], [], [], []], [], []
             for t in column(b, "text"):
                 base = base_spans(t) if t else []
