@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, crc_mod
+from plinth.llm.common import column, crc_mod, small
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Bounds of what is learnt from: labelled rows, features, characters of a prefix, rows in which a feature must occur.
-SAMPLE, VOCABULARY, PREFIX, LEAST_ROWS = 20_000, 3_000, 5, 5
+#: Bounds of what is learnt from: labelled rows, features, characters of a prefix, rows in which a feature must occur, and its least G statistic.
+SAMPLE, VOCABULARY, PREFIX, LEAST_ROWS, LEAST_G = 20_000, 3_000, 5, 5, 12.0
 #: Weights of the counterfactual penalty and of the squared weights; steps of learning.
-PENALTY, L2, STEPS = 1.0, 1e-3, 300
+PENALTY, L2, STEPS = 1.0, 1e-4, 200
 #: Kinds of group names whose members can stand for each other (fixed values; a parameter of the operator).
 IDENTITY_TERMS = [
     ["women", "men", "girls", "boys"],
@@ -83,7 +83,7 @@ def choose_features(sample: DataFrame, terms: list[list[str]], most: int = VOCAB
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["feature", "y", "n"])
 
         c: Counter = Counter()
-        for b in batches:
+        for b in small(batches):
             for t, y in zip(column(b, "text"), column(b, "y"), strict=True):
                 c.update((f, y) for f in features(words(t)))
                 c[("", y)] += 1  # the rows of this label
@@ -105,7 +105,7 @@ def choose_features(sample: DataFrame, terms: list[list[str]], most: int = VOCAB
 
         n = F.col("a") + F.col("b")
         g = part(F.col("a"), n * pos / (pos + neg)) + part(F.col("b"), n * neg / (pos + neg)) + part(pos - F.col("a"), (pos + neg - n) * pos / (pos + neg)) + part(neg - F.col("b"), (pos + neg - n) * neg / (pos + neg))
-        rows = found.filter((n >= LEAST_ROWS) & (F.col("feature") != "")).select("feature", g.alias("g")).orderBy(F.col("g").desc(), "feature").limit(most).collect()
+        rows = found.filter((n >= LEAST_ROWS) & (F.col("feature") != "")).select("feature", g.alias("g")).filter(F.col("g") >= LEAST_G).orderBy(F.col("g").desc(), "feature").limit(most).collect()
     finally:
         found.unpersist()
     names = [r.feature for r in rows]
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: list[list[str]] | None = None
     kinds = {t: [x for x in kind if x != t] for kind in terms for t in kind}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at, swapped = [], []
             for t in column(b, "text"):
                 found = words(t)
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, terms: list[list[str]] | None = None
 
 
 def learn(names: list[str], rows: list[tuple[int, list[int], list[list[int]]]], penalty: float = PENALTY) -> Model:
-    """Accelerated gradient descent on the mean log loss, the penalty and the squared weights."""
+    """Minimises the mean log loss, the counterfactual penalty and the squared weights (bias aside): a convex function of a few thousand numbers."""
     y = np.array([r[0] for r in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     col = np.array([i for r in rows for i in r[1]], np.int64)
@@ -156,23 +156,48 @@ def learn(names: list[str], rows: list[tuple[int, list[int], list[list[int]]]],
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     # Half way between equal classes and the given shares: rare toxic rows count, and the bias stays honest.
     weight = 0.5 * weight + 0.5 / n
-    w, bias, step = np.zeros(d), 0.0, np.zeros(d)
-    seen_w, seen_b = np.zeros(d), 0.0
-    lr = 0.5
-    for t in range(1, STEPS + 1):
-        z = np.bincount(row, w[col], minlength=n) + bias
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(col, e[row], minlength=d) + L2 * w
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w = x[:d]
+        z = np.bincount(row, w[col], minlength=n) + x[d]
+        e = (0.5 * (1 + np.tanh(z / 2)) - y) * weight
+        g = np.append(np.bincount(col, e[row], minlength=d) + L2 * w, e.sum())
+        total = float((weight * (np.logaddexp(0, z) - y * z)).sum() + L2 / 2 * w @ w)
         if m:
             change = np.bincount(p_row, p_sign * w[p_col], minlength=m)
-            g += penalty * 2 / m * np.bincount(p_col, p_sign * change[p_row], minlength=d)
-        # Steps scaled by each feature's gradients so far, so rare features learn too.
-        seen_w, seen_b = 0.95 * seen_w + 0.05 * g * g, 0.95 * seen_b + 0.05 * e.sum() ** 2
-        rate = lr / math.sqrt(t)
-        step = 0.8 * step - 0.2 * g / (np.sqrt(seen_w) + 1e-8)
-        w = w + rate * step
-        bias -= rate * 0.5 * e.sum() / (math.sqrt(seen_b) + 1e-8)
-    return Model({f: i for i, f in enumerate(names)}, w, float(bias))
+            total += penalty / m * float(change @ change)
+            g[:d] += 2 * penalty / m * np.bincount(p_col, p_sign * change[p_row], minlength=d)
+        return total, g
+
+    x = descend(loss, np.zeros(d + 1))
+    return Model({f: i for i, f in enumerate(names)}, x[:d], float(x[d]))
+
+
+def descend(loss, x: np.ndarray, steps: int = STEPS, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with a halving line search."""
+    f, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        step, alphas = -g, []
+        for s, t, r in reversed(past):
+            alphas.append(a := r * (s @ step))
+            step = step - a * t
+        if past:
+            s, t, _ = past[-1]
+            step = step * ((s @ t) / (t @ t))
+        for (s, t, r), a in zip(past, reversed(alphas), strict=True):
+            step = step + (a - r * (t @ step)) * s
+        rate, slope = 1.0, float(g @ step)
+        while (new := loss(x + rate * step))[0] > f + 1e-4 * rate * slope and rate > 1e-8:
+            rate /= 2
+        s, t = rate * step, new[1] - g
+        done = f - new[0] < 1e-9
+        x, f, g = x + s, *new
+        if done or rate <= 1e-8:
+            break
+        if (st := float(s @ t)) > 1e-12:
+            past = [*past, (s, t, 1 / st)][-memory:]
+    return x
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, terms: list[list[str]] | None = None) -> DataFrame:
@@ -180,7 +205,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, terms: list[list[str]] |
     model = fit(docs, labels, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in column(b, "text")], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
