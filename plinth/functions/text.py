@@ -41,7 +41,7 @@ def words_with_names(text: Column, names: list[str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences with their end marks; empty ones are left out."""
-    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?<=[{SENTENCE_ENDS}])"), strip), lambda s: s != "")
 
 
 def strip(text: Column) -> Column:

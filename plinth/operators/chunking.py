@@ -100,7 +100,7 @@ def operator_sections(pages: DataFrame) -> DataFrame:
     for name, lines in (("trait", _pairs(F.col("trait"))), ("obtain", _pairs(F.col("obtain"))), ("attrs", growth)):
         out = out.unionByName(section(name, F.coalesce(lines, F.array().cast("array<string>"))))
     skill = pages.select("source", "name", F.explode("skills").alias("k"))
-    levels = F.transform("k.levels", lambda v: F.concat_ws(" ", F.concat(v.level, F.lit("：")), v.desc, F.when(F.coalesce(v.cost, F.lit("")) != "", F.concat(F.lit("消耗"), v.cost)), F.when(F.coalesce(v.duration, F.lit("")) != "", F.concat(F.lit("持续"), v.duration))))
+    levels = F.transform("k.levels", lambda v: F.concat_ws(" ", F.concat(v.level, F.lit("：")), v["desc"], F.when(F.coalesce(v.cost, F.lit("")) != "", F.concat(F.lit("消耗"), v.cost)), F.when(F.coalesce(v.duration, F.lit("")) != "", F.concat(F.lit("持续"), v.duration))))
     skills = skill.select("source", F.lit("operator").alias("type"), F.concat(F.lit("skill:"), F.col("k.name")).alias("section"), F.concat(F.array(F.concat_ws(" ", "k.name", "k.type")), levels).alias("paragraphs"), F.concat("name", F.lit(" "), "k.name", F.lit(" ")).alias("context"))
     return out.unionByName(skills).filter(F.size("paragraphs") > 0)
 
@@ -129,7 +129,7 @@ def guide_sections(guides: DataFrame) -> DataFrame:
 
 def operator_guides(pages: DataFrame, skills: int = 3) -> DataFrame:
     """title, text: a short guide with the first skills' first level."""
-    lines = F.transform(F.slice("skills", 1, skills), lambda k: F.concat_ws("：", k.name, F.try_element_at(k.levels, F.lit(1)).desc))
+    lines = F.transform(F.slice("skills", 1, skills), lambda k: F.concat_ws("：", k["name"], F.try_element_at(k.levels, F.lit(1))["desc"]))
     return pages.select(F.col("source").alias("title"), F.concat_ws("\n", "name", F.concat_ws(" ", "meta.class", "meta.branch"), F.array_join(_pairs(F.col("trait")), "\n"), F.array_join(lines, "\n")).alias("text"))
 
 

@@ -32,7 +32,7 @@ def _holds(text: Column, found: list[str]) -> Column:
 
 def operator_signals(pages: DataFrame) -> DataFrame:
     """name, class, branch, star, tags, skill_text and the four signals. pages: source, meta struct, skills array."""
-    texts = F.flatten(F.transform(F.coalesce("skills", F.array().cast(pages.schema["skills"].dataType)), lambda k: F.concat(F.array(F.coalesce(k.type, F.lit(""))), F.filter(F.transform(k.levels, lambda v: v.desc), lambda d: F.coalesce(d, F.lit("")) != ""))))
+    texts = F.flatten(F.transform(F.coalesce("skills", F.array().cast(pages.schema["skills"].dataType)), lambda k: F.concat(F.array(F.coalesce(k.type, F.lit(""))), F.filter(F.transform(k.levels, lambda v: v["desc"]), lambda d: F.coalesce(d, F.lit("")) != ""))))
     blob = F.array_join(texts, " ")
     kind = F.coalesce(F.col("meta.class"), F.lit(""))
     base = pages.select(F.col("source").alias("name"), kind.alias("class"), F.coalesce(F.col("meta.branch"), F.lit("")).alias("branch"), F.col("meta.star_rating").alias("star"), F.coalesce(F.col("meta.tag"), F.lit("")).alias("tags"), blob.alias("skill_text"))

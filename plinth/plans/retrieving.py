@@ -169,7 +169,7 @@ def embedded_topk(t: Tables) -> DataFrame:
 
 @query(r"""
 with s as (select doc_id, unnest(string_split(regexp_replace(text, '([。；！？?!\n])', '\1' || chr(1), 'g'), chr(1))) as s from documents)
-select doc_id, count(*)::bigint as n_sentences from s where trim(s, ' ') <> '' group by doc_id
+select doc_id, count(*)::bigint as n_sentences from s where regexp_matches(s, '\S') group by doc_id
 """)
 def sentence_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n_sentences")).filter("n_sentences > 0")

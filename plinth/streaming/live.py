@@ -1,7 +1,8 @@
 """Streams: latest frame, last frames, stabilised readings, no-op streaks, rewards, spawn presence, upserts.
 
 Stateful ones keep one small state a key (applyInPandasWithState): a number or a short list, never a history. Rows of a micro-batch are put in time order by the handler, since Spark keeps none inside
-a key. Timeouts end the state of keys that fall silent.
+a key. With silent_ms the state of keys that fall silent that long ends; such a query always has a next batch to run, so it suits unbounded streams, not
+availableNow.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LAST, LATE, SILENT_MS = 16, "10 minutes", 3_600_000
+LAST, LATE = 16, "10 minutes"
 
 
 def latest(frames: DataFrame, key: str = "user_id", ts: str = "ts", columns: list[str] | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def deduplicated(frames: DataFrame, key: str, ts: str = "ts", late: str = LATE)
     return frames.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def _stateful(rows: DataFrame, key: str, order: str, step: Callable, start: tuple, out: str, state: str) -> DataFrame:
+def _stateful(rows: DataFrame, key: str, order: str, step: Callable, start: tuple, out: str, state: str, silent_ms: int | None = None) -> DataFrame:
     """Folds each key's rows in time order; step(state, row) gives (state, output tuples). State carries over micro-batches."""
     names = [c.strip().split(" ")[0] for c in out.split(", ")]
 
@@ -40,17 +41,18 @@ def _stateful(rows: DataFrame, key: str, order: str, step: Callable, start: tupl
             now, got = step(now, r)
             found += [(*k, *x) for x in got]
         st.update(now)
-        st.setTimeoutDuration(SILENT_MS)
+        if silent_ms:
+            st.setTimeoutDuration(silent_ms)
         yield pd.DataFrame(found, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout)
 
 
 def _null(x) -> bool:
     return x is None or x != x
 
 
-def stabilised(readings: DataFrame, jump: int = 10, low: float = 0.4) -> DataFrame:
+def stabilised(readings: DataFrame, jump: int = 10, low: float = 0.4, silent_ms: int | None = None) -> DataFrame:
     """The stream twin of timeline.stabilise. readings: series_id long, ts, value, confidence, ord (orders the rows). State: the last reading."""
 
     def step(state, r):
@@ -60,20 +62,20 @@ def stabilised(readings: DataFrame, jump: int = 10, low: float = 0.4) -> DataFra
         odd = known and (r.value < last or r.value - last > jump)
         return (int(r.value), True), [(int(r.ord), int(r.value), "uncertain" if odd else "ok", min(float(r.confidence), low) if odd else float(r.confidence))]
 
-    return _stateful(readings, "series_id", "ord", step, (0, False), "series_id long, ord long, value long, status string, confidence double", "last long, known boolean")
+    return _stateful(readings, "series_id", "ord", step, (0, False), "series_id long, ord long, value long, status string, confidence double", "last long, known boolean", silent_ms)
 
 
-def streaks(steps: DataFrame, threshold: int = 3) -> DataFrame:
+def streaks(steps: DataFrame, threshold: int = 3, silent_ms: int | None = None) -> DataFrame:
     """The stream twin of episodes.noop_streaks. steps: series_id long, ord, kept. State: the streak."""
 
     def step(state, r):
         n = 0 if r.kept > 0 else state[0] + 1
         return (n,), [(int(r.ord), n, n >= threshold)]
 
-    return _stateful(steps, "series_id", "ord", step, (0,), "series_id long, ord long, streak long, flagged boolean", "n long")
+    return _stateful(steps, "series_id", "ord", step, (0,), "series_id long, ord long, streak long, flagged boolean", "n long", silent_ms)
 
 
-def reward_stream(observations: DataFrame, leak: float = 10.0, overcost: float = 1.0) -> DataFrame:
+def reward_stream(observations: DataFrame, leak: float = 10.0, overcost: float = 1.0, silent_ms: int | None = None) -> DataFrame:
     """The stream twin of episodes.reward_items. observations: episode_id long, step, life, cost, cost_limit, dt_sec. State: the last life."""
 
     def step(state, r):
@@ -87,20 +89,20 @@ def reward_stream(observations: DataFrame, leak: float = 10.0, overcost: float =
             out.append((int(r.step), "overcost", round(-overcost * r.dt_sec, 3)))
         return (last, known), out
 
-    return _stateful(observations, "episode_id", "step", step, (0, False), "episode_id long, step long, name string, delta double", "last long, known boolean")
+    return _stateful(observations, "episode_id", "step", step, (0, False), "episode_id long, step long, name string, delta double", "last long, known boolean", silent_ms)
 
 
-def last_frames(frames: DataFrame, size: int = LAST) -> DataFrame:
+def last_frames(frames: DataFrame, size: int = LAST, silent_ms: int | None = None) -> DataFrame:
     """series_id, ord, recent: after each row the last `size` rows' ords, oldest first. State: that list. frames: series_id long, ord."""
 
     def step(state, r):
         recent = [*state[0], int(r.ord)][-size:]
         return (recent,), [(int(r.ord), recent)]
 
-    return _stateful(frames, "series_id", "ord", step, ([],), "series_id long, ord long, recent array<long>", "recent array<long>")
+    return _stateful(frames, "series_id", "ord", step, ([],), "series_id long, ord long, recent array<long>", "recent array<long>", silent_ms)
 
 
-def presence_stream(states: DataFrame, plan: DataFrame) -> DataFrame:
+def presence_stream(states: DataFrame, plan: DataFrame, silent_ms: int | None = None) -> DataFrame:
     """series_id, ord, enemy, count, source after each state: entries expected by then, cv once a detection confirmed the enemy (it sticks). A static join gives each row its stage's plan as one array; State: the confirmed names.
     states: series_id long, stage_id, ord, elapsed, seen (array of names); plan: stage_id, expected_sec, enemy, count, source."""
     per = plan.groupBy("stage_id").agg(F.collect_list(F.struct("expected_sec", "enemy", "count", "source")).alias("plan"))
@@ -116,7 +118,7 @@ def presence_stream(states: DataFrame, plan: DataFrame) -> DataFrame:
                 have[1] = e["source"]
         return (sure,), [(int(r.ord), k, n, "cv" if k in sure else s) for k, (n, s) in sorted(counts.items())]
 
-    return _stateful(joined, "series_id", "ord", step, ([],), "series_id long, ord long, enemy string, count long, source string", "sure array<string>")
+    return _stateful(joined, "series_id", "ord", step, ([],), "series_id long, ord long, enemy string, count long, source string", "sure array<string>", silent_ms)
 
 
 def fan_out(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
