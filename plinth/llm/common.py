@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(docs: DataFrame, from_files: bool) -> DataFrame:
+    """docs, such that numbering its rows twice gives the same numbers. Tables read straight from files are so by themselves (from_files); what
+    joins and repartitions make can come in another order each time, so it is written first."""
+    return docs if from_files else cut(docs)
+
+
 def groups(texts: list[str | None], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts with about limit characters each, so that work arrays stay small whatever a batch holds."""
     a, n = 0, 0

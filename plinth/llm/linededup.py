@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut
+from plinth.llm.common import cut, settled
 
 #: Words from which a line has near copies.
 MIN_WORDS = 8
@@ -135,8 +135,9 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 _STAYS = "filter(split(cast(text as string), '\\n', -1), (l, i) -> trim(l) = '' or coalesce(array_contains(_kept, i), false))"
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, all rows and columns, with the lines that go taken out of text (and n_chars, where it stands, set anew)."""
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, from_files: bool = False) -> DataFrame:
+    """docs, all rows and columns, with the lines that go taken out of text (and n_chars, where it stands, set anew). from_files: see settled."""
+    docs = settled(docs, from_files)
     keyed = docs.withColumn("_row", F.monotonically_increasing_id()).join(kept_lines(docs, min_words), F.col("_row") == F.col("_of"), "left")
     out = keyed.withColumn("text", F.expr(f"array_join({_STAYS}, '\\n')").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
@@ -144,8 +145,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, from_files: bool = False) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, n_near and kept_sha256 (of the text that stays; null text: of the empty one) for each row of docs."""
+    docs = settled(docs, from_files)
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(kept_lines(docs, min_words), F.col("_row") == F.col("_of"), "left")
     n = F.expr("coalesce(size(filter(split(text, '\\n', -1), l -> trim(l) <> '')), 0)")
     kept = F.coalesce(F.expr(f"array_join({_STAYS}, '\\n')"), F.lit(""))

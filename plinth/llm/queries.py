@@ -35,7 +35,7 @@ def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
-    return decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("hits")
+    return decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), from_files=True).drop("hits")
 
 
 def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return linededup.line_report(table(spark, d, "documents"))
+    return linededup.line_report(table(spark, d, "documents"), from_files=True)
 
 
 def pipeline(spark: SparkSession, d: str) -> DataFrame:

@@ -357,11 +357,12 @@ def test_line_dedup_beyond_the_broadcast(spark, monkeypatch):
     assert got == brute_lines(docs)
 
 
-def test_pipeline_stages(spark, small):
+def test_pipeline_stages(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = {r.doc_id: r.text for r in docs.collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in sorted(kept.items())], DOCS), small)
+        spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in sorted(kept.items())], DOCS).write.parquet(f"{tmp_path}/{k}")
+        out = stage(spark, spark.read.parquet(f"{tmp_path}/{k}"), small)
         rows = out.collect()
         if name == "quality":
             score = {r.doc_id: r.predicted for r in queries()["op1_quality"](spark, small).collect()}
