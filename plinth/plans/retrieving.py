@@ -147,13 +147,13 @@ def hybrid_fallback(t: Tables) -> DataFrame:
 @query(f"""
 with hits as ({_BM25.format(where="", k=5)}),
 h as (select query_id, min(rank) as hit_rank from hits join documents d on d.doc_id = ord join benchmark b on b.item_id = query_id where contains(d.text, left(b.text, 40)) group by query_id)
-select item_id as query_id, hit_rank is not null as hit, hit_rank from benchmark left join h on query_id = item_id
+select item_id as query_id, hit_rank is not null as hit, coalesce(hit_rank, -1) as hit_rank from benchmark left join h on query_id = item_id
 """)
 def retrieval_hit_at_k(t: Tables) -> DataFrame:
     """Whether the documents found for an item hold its first 40 characters: one predicate over the table of all queries."""
     hits = retrieval.bm25(chunks(t), asked(t), 5).join(chunks(t).select("ord", "text"), "ord").join(asked(t), "query_id")
     found = hits.filter(F.contains("text", F.substring("query", 1, 40))).groupBy("query_id").agg(F.min("rank").alias("hit_rank"))
-    return asked(t).select("query_id").join(found, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), "hit_rank")
+    return asked(t).select("query_id").join(found, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), F.coalesce("hit_rank", F.lit(-1)).alias("hit_rank"))
 
 
 @query()

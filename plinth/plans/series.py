@@ -109,14 +109,14 @@ pt as (select user_id, event_id as chart_id, epoch_us(ts) / 1e6 - 1704067200 as
 with {_ALIGN},
 j as (select chart_id, t, ord, (a + b) / 2 as mid, t between a and b as inside from pt left join seg using (user_id)),
 r as (select *, row_number() over (partition by chart_id order by not coalesce(inside, false), abs(t - mid), ord) as r from j)
-select chart_id, case when inside or abs(t - mid) <= 600 then ord end as segment, round(t - mid, 3) as delta, coalesce(inside or abs(t - mid) <= 600, false) as matched from r where r = 1
+select chart_id, case when inside or abs(t - mid) <= 600 then ord else -1 end as segment, coalesce(round(t - mid, 3), 0) as delta, coalesce(inside or abs(t - mid) <= 600, false) as matched from r where r = 1
 """)
 def nearest_interval_align(t: Tables) -> DataFrame:
     """Clicks of a user against that user's views as intervals [ts, ts + value]."""
     at = seconds()
     segs = video.segments(t.events.filter("event_type = 'view'").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("ord"), at.alias("start"), (at + F.col("value")).alias("end"), F.col("event_id").cast("string").alias("text")))
     charts = t.events.filter("event_type = 'click'").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("chart_id"), at.alias("t"))
-    return video.align(charts, segs, 600.0).select("chart_id", F.col("speech").cast("long").alias("segment"), "delta", "matched")
+    return video.align(charts, segs, 600.0).select("chart_id", F.coalesce(F.col("speech").cast("long"), F.lit(-1)).alias("segment"), F.coalesce("delta", F.lit(0.0)).alias("delta"), "matched")
 
 
 @query(f"""
@@ -259,9 +259,10 @@ def ledger_totals(t: Tables) -> DataFrame:
 
 @query("""
 with p as (select l_suppkey as metric, avg(l_extendedprice) filter (where l_linenumber <= 3) as b, avg(l_extendedprice) filter (where l_linenumber > 3) as a from lineitem group by 1)
-select metric, round((a - b) / b * 100, 1) as change_pct, case when (a - b) / b > 0.1 then 'REGRESSION' when (a - b) / b < -0.1 then 'IMPROVED' else 'OK' end as status from p where a > 0 and b > 0
+select metric, round((a - b) / b * 100, 1) + 0.0 as change_pct, case when (a - b) / b > 0.1 then 'REGRESSION' when (a - b) / b < -0.1 then 'IMPROVED' else 'OK' end as status from p where a > 0 and b > 0
 """)
 def perf_regression(t: Tables) -> DataFrame:
     early = F.col("l_linenumber") <= 3
     p = t.lineitem.groupBy(F.col("l_suppkey").alias("metric")).agg(F.avg(F.when(early, F.col("l_extendedprice"))).alias("baseline_ms"), F.avg(F.when(~early, F.col("l_extendedprice"))).alias("actual_ms"))
-    return ranking.regressions(p)
+    # Adding zero turns -0.0 into 0.0.
+    return ranking.regressions(p).withColumn("change_pct", F.col("change_pct") + 0.0)
