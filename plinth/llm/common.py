@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settled(docs: DataFrame, from_files: bool) -> DataFrame:
-    """docs, such that numbering its rows twice gives the same numbers. Tables read straight from files are so by themselves (from_files); what
-    joins and repartitions make can come in another order each time, so it is written first."""
-    return docs if from_files else cut(docs)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and _row, a number of each row. Numbers and rows are written together, once, and only read afterwards: numbering a scan again gives
+    other numbers when its files are split otherwise, as happens when executors come or go."""
+    checkpoint_dir(spark := docs.sparkSession)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    if any(x in docs.schema.simpleString() for x in ("void", "interval")):  # Parquet can't hold these types
+        return cut(rows)
+    rows.write.option("compression", "zstd").parquet(path := f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}")
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def groups(texts: list[str | None], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:

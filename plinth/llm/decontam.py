@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, groups, settled, small
+from plinth.llm.common import column, groups, numbered, small
 
 #: Words of a window; hit words times SHARE reach the words of a contaminated document.
 WINDOW, SHARE = 13, 20
@@ -216,12 +216,16 @@ def _pass(rows: DataFrame, block: Block | None) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n_words long, hits array<struct<s:int,e:int>>, items array<string>")
 
 
-def hit_spans(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS, from_files: bool = False) -> DataFrame:
+def hit_spans(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of docs: row, doc_id, n_words, hits (disjoint ranges of word numbers) and items (sorted, distinct)."""
     blocks = [block_of(x) for x in blocks_of(items, most_words)] or [None]
-    if len(blocks) > 1:  # rows of several passes are put together by their numbers
-        docs = settled(docs, from_files)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Rows of several passes are put together by their numbers.
+    keyed = numbered(docs.select("doc_id", "text")) if len(blocks) > 1 else docs.withColumn("_row", F.monotonically_increasing_id())
+    return _spans_of(keyed, blocks)
+
+
+def _spans_of(keyed: DataFrame, blocks: list[Block | None]) -> DataFrame:
+    rows = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passes = [_pass(rows, b) for b in blocks]
     if len(passes) == 1:
         return passes[0]
@@ -234,19 +238,18 @@ def hit_spans(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS,
     return whole.withColumn("hits", F.expr(f"aggregate(h, cast(array() as array<struct<s:int,e:int>>), (acc, x) -> {step})")).select("row", "doc_id", "n_words", "hits", "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, from_files: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hits for each row of docs."""
-    found = hit_spans(docs, items, from_files=from_files).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
+    found = hit_spans(docs, items).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"), "hits")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS, from_files: bool = False) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
     blocks = [block_of(x) for x in blocks_of(items, most_words)]
     if len(blocks) > 1:  # hits of several passes count together
-        docs = settled(docs, from_files)
-        keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-        spans = hit_spans(docs, items, most_words, True).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
+        keyed = numbered(docs)
+        spans = _spans_of(keyed, blocks).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
         bad = spans.filter((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("row").alias("_row"))
         return keyed.join(bad, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     sent = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else None)

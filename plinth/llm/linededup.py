@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, settled
+from plinth.llm.common import cut, numbered
 
 #: Words from which a line has near copies.
 MIN_WORDS = 8
@@ -34,15 +34,14 @@ SWAP, GAP, OWN = 0, 1, 2
 BROADCAST_ROWS = 500_000
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """row (the row's place, stable while the input is), doc_id and text."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def plain(rows: DataFrame) -> DataFrame:
+    """row, doc_id and text of numbered rows."""
+    return rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """row, doc_id, no and line of each line that isn't blank."""
-    # Numbered before lines are made of rows: beside a generator in one select, the number would count lines.
-    rows = numbered(docs).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+def lines_of(rows: DataFrame) -> DataFrame:
+    """row, doc_id, no and line of each line that isn't blank. rows: numbered."""
+    rows = plain(rows).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     return rows.select("row", "doc_id", "no", F.trim(F.col("raw")).alias("line")).filter("line <> ''")
 
 
@@ -76,19 +75,19 @@ def candidates(classes: DataFrame) -> DataFrame:
     return classes.join(some, F.col("a") == F.col("some"), "left_semi").select("a", "b", "first")
 
 
-def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+def texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     """a, b, first, line of places (a, b, first): each row's wanted lines are gathered, and only its text is split again."""
     wanted = places.groupBy(F.col("first.row").alias("of")).agg(F.collect_list(F.struct("a", "b", "first")).alias("places"))
     wanted = cut(wanted)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    got = numbered(docs).join(wanted, F.col("row") == F.col("of")).withColumn("lines", F.split("text", "\n", -1))
+    got = plain(rows).join(wanted, F.col("row") == F.col("of")).withColumn("lines", F.split("text", "\n", -1))
     return got.select(F.explode(F.transform("places", lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), p.first.alias("first"), F.trim(F.get("lines", p.first.no)).alias("line")))).alias("p")).select("p.*")
 
 
-def near_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_copies(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a and b of each class of lines that an earlier near copy makes go."""
-    found = texts_at(docs, cut(candidates(classes)))
+    found = texts_at(rows, cut(candidates(classes)))
     chosen = cut(found.select(F.struct("a", "b").alias("id"), F.col("first").alias("at"), F.split("line", " ").alias("w")))
     keys = _neighbourhood(chosen)
     # Keys of one class alone go first: what is left is small enough to carry places.
@@ -123,10 +122,10 @@ def _neighbourhood(chosen: DataFrame) -> DataFrame:
     return e.select("a", F.explode(F.concat(swap, gap, own)).alias("k")).select("k.key", "k.kind", "k.spot", "a")
 
 
-def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_of (row), _kept (numbers of its lines that stay, blank ones aside) and _near (lines, first of their kind, that a near copy makes go)."""
-    classes = cut(classes_of(lines_of(docs), min_words))
-    near = near_copies(docs, classes).select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(True).alias("near"))
+def kept_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_of (row), _kept (numbers of its lines that stay, blank ones aside) and _near (lines, first of their kind, that a near copy makes go). rows: numbered."""
+    classes = cut(classes_of(lines_of(rows), min_words))
+    near = near_copies(rows, classes).select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(True).alias("near"))
     judged = classes.drop("halves").join(near, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left")
     return judged.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
 
@@ -135,20 +134,20 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 _STAYS = "filter(split(cast(text as string), '\\n', -1), (l, i) -> trim(l) = '' or coalesce(array_contains(_kept, i), false))"
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, from_files: bool = False) -> DataFrame:
-    """docs, all rows and columns, with the lines that go taken out of text (and n_chars, where it stands, set anew). from_files: see settled."""
-    docs = settled(docs, from_files)
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id()).join(kept_lines(docs, min_words), F.col("_row") == F.col("_of"), "left")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, all rows and columns, with the lines that go taken out of text (and n_chars, where it stands, set anew)."""
+    rows = numbered(docs)
+    keyed = rows.join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left")
     out = keyed.withColumn("text", F.expr(f"array_join({_STAYS}, '\\n')").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS, from_files: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, n_near and kept_sha256 (of the text that stays; null text: of the empty one) for each row of docs."""
-    docs = settled(docs, from_files)
-    keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(kept_lines(docs, min_words), F.col("_row") == F.col("_of"), "left")
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    keyed = rows.join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left")
     n = F.expr("coalesce(size(filter(split(text, '\\n', -1), l -> trim(l) <> '')), 0)")
     kept = F.coalesce(F.expr(f"array_join({_STAYS}, '\\n')"), F.lit(""))
     return keyed.select("doc_id", n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

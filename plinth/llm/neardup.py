@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, cut, settled, small
+from plinth.llm.common import column, cut, numbered, small
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Classes of a bucket before it is split, and the members of an index node.
@@ -257,10 +257,9 @@ def _dealt(buckets: DataFrame) -> DataFrame:
     return buckets.repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, from_files: bool = False) -> DataFrame:
-    """docs, all columns, with one row of each component: that of the smallest doc_id stays. from_files: see settled."""
-    docs = settled(docs, from_files)
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id stays."""
+    keyed = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
