@@ -11,7 +11,7 @@ each query that it can't rule out, so a query gets k rows from each range of can
 
 Defined results: vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows with a null vec_id;
 vectors of fewer components than the longest are filled up with zeros; vec_id names a row: rows that share the query's are its own;
-equal scores go to the smaller vec_id; fewer candidates than k give as many rows as there are. Other columns are never read.
+exact repeats (vec_id and x) count once, rows of one id with other vectors are candidates each; a repeated query id asks with its least vector; equal scores go to the smaller vec_id; fewer candidates than k give as many rows as there are. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -103,17 +103,19 @@ def best(ids: np.ndarray, x: np.ndarray, norms: np.ndarray, queries, k: int, axe
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. rows and queries: vec_id, x (array of long), norm (see quantised)."""
     spark = rows.sparkSession
+    rows = rows.dropDuplicates(["vec_id", "x"])
     rows = cut(rows.repartitionByRange(F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc()))
     d = rows.agg(F.max(F.size("x"))).first()[0] or 1
     axes, head = rotation(rows, d)
-    seed = _matrix([r.x for r in rows.orderBy(F.col("norm").desc(), "vec_id").limit(BLOCK).select("x").collect()], d)
+    longest = rows.orderBy(F.col("norm").desc(), "vec_id").limit(BLOCK).select("vec_id", "x").collect()
+    seed_ids, seed = np.array([r.vec_id for r in longest], np.int64), _matrix([r.x for r in longest], d)
     parts = []
     for block in _query_blocks(queries):
         q_ids, q = np.array([r.vec_id for r in block]), _matrix([r.x for r in block], d)
-        # The k + 1 best of the longest candidates (one may be the query's own row) bound the k-th score from below.
+        # The k best of the longest candidates, the query's own rows aside, bound the k-th score from below.
         floor = np.full(len(q), -(1 << 62))
-        if len(seed) > k:
-            floor = np.partition(q @ seed.T, -(k + 1), axis=1)[:, -(k + 1)]
+        if len(seed) >= k:
+            floor = np.partition(np.where(q_ids[:, None] == seed_ids, -(1 << 62), q @ seed.T), -k, axis=1)[:, -k]
         sent = spark.sparkContext.broadcast((q_ids, q, floor))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -128,13 +130,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     for p in parts[1:]:
         whole = whole.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return whole.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return whole.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[list]:
     """The queries in blocks of QUERY_BLOCK, streamed to the driver; repeated ids once."""
     block = []
-    for r in queries.dropDuplicates(["vec_id"]).select("vec_id", "x").toLocalIterator():
+    for r in queries.groupBy("vec_id").agg(F.min("x").alias("x")).toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             yield block

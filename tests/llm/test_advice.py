@@ -3,10 +3,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from plinth.llm import decontam, setdup
+from plinth.llm import decontam, setdup, topk
 from plinth.llm.queries import op10_line_dedup
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -78,3 +79,14 @@ def test_near_duplicates_stage_equals_brute_force(spark, monkeypatch, tile):
 def test_near_duplicates_stage_on_a_table(spark, small):
     docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()} == brute_sets([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize("copies", [2, 6])
+def test_top_k_of_repeated_rows(spark, copies):
+    x = np.random.default_rng(9).normal(size=(120, 8))
+    x[50] *= 20  # a long query vector
+    fit = np.floor(256 * x).astype(int)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * copies
+    got = sorted(map(tuple, topk.every_fiftieth(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)).collect()))
+    want = [(q, k + 1, c, -s) for q in (0, 50, 100) for k, (s, c) in enumerate(sorted((-int(fit[q] @ fit[c]), c) for c in range(120) if c != q)[:5])]
+    assert got == want
