@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once; a longer text makes a group of its own.
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set, a folder of our own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints: the cluster's spark.checkpoint.dir. Only a local session without one gets a folder of its own; a cluster needs a shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,15 +36,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs can clash with one of ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df, written as compressed Parquet to the checkpoint folder and read from there."""
+    if any(x in df.schema.simpleString() for x in ("void", "interval")):  # Parquet can't hold these types
+        return cut(df)
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs and _row, a number of each row. Numbers and rows are written together, once, and only read afterwards: numbering a scan again gives
-    other numbers when its files are split otherwise, as happens when executors come or go."""
-    checkpoint_dir(spark := docs.sparkSession)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    if any(x in docs.schema.simpleString() for x in ("void", "interval")):  # Parquet can't hold these types
-        return cut(rows)
-    rows.write.option("compression", "zstd").parquet(path := f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}")
-    return spark.read.schema(rows.schema).parquet(path)
+    """_row (a number of each row) and doc (the row as a struct). Numbers and rows are written together, once, and only read afterwards: numbering
+    a scan again gives other numbers when its files are split otherwise, as happens when executors come or go."""
+    return written(docs.select(F.monotonically_increasing_id().alias("_row"), whole(docs).alias("doc")))
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """_row, doc_id and text of numbered rows."""
+    return rows.select("_row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
 
 
 def groups(texts: list[str | None], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:

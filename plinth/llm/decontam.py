@@ -6,12 +6,13 @@ has the same smallest hash on both sides, so joining the kept hashes finds every
 shortest window, k + w - 1 = t: nothing is missed. Document windows with a hit are extended to the items' windows and
 compared by the hash of the whole window, then word by word.
 
-The fingerprints of the benchmark are gathered in blocks of at most BLOCK_WORDS words and sent to the tasks, a block for a pass over the
-documents: a benchmark of any size works, and what is sent at once is bounded.
+A benchmark of at most BLOCK_WORDS words and BLOCK_BYTES bytes (Spark counts both first) is sent to the tasks, and one pass over the documents does
+all. A larger one stays in Spark: its kept hashes are joined with those of the documents, and the windows around hits with its windows, as texts.
 
 Defined results: null and empty texts, and texts without words, have no words and no hits; items without words have no
 window; equal items, and items with equal windows, count each by its own item_id; a null item_id makes hits but is in no list; repeated
-documents get a row each; no benchmark means no hits. Other columns pass through keep_clean untouched.
+documents get a row each; no benchmark means no hits; no documents give no rows; texts of any length are scanned whole. Other columns pass through
+keep_clean untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, groups, numbered, small
+from plinth.llm.common import column, cut, groups, numbered, plain, small
 
 #: Words of a window; hit words times SHARE reach the words of a contaminated document.
 WINDOW, SHARE = 13, 20
-#: Words of benchmark that one pass sends to each task: about 40 MB of hashes.
-BLOCK_WORDS = 2_000_000
+#: The largest benchmark that is sent to the tasks; its hashes, word lists and window tables take some 300 MB a task at these bounds.
+BLOCK_WORDS, BLOCK_BYTES = 500_000, 8 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -189,53 +190,108 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def blocks_of(items: DataFrame, most_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in groups of at most most_words words (an item of more makes its own), streamed to the driver."""
-    got, n = [], 0
-    for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        k = len((r.text or "").split())
-        if got and n + k > most_words:
-            yield got
-            got, n = [], 0
-        got.append((r.item_id, r.text))
-        n += k
-    if got:
-        yield got
+def size_of(items: DataFrame) -> tuple[int, int, int]:
+    """Words (as this operator splits them) and bytes of all items, and words of the shortest item that has any (0: none has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            n = [len(words_of((t or "").encode("utf-8", "surrogatepass").translate(_LOWER))[0]) for t in column(b, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in column(b, "text")], pa.int64())], ["n", "bytes"])
+
+    r = items.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n long, bytes long").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("least")).first()
+    return r.n or 0, r.bytes or 0, r.least or 0
+
+
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def _pass(rows: DataFrame, block: Block | None) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(block)
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             texts = column(b, "text")
             found = [x for s, e in groups(texts) for x in scan(texts[s:e], sent.value)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in found], kind), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in found], _SPANS), pa.array([x[2] for x in found], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
 
     return rows.mapInArrow(run, "row long, doc_id long, n_words long, hits array<struct<s:int,e:int>>, items array<string>")
 
 
+def _joined(rows: DataFrame, items: DataFrame, least: int, window: int = WINDOW) -> DataFrame:
+    """What _pass gives, for a benchmark of any size. rows: _row, doc_id, text."""
+    shortest = min(window, least)
+    k = (shortest + 1) // 2
+    w = shortest - k + 1
+
+    def split(t: str | None):
+        raw = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+        return raw, *words_of(raw)
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """item, n, kept (hashes) and windows (texts) of each item."""
+        for b in small(batches, 32):
+            out = []
+            for t in column(b, "text"):
+                raw, a, e = split(t)
+                n = min(window, len(a))
+                kept = np.unique(window_minima(gram_hashes(word_hashes(raw, a, e), k), w)).view(np.int64).tolist() if n else []
+                x = [raw[i:j] for i, j in zip(a.tolist(), e.tolist(), strict=True)]
+                out.append((n, kept, sorted({b" ".join(x[i : i + n]) for i in range(len(x) - n + 1)}) if n else []))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.binary()))], ["item", "n", "kept", "windows"])
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, n_words and kept hashes of each document."""
+        for b in small(batches, 32):
+            out = []
+            for t in column(b, "text"):
+                raw, a, e = split(t)
+                out.append((len(a), np.unique(window_minima(gram_hashes(word_hashes(raw, a, e), k), w)).view(np.int64).tolist() if len(a) >= shortest else []))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["row", "doc_id", "n_words", "kept"])
+
+    marks = cut(items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(of_items, "item string, n int, kept array<long>, windows array<binary>").filter("n > 0"))
+    lengths = [r.n for r in marks.select("n").distinct().collect()]  # window lengths: 13 at most
+    seen = cut(rows.mapInArrow(of_docs, "row long, doc_id long, n_words long, kept array<long>"))
+    known = cut(marks.select(F.explode("kept").alias("h")).distinct())
+    near = seen.select("row", F.explode("kept").alias("h")).join(known, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("known"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, s, n, window: the windows that begin at a k-gram minimum which the benchmark has."""
+        for b in small(batches, 32):
+            out = []
+            for row, t, have in zip(column(b, "_row"), column(b, "text"), column(b, "known"), strict=True):
+                raw, a, e = split(t)
+                minima = window_minima(gram_hashes(word_hashes(raw, a, e), k), w)
+                at = np.flatnonzero(contains(np.sort(np.array(have, np.int64).view(np.uint64)), minima)).tolist()
+                x = [raw[i:j] for i, j in zip(a.tolist(), e.tolist(), strict=True)]
+                out += [(row, i, n, b" ".join(x[i : i + n])) for n in lengths for i in at if i + n <= len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["row", "s", "n", "window"])
+
+    found = cut(rows.join(near, F.col("_row") == F.col("row")).select("_row", "text", "known").mapInArrow(extend, "row long, s int, n int, window binary"))
+    windows = cut(marks.select("item", "n", F.explode("windows").alias("window")))
+    # Windows are matched first without their items, so that one which many items share makes no more rows than places.
+    hit = cut(found.join(cut(windows.select("n", "window").distinct()), ["n", "window"], "left_semi"))
+    spans = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("h"))
+    named = hit.select("row", "n", "window").distinct().join(windows, ["n", "window"]).filter("item is not null").select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    step = "case when size(acc) > 0 and element_at(acc, -1).e >= x.s then concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))) else concat(acc, array(x)) end"
+    spans = spans.select("row", F.expr(f"aggregate(h, cast(array() as array<struct<s:int,e:int>>), (acc, x) -> {step})").alias("hits"))
+    none, nobody = F.expr("cast(array() as array<struct<s:int,e:int>>)"), F.expr("cast(array() as array<string>)")
+    return seen.drop("kept").join(spans, "row", "left").join(named, "row", "left").select("row", "doc_id", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", nobody).alias("items"))
+
+
+def _block_if_small(items: DataFrame, most_words: int) -> tuple[bool, Block | None, int]:
+    """Whether the benchmark may be sent to the tasks, then its fingerprints, and the words of its shortest item."""
+    n, size, least = size_of(items)
+    if n > most_words or size > BLOCK_BYTES:
+        return False, None, least
+    return True, block_of([tuple(r) for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()]), least
+
+
 def hit_spans(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of docs: row, doc_id, n_words, hits (disjoint ranges of word numbers) and items (sorted, distinct)."""
-    blocks = [block_of(x) for x in blocks_of(items, most_words)] or [None]
-    # Rows of several passes are put together by their numbers.
-    keyed = numbered(docs.select("doc_id", "text")) if len(blocks) > 1 else docs.withColumn("_row", F.monotonically_increasing_id())
-    return _spans_of(keyed, blocks)
-
-
-def _spans_of(keyed: DataFrame, blocks: list[Block | None]) -> DataFrame:
-    rows = keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = [_pass(rows, b) for b in blocks]
-    if len(passes) == 1:
-        return passes[0]
-    whole = passes[0]
-    for p in passes[1:]:
-        whole = whole.unionByName(p)
-    # A row has one entry for each pass; ranges of different passes can overlap, so they are merged in order.
-    whole = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    step = "case when size(acc) > 0 and element_at(acc, -1).e >= x.s then concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))) else concat(acc, array(x)) end"
-    return whole.withColumn("hits", F.expr(f"aggregate(h, cast(array() as array<struct<s:int,e:int>>), (acc, x) -> {step})")).select("row", "doc_id", "n_words", "hits", "items")
+    sent, block, least = _block_if_small(items, most_words)
+    if not sent:
+        return _joined(plain(numbered(docs.select("doc_id", "text"))), items, least)
+    return _pass(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), block)
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -246,13 +302,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    blocks = [block_of(x) for x in blocks_of(items, most_words)]
-    if len(blocks) > 1:  # hits of several passes count together
-        keyed = numbered(docs)
-        spans = _spans_of(keyed, blocks).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
-        bad = spans.filter((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("row").alias("_row"))
-        return keyed.join(bad, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    sent = docs.sparkSession.sparkContext.broadcast(blocks[0] if blocks else None)
+    small_enough, block, least = _block_if_small(items, most_words)
+    if not small_enough:
+        rows = numbered(docs)
+        spans = _joined(plain(rows), items, least).withColumn("n_hit", F.expr("aggregate(hits, 0L, (n, x) -> n + x.e - x.s)"))
+        bad = spans.filter((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select("row")
+        return rows.join(bad, F.col("_row") == F.col("row"), "left_anti").select("doc.*")
+    sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):

@@ -14,7 +14,8 @@ Lines are compared without blanks at their ends; words are what single blanks se
    suffice, so no key ever makes pairs of its lines.
 
 Defined results: null texts stay null, empty texts stay; texts whose lines all go become empty; repeated rows keep their first row's lines;
-a null doc_id comes after all others; other columns pass through dedup_lines untouched, whatever their names.
+a null doc_id comes after all others; an empty table gives no rows; texts and lines of any length are taken whole; other columns pass
+through dedup_lines untouched, whatever their names, for a row travels as one struct.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, numbered
+from plinth.llm.common import cut, numbered, plain
 
 #: Words from which a line has near copies.
 MIN_WORDS = 8
@@ -30,18 +31,13 @@ MIN_WORDS = 8
 SWAP, GAP, OWN = 0, 1, 2
 
 
-#: Rows of fetched places up to which they are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def plain(rows: DataFrame) -> DataFrame:
-    """row, doc_id and text of numbered rows."""
-    return rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+#: Bytes of fetched places up to which they are broadcast; beyond, they are joined by a shuffle. A place takes PLACE_BYTES, a row of places as much again.
+BROADCAST_BYTES, PLACE_BYTES = 64 << 20, 72
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
     """row, doc_id, no and line of each line that isn't blank. rows: numbered."""
-    rows = plain(rows).select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+    rows = plain(rows).select(F.col("_row").alias("row"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
     return rows.select("row", "doc_id", "no", F.trim(F.col("raw")).alias("line")).filter("line <> ''")
 
 
@@ -79,9 +75,9 @@ def texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     """a, b, first, line of places (a, b, first): each row's wanted lines are gathered, and only its text is split again."""
     wanted = places.groupBy(F.col("first.row").alias("of")).agg(F.collect_list(F.struct("a", "b", "first")).alias("places"))
     wanted = cut(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
+    if (wanted.agg(F.sum(F.size("places") + 1)).first()[0] or 0) * PLACE_BYTES <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    got = plain(rows).join(wanted, F.col("row") == F.col("of")).withColumn("lines", F.split("text", "\n", -1))
+    got = plain(rows).join(wanted, F.col("_row") == F.col("of")).withColumn("lines", F.split("text", "\n", -1))
     return got.select(F.explode(F.transform("places", lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), p.first.alias("first"), F.trim(F.get("lines", p.first.no)).alias("line")))).alias("p")).select("p.*")
 
 
@@ -130,24 +126,25 @@ def kept_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return judged.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
 
 
-#: Lines of a text, those that go taken out. A row without kept lines has none in kept_lines, or an empty list.
-_STAYS = "filter(split(cast(text as string), '\\n', -1), (l, i) -> trim(l) = '' or coalesce(array_contains(_kept, i), false))"
+def _stays(text: str) -> str:
+    """Lines of a text, those that go taken out. A row without kept lines has none in kept_lines, or an empty list."""
+    return f"array_join(filter(split(cast({text} as string), '\\n', -1), (l, i) -> trim(l) = '' or coalesce(array_contains(_kept, i), false)), '\\n')"
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, all rows and columns, with the lines that go taken out of text (and n_chars, where it stands, set anew)."""
     rows = numbered(docs)
-    keyed = rows.join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left")
-    out = keyed.withColumn("text", F.expr(f"array_join({_STAYS}, '\\n')").cast(docs.schema["text"].dataType))
+    keyed = rows.join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left").withColumn("_left", F.expr(_stays("doc.text")))
+    doc = F.col("doc").withField("text", F.col("_left").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        doc = doc.withField("n_chars", F.length("_left").cast(docs.schema["n_chars"].dataType))
+    return keyed.select(doc.alias("doc")).select("doc.*")
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, n_near and kept_sha256 (of the text that stays; null text: of the empty one) for each row of docs."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    keyed = rows.join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left")
-    n = F.expr("coalesce(size(filter(split(text, '\\n', -1), l -> trim(l) <> '')), 0)")
-    kept = F.coalesce(F.expr(f"array_join({_STAYS}, '\\n')"), F.lit(""))
+    rows = numbered(docs.select("doc_id", "text"))
+    keyed = plain(rows).join(kept_lines(rows, min_words), F.col("_row") == F.col("_of"), "left")
+    n = F.expr("coalesce(size(filter(split(text, '\n', -1), l -> trim(l) <> '')), 0)")
+    kept = F.coalesce(F.expr(_stays("text")), F.lit(""))
     return keyed.select("doc_id", n.cast("long").alias("n_lines"), (n - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -14,7 +14,8 @@ Fingerprints that differ in few bits are found without comparing all pairs:
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; fewer words than a
 shingle make one shingle of all words; repeated rows get a row each; a row with a null doc_id gets its fingerprint's component and never names one, unless no
-row of the component has an id (then null). Whole texts count, repeats included. Other columns are never read.
+row of the component has an id (then null). Whole texts count, repeats included; an empty table gives no rows. Other columns are never read,
+whatever their names. keep_one (in setdup) uses the same index at a wide radius to find what is similar by whole shingle sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, cut, numbered, small
+from plinth.llm.common import column, cut, small
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Classes of a bucket before it is split, and the members of an index node.
@@ -220,20 +221,21 @@ def _split(rows: DataFrame, keep: list[str], most: int) -> tuple[DataFrame, Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node that it reaches) for each node with an edge. edges: src, dst.
+    """node, root (the smallest node that it reaches) for each node with an edge. edges: src, dst of any type with an order.
 
     Alternates large-star (a node's larger neighbours move to its smallest neighbour) and small-star (its smaller ones do)
-    until a pass changes nothing; passes grow with the logarithm of the longest chain."""
+    until a pass changes nothing; passes grow with the logarithm of the longest chain. Each node's smallest neighbour is written before it is
+    joined: a join of two plain tables is one that Spark can split when a hub holds most edges."""
     pairs = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     last = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(small_low, F.col("u") == F.col("k"))
-        small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        pairs = cut(small)
+        lowest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+        large = cut(both.filter("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        joined = large.join(lowest, F.col("u") == F.col("k"))  # after large-star the hubs are on the other side
+        stars = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        pairs = cut(stars)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -241,35 +243,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs."""
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) for each row of docs.
+
+    A class is named by its smallest id (one without ids by its fingerprint, after all others), so a component's smallest node is
+    its component_id, and no join on the component is needed."""
     rows = cut(fingerprints(docs, shingle))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    edges = bucket_links(_dealt(into_buckets(classes.select("fp"), radius)), radius)
-    roots = components(edges)
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    # A class outside every link is its own root; only linked ones need the smallest id of several classes.
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = named.join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
-    return rows.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    name = F.struct(F.min("doc_id").isNull().alias("none"), F.coalesce(F.min("doc_id"), F.col("fp")).alias("id"))
+    classes = cut(rows.groupBy("fp").agg(name.alias("name")))
+    edges = cut(bucket_links(_dealt(into_buckets(classes.select("fp"), radius)), radius).distinct())
+    of = lambda x: classes.select(F.col("fp").alias(f"{x}_fp"), F.col("name").alias(f"{x}_name"))
+    named = edges.join(of("src"), F.col("src") == F.col("src_fp")).join(of("dst"), F.col("dst") == F.col("dst_fp")).select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+    found = classes.join(components(named), F.col("name") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "name").alias("root"))
+    out = rows.join(cut(found), F.col("fp") == F.col("of"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(~F.col("root.none"), F.col("root.id")).alias("component_id"))
 
 
 def _dealt(buckets: DataFrame) -> DataFrame:
     return buckets.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns, with one row of each component: that of the smallest doc_id stays."""
-    keyed = numbered(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            fp = np.array([fingerprint(t, shingle) for t in column(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "doc_id", "fp"])
-
-    rows = cut(keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "_row long, doc_id long, fp long"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    classes = cut(rows.groupBy("fp").agg(first))
-    roots = components(bucket_links(_dealt(into_buckets(classes.select("fp"), radius)), radius))
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_stay"))
-    return keyed.join(stay, F.col("_row") == F.col("_stay"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

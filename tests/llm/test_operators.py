@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from plinth.llm import decontam, linededup, neardup, pieces, quality, secrets, sharding, topk, toxicity, urlfilter
+from plinth.llm import decontam, linededup, neardup, pieces, quality, secrets, setdup, sharding, topk, toxicity, urlfilter
 from plinth.llm.queries import oracle_sql, piece_model, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,7 +58,7 @@ def test_awkward_rows(spark, tables, which):
         assert {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.fingerprint for r in rows if r.doc_id in (1, 2, 3)} == {"0" * 16}
     rows = linededup.line_report(docs).collect()
     assert len(rows) == n
-    for out in (quality.keep_good(docs, labels), linededup.dedup_lines(docs), neardup.keep_one(docs), decontam.keep_clean(docs, items)):
+    for out in (quality.keep_good(docs, labels), linededup.dedup_lines(docs), setdup.keep_one(docs), decontam.keep_clean(docs, items)):
         assert out.columns == docs.columns
         out.collect()
 
@@ -191,7 +191,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 60])
+@pytest.mark.parametrize("block", [500_000, 60])
 def test_decontamination_equals_brute_force(spark, texts, block):
     rng = random.Random(2)
     vocabulary = ["a", "b", "c", "D", "é9"]
@@ -351,7 +351,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
     docs = [(1, "a b c d e f g h\nx"), (2, "a b c d e f g z"), (3, "a b c d e f g h i"), (4, "q b c d e f g h j")]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_lines(docs)
