@@ -61,6 +61,16 @@ def plain(rows: DataFrame) -> DataFrame:
     return rows.select("_row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
 
 
+#: Row numbers up to which a set of rows is broadcast (some 32 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def picked(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose _row is among ids (one column, distinct), or with left_anti the others. A small set of ids spares the rows a shuffle."""
+    ids = cut(ids.toDF("of"))
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("_row") == F.col("of"), how)
+
+
 def groups(texts: list[str | None], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts with about limit characters each, so that work arrays stay small whatever a batch holds."""
     a, n = 0, 0
