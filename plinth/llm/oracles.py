@@ -67,3 +67,37 @@ kept as (
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_near, 0)::bigint as n_near, sha256(coalesce(kept.text, '')) as kept_sha256
 from documents d left join per using (doc_id) left join kept using (doc_id)
 """
+
+#: The three levels one after another: each group's counts on top of its parent's posterior mean, with a strength fitted by moments.
+URL_FILTER = r"""
+with u as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+    coalesce(regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z])(adult|ads|bets|casino|pills|spam)([^a-z]|$)'), false) as word,
+    regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', ' ', 'g'), '&[a-z]+;', '&', 'g') as t from pages),
+o as (
+  select *, length(regexp_replace(t, '[ \t\n\r\f]', '', 'g')) as ink, length(regexp_replace(t, '[^&%$#*|!{}]', '', 'g')) as odd from u),
+p as (
+  select page_id, host, path, (word or ink = 0 or odd >= 0.08::double * ink)::int as bad,
+    case when regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix from o),
+q as (
+  select *, case when regexp_matches(host, '^[0-9.:\[\]]+$') then host else array_to_string(string_split(host, '.')[-(len(string_split(suffix, '.')) + 1):], '.') end as domain from p),
+h as (select host, domain, suffix, sum(bad)::double as k, count(*)::double as n from q group by all),
+d as (select domain, suffix, sum(k) as k, sum(n) as n from h group by all),
+x as (select suffix, sum(k) as k, sum(n) as n, (sum(sum(k)) over () + 0.5) / (sum(sum(n)) over () + 1) as mean from d group by suffix),
+xs as (select least(1000, greatest(1, 1 / greatest(coalesce(sum(n * (k / n - mean) ** 2 - mean * (1 - mean)) filter (n > 1) / nullif(sum((n - 1) * mean * (1 - mean)) filter (n > 1), 0), 0), 1e-9) - 1)) as s from x),
+d2 as (select d.*, (x.mean * s + x.k) / (s + x.n) as mean from d join x using (suffix), xs),
+ds as (select least(1000, greatest(1, 1 / greatest(coalesce(sum(n * (k / n - mean) ** 2 - mean * (1 - mean)) filter (n > 1) / nullif(sum((n - 1) * mean * (1 - mean)) filter (n > 1), 0), 0), 1e-9) - 1)) as s from d2),
+h2 as (select h.*, (d2.mean * s + d2.k) / (s + d2.n) as mean from h join d2 using (domain, suffix), ds),
+hs as (select least(1000, greatest(1, 1 / greatest(coalesce(sum(n * (k / n - mean) ** 2 - mean * (1 - mean)) filter (n > 1) / nullif(sum((n - 1) * mean * (1 - mean)) filter (n > 1), 0), 0), 1e-9) - 1)) as s from h2),
+post as (select host, (mean * s + k) / (s + n) as m, s + n as total from h2, hs),
+r as (
+  select page_id, host, path, m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.5 as bad,
+    case when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+  from q join post using (host))
+select page_id, host, path, rule, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' when bad then 'block' else 'allow' end as verdict from r
+"""

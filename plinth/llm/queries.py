@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import decontam, linededup, neardup, pieces, quality, secrets, sharding, topk, toxicity, urlfilter
 from plinth.llm.common import table
-from plinth.llm.oracles import DECONTAMINATION, LINE_DEDUP, TOP_K
+from plinth.llm.oracles import DECONTAMINATION, LINE_DEDUP, TOP_K, URL_FILTER
 
 
 def piece_model() -> str:
@@ -31,7 +31,7 @@ def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    return urlfilter.judge(pages, urlfilter.page_outcomes(pages))
+    return urlfilter.judge(pages, urlfilter.page_outcomes(pages)).drop("bad_rate", "bad_rate_low")
 
 
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Only for what SQL can say over whole tables: hashes by word, learnt models, random permutations and byte-pair merges are tested against
     brute force in tests/llm instead."""
-    return {"op5_decontamination": DECONTAMINATION, "op8_topk": TOP_K, "op10_line_dedup": LINE_DEDUP}
+    return {"op4_url_filter": URL_FILTER, "op5_decontamination": DECONTAMINATION, "op8_topk": TOP_K, "op10_line_dedup": LINE_DEDUP}

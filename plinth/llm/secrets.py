@@ -2,12 +2,13 @@
 
 A tokenizer that learned from ordinary text needs few tokens for words and many for random characters. Runs of key-like
 characters with few characters a token (a tiktoken vocabulary counts) are reported as kind `random`, after runs that
-are known to be harmless are taken out: digests of standard lengths in hex, UUIDs, numbers and dates, addresses and paths,
-and runs with too few kinds of characters. Base spans are always kept as they are.
+are known to be harmless are taken out: digests of standard lengths in hex of either case, UUIDs, numbers and dates,
+and runs with too few kinds of characters. A run is counted part by part between its slashes, so a path passes if its names read like words and
+a key with slashes doesn't. Base spans are always kept as they are; a random run inside one is reported too.
 
 Defined results: null and empty texts have no spans; repeated rows get a row each; spans are in code points, end
 exclusive, ordered by start and then by kind in the order of KINDS; an empty list is the empty text, and has its digest.
-Whole texts are searched, whatever their length.
+Whole texts are searched, whatever their length; an empty table gives no rows; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Runs that the token test looks at: their least length, most characters a token, least bits a character.
-RUN_LEAST, CHARS_A_TOKEN, BITS = 20, 2.0, 3.0
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}")
+RUN_LEAST, CHARS_A_TOKEN, BITS = 16, 2.0, 3.0
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{RUN_LEAST},}}={{0,2}}")
 #: Known digests (MD5, SHA-1, SHA-224 to SHA-512) and identifiers (UUIDs, numbers and dates).
-KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)")
+KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+)")
 
-_LOOK = bytes.maketrans(bytes(range(256)), bytes(0x78 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_=-") else 0x20 for c in range(256)))
+_LOOK = bytes.maketrans(bytes(range(256)), bytes(0x78 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 0x20 for c in range(256)))
 _HEXES = bytes.maketrans(bytes(range(256)), bytes(0x78 if c in b"0123456789abcdef" else 0x20 for c in range(256)))
 _NAMES = (b"passw", b"secret", b"token", b"key")
 
@@ -74,9 +75,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def path_like(text: str, start: int, run: str) -> bool:
-    """Whether the run is a path of short names, or part of an address."""
-    return "/" in run and max(map(len, run.split("/"))) < RUN_LEAST and (run[0] == "/" or text[start - 1 : start] in (".", '"', "'"))
+def reads_like_words(run: str, path: str) -> bool:
+    """Whether the parts between slashes have CHARS_A_TOKEN characters a token together. Long parts are counted piece by piece: the ratio needs no
+    token across a cut."""
+    parts = [x[i : i + 1000] for x in run.rstrip("=").split("/") for i in range(0, len(x), 1000)]
+    return sum(map(len, parts)) >= CHARS_A_TOKEN * sum(len(vocabulary(path).encode_ordinary(x)) for x in parts)
 
 
 def random_spans(text: str, path: str) -> list[tuple[int, int, int]]:
@@ -85,14 +88,12 @@ def random_spans(text: str, path: str) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if KNOWN.fullmatch(run) or path_like(text, m.start(), run):
+        if KNOWN.fullmatch(run) or text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha():  # the rest of a word in other letters
             continue
         n = Counter(run)
         if -sum(c / len(run) * math.log2(c / len(run)) for c in n.values()) < BITS:
             continue
-        # Long runs are counted piece by piece: the ratio needs no token across a cut.
-        tokens = sum(len(vocabulary(path).encode_ordinary(run[i : i + 1000])) for i in range(0, len(run), 1000))
-        if len(run) < CHARS_A_TOKEN * tokens:
+        if not reads_like_words(run, path):
             found.append((m.start(), 3, m.end()))
     return found
 

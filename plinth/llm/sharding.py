@@ -1,31 +1,41 @@
 """Uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows lie in cells. The matrix says how many rows of each cell go to each block of the output; it is drawn as the
-multivariate hypergeometric law that a uniform permutation has, with the blocks' sizes fixed beforehand. Each cell
-then permutes its rows and deals them out by its matrix row, and each block permutes what it gets: together a
-uniform permutation with exact sizes. A shard is a run of consecutive blocks, so that no task holds a whole shard.
+Rows are written once, and the partitions of that writing are the matrix's rows; its columns are blocks of the output, with sizes fixed beforehand.
+The matrix says how many rows go from each partition to each block, by the multivariate hypergeometric law that a uniform permutation has. It is
+never drawn whole: the partitions are halved again and again, each halving draws how many rows of each block fall to the left half, from a seed of
+its own. So a task finds its partition's row of the matrix in a logarithmic number of draws, the same whenever it is run again, and the driver holds
+no more than the number of rows of each partition.
 
-Law `rows`: shard sizes differ by one at most. Cells are dealt by a row's place in its input partition, never by a
-key, so neither repeated rows nor equal ids make one cell large. The places are written to the checkpoint folder
-first; later stages read them there, so a lost executor can't change them.
+Each partition permutes its rows and deals them out by its row of the matrix, the rows move to their blocks once, and each block permutes what it gets:
+together a uniform permutation with exact sizes. A shard is a run of consecutive blocks, so no task holds a whole shard.
 
-Defined results: a null text has no bytes (size 16, crc32 0); null or repeated ids get a row each; an empty table
-gives no rows; with fewer rows than shards some shards are empty. Ties of the random key fall to the row's place.
+Law `rows`: shard sizes differ by one at most. Rows are dealt by their place alone, never by a key, so repeated rows or equal ids make no
+block large. Places are read from the checkpoint folder, so a lost executor can't change them.
+
+Defined results: a null text has no bytes (size 16, crc32 0); null or repeated ids get a row each; an empty table gives no rows; with fewer rows than
+shards some shards are empty; ties of the random key fall to the row's place; texts of any length and all other columns move with their
+row, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from plinth.llm.common import cut
+from plinth.llm.common import numbered
 
 SHARDS, ROW_BYTES = 40, 16
-#: Bounds of the matrix: it has MAX_CELLS * shards * MAX_BLOCKS cells at most, about 2.6 MB for 40 shards.
-MIN_CELLS, MAX_CELLS, MAX_BLOCKS = 64, 512, 16
-#: Rows for which one cell, and one block, is planned before the bounds hold.
-CELL_ROWS, BLOCK_ROWS = 250_000, 1_000_000
+#: Rows of a block, which one task sorts.
+BLOCK_ROWS = 50_000
+#: numpy draws from fewer things than this at once; beyond, hypergeometric does.
+NUMPY_MOST = 1_000_000_000
+#: A place holds its partition above these bits and the row's number there in them.
+PLACE_BITS = 33
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -46,48 +56,88 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     return a + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
 
 
-def communication_matrix(cells: list[int], sizes: list[int], seed: int) -> np.ndarray:
-    """Row c: of cell c's rows, how many go to each block; row sums are cells, column sums are sizes."""
-    rng, left = np.random.default_rng(seed), np.array(sizes, dtype=np.int64)
-    out = np.zeros((len(cells), len(sizes)), dtype=np.int64)
-    for c, n in enumerate(cells):
-        rest = int(left.sum())
-        for s in range(len(sizes)):
-            have = int(left[s])
-            out[c, s] = take = hypergeometric(rng, have, rest - have, n)
-            n -= take
-            rest -= have
-            if not n:
-                break
-        left -= out[c]
+def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of n rows fall to each block, of which left[b] places are free."""
+    total = int(left.sum())
+    if total < NUMPY_MOST:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    out = np.zeros(len(left), np.int64)
+    for b, free in enumerate(left.tolist()):
+        total -= free
+        out[b] = take = hypergeometric(rng, free, total, n)
+        n -= take
     return out
 
 
+def matrix_row(partition: int, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Of one partition's rows, how many go to each block. starts: rows before each partition, and all rows last; sizes: of the blocks."""
+    a, b, free = 0, len(starts) - 1, sizes
+    while b - a > 1:
+        mid = (a + b) // 2
+        first = draw(np.random.default_rng((seed, a, b)), free, int(starts[mid] - starts[a]))
+        if partition < mid:
+            b, free = mid, first
+        else:
+            a, free = mid, free - first
+    return free
+
+
+def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
+    """All rows of the matrix; row sums are counts, column sums are sizes."""
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return np.array([matrix_row(c, starts, np.array(sizes, np.int64), seed) for c in range(len(counts))])
+
+
 def exact_sizes(n: int, parts: int) -> list[int]:
     return [n // parts + (i < n % parts) for i in range(parts)]
 
 
+def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc (the whole row, a struct), shard and slot for each row of docs. A block is one shuffle key, and its rows are in slot order."""
+    rows = numbered(docs).withColumnRenamed("_row", "place")
+    seen = {r.p: r.n for r in rows.groupBy(F.shiftright("place", PLACE_BITS).alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each written partition
+    ids = np.array(sorted(seen), np.int64)
+    starts = np.concatenate([[0], np.cumsum([seen[p] for p in ids.tolist()])]).astype(np.int64)
+    n = int(starts[-1])
+    blocks = max(1, -(-n // (shards * block_rows)))
+    sizes = np.array([size for whole in exact_sizes(n, shards) for size in exact_sizes(whole, blocks)], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((ids, starts, sizes))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts, sizes = sent.value
+        dealt: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            part, at = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
+            block = np.zeros(len(place), np.int32)
+            for p in np.unique(part).tolist():
+                if p not in dealt:
+                    c = int(np.searchsorted(ids, p))
+                    # The partition's rows, permuted: the row at a place goes to this block.
+                    goes = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(c, starts, sizes, seed))
+                    dealt = {p: np.random.default_rng((seed, c)).permutation(goes)}
+                mine = part == p
+                block[mine] = dealt[p][at[mine]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "block"])
+
+    kind = StructType([*rows.schema.fields, StructField("block", IntegerType())])
+    within = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "place"), "place")
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    offset = [int(before[b] - before[b - b % blocks]) for b in range(len(sizes))]
+    placed = rows.mapInArrow(deal, kind).withColumn("slot", F.row_number().over(within) - 1)
+    if blocks > 1:
+        first = docs.sparkSession.createDataFrame(list(enumerate(offset)), "of int, first long")  # a number for each block
+        placed = placed.join(F.broadcast(first), F.col("block") == F.col("of")).withColumn("slot", F.col("slot") + F.col("first"))
+    return placed.select("doc", F.floor(F.col("block") / blocks).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 42) -> None:
+    """Writes the documents, whole, as a folder for each shard; slot gives the order in it."""
+    shard_documents(docs, shards, seed).write.partitionBy("shard").parquet(path)
+
+
 def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) for each row of docs."""
-    spark = docs.sparkSession
-    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = cut(docs.select(F.col("doc_id").cast("long"), (F.octet_length(raw) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("place")))
-    n = rows.count()
-    cells = max(MIN_CELLS, min(MAX_CELLS, n // CELL_ROWS))
-    blocks = max(1, min(MAX_BLOCKS, -(-n // (shards * BLOCK_ROWS))))
-    # The place has its partition in the high bits and the row's number there in the low ones.
-    cell = F.pmod(F.shiftright("place", 33) * 31 + F.col("place").bitwiseAND((1 << 33) - 1), F.lit(cells)).cast("int")
-    rows = rows.withColumn("cell", cell)
-    counts = {r.cell: r["count"] for r in rows.groupBy("cell").count().collect()}  # MAX_CELLS rows at most
-    fine = [size for whole in exact_sizes(n, shards) for size in exact_sizes(whole, blocks)]
-    starts = [0]
-    for i, size in enumerate(fine):
-        starts.append(0 if (i + 1) % blocks == 0 else starts[-1] + size)
-    matrix = communication_matrix([counts.get(c, 0) for c in range(cells)], fine, seed).cumsum(1)
-    dealt = spark.createDataFrame([(c, m.tolist()) for c, m in enumerate(matrix)], "to_cell int, ends array<long>")
-    first = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "place"), "place")
-    second = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), F.lit(2), "place"), "place")
-    placed = rows.withColumn("rank", (F.row_number().over(first) - 1).cast("long")).join(F.broadcast(dealt), F.col("cell") == F.col("to_cell"))
-    placed = placed.withColumn("block", F.expr("cast(size(filter(ends, e -> e <= rank)) as int)"))
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts[:-1]]), F.col("block") + 1)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.floor(F.col("block") / blocks)).cast("int").alias("shard"), (offset + F.row_number().over(second) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law) of each sharded row."""
+    raw = F.coalesce(F.col("doc.text").cast("binary"), F.lit(b""))
+    placed = shard_documents(docs, shards, seed)
+    return placed.select(F.col("doc.doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

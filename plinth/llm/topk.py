@@ -6,8 +6,9 @@ axes plus the product of the two remainders' lengths bounds the score from above
 query's current k-th score is dropped, and as lengths descend, a whole block is dropped once length times length is below it. What is left
 is scored with exact integers.
 
-The queries are a stated set. They are taken in blocks of QUERY_BLOCK, which bounds what is sent to the tasks; each task returns its k best for
-each query that it can't rule out, so a query gets k rows from each range of candidates at most.
+The queries are a stated set. Nothing of them passes through the driver: candidates are dealt in ranges of PART rows, queries in blocks of
+QUERY_BLOCK, and each pair of a range and a block meets in one group, which bounds what a task holds. A group returns the k best for each
+query that it can't rule out. The driver sees d * d sums, and the BLOCK longest rows, whose k best bound each query's k-th score from below.
 
 Defined results: vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows with a null vec_id;
 vectors of fewer components than the longest are filled up with zeros; vec_id names a row: rows that share the query's are its own;
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import column, cut
 
 K, SCALE, EVERY = 5, 256, 50
-#: Queries of one pass; candidates of one bound test.
-QUERY_BLOCK, BLOCK = 4096, 1024
+#: Queries and candidates of one group; candidates of one bound test.
+QUERY_BLOCK, PART, BLOCK = 4096, 32_768, 1024
 #: Part of the squared length that the first axes must hold.
 HEAD = 0.7
 
@@ -103,48 +104,39 @@ def best(ids: np.ndarray, x: np.ndarray, norms: np.ndarray, queries, k: int, axe
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score. rows and queries: vec_id, x (array of long), norm (see quantised)."""
     spark = rows.sparkSession
-    rows = rows.dropDuplicates(["vec_id", "x"])
-    rows = cut(rows.repartitionByRange(F.col("norm").desc()).sortWithinPartitions(F.col("norm").desc()))
-    d = rows.agg(F.max(F.size("x"))).first()[0] or 1
+    rows = cut(rows.dropDuplicates(["vec_id", "x"]))
+    queries = cut(queries.groupBy("vec_id").agg(F.min("x").alias("x")))
+    widest, n = rows.agg(F.max(F.size("x")), F.count("*")).first()
+    d, asked = widest or 1, queries.count()
     axes, head = rotation(rows, d)
     longest = rows.orderBy(F.col("norm").desc(), "vec_id").limit(BLOCK).select("vec_id", "x").collect()
-    seed_ids, seed = np.array([r.vec_id for r in longest], np.int64), _matrix([r.x for r in longest], d)
-    parts = []
-    for block in _query_blocks(queries):
-        q_ids, q = np.array([r.vec_id for r in block]), _matrix([r.x for r in block], d)
-        # The k best of the longest candidates, the query's own rows aside, bound the k-th score from below.
-        floor = np.full(len(q), -(1 << 62))
-        if len(seed) >= k:
-            floor = np.partition(np.where(q_ids[:, None] == seed_ids, -(1 << 62), q @ seed.T), -k, axis=1)[:, -k]
-        sent = spark.sparkContext.broadcast((q_ids, q, floor))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = best(np.array(column(b, "vec_id"), np.int64), _matrix(column(b, "x"), d), np.array(column(b, "norm")), sent.value, k, axes, head)
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in longest], np.int64), _matrix([r.x for r in longest], d), axes, head))
+    parts = max(1, -(-n // PART), min(spark.sparkContext.defaultParallelism, n // BLOCK))
+    blocks = max(1, -(-asked // QUERY_BLOCK))
+    # Ranges of descending length; ties are dealt by id, so that equal vectors don't fill one range. A range is what its task got, so written first.
+    ranged = cut(rows.repartitionByRange(parts, F.col("norm").desc(), F.xxhash64("vec_id")).select("vec_id", "x", "norm", F.spark_partition_id().cast("long").alias("part")))
+    parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
+    left = ranged.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def meet(candidates: pa.Table, asking: pa.Table) -> pa.Table:
+        found = []
+        if candidates.num_rows and asking.num_rows:
+            seed_ids, seed, axes, head = sent.value
+            order = np.argsort(-np.array(candidates["norm"]), kind="stable")
+            q_ids, q = np.array(asking["vec_id"]), _matrix(asking["x"].to_pylist(), d)
+            # The k best of the longest candidates, the query's own rows aside, bound the k-th score from below.
+            floor = np.full(len(q), -(1 << 62))
+            if len(seed) >= k:
+                floor = np.partition(np.where(q_ids[:, None] == seed_ids, -(1 << 62), q @ seed.T), -k, axis=1)[:, -k]
+            found = best(np.array(candidates["vec_id"])[order], _matrix(candidates["x"].to_pylist(), d)[order], np.array(candidates["norm"])[order], (q_ids, q, floor), k, axes, head)
+        return pa.table({name: pa.array([x[i] for x in found], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
+
+    whole = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return whole.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """The queries in blocks of QUERY_BLOCK, streamed to the driver; repeated ids once."""
-    block = []
-    for r in queries.groupBy("vec_id").agg(F.min("x").alias("x")).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
 def every_fiftieth(embeddings: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """The top k of every vector whose id is divisible by `every`, among all others."""
     rows = cut(quantised(embeddings))

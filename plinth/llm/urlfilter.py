@@ -11,7 +11,8 @@ of partial counts for each task, and the final join leaves a hot host to Spark's
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and shares the reputation of the
 empty host; a host without a dot is its own domain and suffix; pages with a null outcome count as unlabelled; repeated
-pages count each time; empty tables give no rows; other columns of pages are never read.
+pages count each time; empty tables give no rows; a lower bound exactly at the limit allows; urls and pages of any length count whole;
+other columns of pages are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ SHARED_LABELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
-#: A page is labelled bad if at least so large a part of its visible text is symbols or capitals.
+#: A page is labelled bad if at least so large a part of its visible text is symbols, or if its url has one of these words.
 BAD_SHARE = 0.08
+BAD_WORDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
+SYMBOLS = "&%$#*|!{}"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,10 +66,14 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def page_outcomes(pages: DataFrame) -> DataFrame:
-    """host and bad (0 or 1): the labels that the pages' own visible text gives; null html has no outcome."""
-    text = F.regexp_replace(F.regexp_replace(F.col("html").cast("string"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), r"&[a-z]+;", "&")
-    odd, ink = F.length(F.regexp_replace(text, r"[^&%$#*|!{}]", "")), F.length(F.regexp_replace(text, r"\s", ""))
-    return pages.select(host_of(F.col("url").cast("string")).alias("host"), F.when(ink > 0, (odd / ink >= BAD_SHARE).cast("int")).when(text.isNotNull(), 1).alias("bad"))
+    """host and bad (0 or 1): weak labels that the pages themselves give. No url has no word; no html, or none with visible text, counts as bad."""
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?s)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
+    text = F.regexp_replace(text, r"&[a-z]+;", "&")
+    ink = F.length(F.translate(text, " \t\n\r\f", ""))
+    odd = ink - F.length(F.translate(text, SYMBOLS + " \t\n\r\f", ""))
+    url = F.col("url").cast("string")
+    word = F.coalesce(F.translate(url, UPPER, LOWER).rlike(rf"(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|$)"), F.lit(False))
+    return pages.select(host_of(url).alias("host"), (word | (ink == 0) | (odd >= BAD_SHARE * ink)).cast("int").alias("bad"))
 
 
 def _shrunk(groups: DataFrame, name: str, parent: str) -> DataFrame:

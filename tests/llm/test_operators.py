@@ -121,15 +121,39 @@ def test_shards_are_exact_and_uniform(spark):
     assert 0.015 < np.mean([shard[i] == shard[i + 1] for i in range(10_002)]) < 0.035
 
 
-def test_hypergeometric_law():
-    rng = np.random.default_rng(1)
-    got = Counter(sharding.hypergeometric(rng, 4, 6, 5) for _ in range(20_000))
+def test_hypergeometric_law(monkeypatch):
     from math import comb
 
+    law = [comb(4, k) * comb(6, 5 - k) / comb(10, 5) for k in range(5)]
+    rng = np.random.default_rng(1)
+    got = Counter(sharding.hypergeometric(rng, 4, 6, 5) for _ in range(20_000))
+    tree = Counter(int(sharding.communication_matrix([2, 3, 5], [4, 6], i)[2, 0]) for i in range(4_000))
     for k in range(5):
-        assert abs(got[k] / 20_000 - comb(4, k) * comb(6, 5 - k) / comb(10, 5)) < 0.015
-    m = sharding.communication_matrix([7, 0, 13], [5, 5, 10], 2)
-    assert m.sum(1).tolist() == [7, 0, 13] and m.sum(0).tolist() == [5, 5, 10]
+        assert abs(got[k] / 20_000 - law[k]) < 0.015 and abs(tree[k] / 4_000 - law[k]) < 0.03
+    for most in (sharding.NUMPY_MOST, 1):
+        monkeypatch.setattr(sharding, "NUMPY_MOST", most)
+        m = sharding.communication_matrix([7, 0, 13], [5, 5, 10], 2)
+        assert m.sum(1).tolist() == [7, 0, 13] and m.sum(0).tolist() == [5, 5, 10] and (m >= 0).all()
+
+
+def test_shards_equal_a_shuffle_by_hand(spark, monkeypatch):
+    """The whole permutation again, in one process: matrix, permuted partitions, permuted blocks."""
+    docs = spark.createDataFrame([(i % 7, f"t{i}", i) for i in range(1_003)], "doc_id long, text string, shard int").repartition(3)
+    rows, parts = sharding.shard_documents(docs, 4, 9, 100).collect(), 0
+    assert sorted((r.doc.doc_id, r.doc.text, r.doc.shard) for r in rows) == sorted(map(tuple, docs.collect()))
+    parts = [len(x) for x in docs.rdd.glom().collect()]
+    sizes = [s for whole in sharding.exact_sizes(1_003, 4) for s in sharding.exact_sizes(whole, 3)]
+    m = sharding.communication_matrix(parts, sizes, 9)
+    keys = [(p << 33) + i for p, n in enumerate(parts) for i in range(n)]
+    goes = np.concatenate([np.random.default_rng((9, p)).permutation(np.repeat(np.arange(12), m[p])) for p in range(len(parts))])
+    first = {r.place: r.key for r in spark.createDataFrame([(k,) for k in keys], "place long").selectExpr("place", "xxhash64(9, place) as key").collect()}
+    texts = [r.text for part in docs.rdd.glom().collect() for r in part]
+    want = {}
+    for b in range(12):
+        mine = sorted((first[k], k, t) for k, t, g in zip(keys, texts, goes) if g == b)
+        for i, (_, _, t) in enumerate(mine):
+            want[t] = (b // 3, sum(sizes[b - b % 3 : b]) + i)
+    assert {r.doc.text: (r.shard, r.slot) for r in rows} == want
 
 
 def test_pieces_equal_the_library(texts):
