@@ -22,11 +22,12 @@ def lenient_int(x: Column, default: int | None = None) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits. A run of Han characters gives its characters and its pairs of neighbours."""
+    """Lower-cased runs of letters and digits. A run of Han characters gives its characters and its pairs of neighbours. A text without any is split in one step."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(_RUNS), F.lit(0))
     chars = lambda r: F.filter(F.split(r, ""), lambda c: c != "")
     pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}"), F.concat(chars(r), pairs(r))).otherwise(F.array(r))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}"), F.concat(chars(r), pairs(r))).otherwise(F.array(r))))
+    return F.when(text.rlike(r"\p{IsHan}"), mixed).otherwise(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def words_with_names(text: Column, names: list[str]) -> Column:

@@ -13,9 +13,10 @@ from plinth.functions.text import page_url, sentences, stable_id, strip
 #: Least room that a continuation's context leaves for text.
 LEAST_ROOM = 100
 #: Fields of an enemy level, in the order in which they are shown (fixed values).
-ENEMY_FIELDS = ["名称", "描述", "种类", "地位级别", "攻击方式", "行动方式", "最大生命值", "攻击力", "防御力", "法术抗性", "移动速度", "攻击间隔", "重量等级", "生命恢复速度", "目标价值", "攻击范围半径", "损伤抵抗", "元素抗性", "异常抗性"]
-#: Fields of a stage (fixed values).
-STAGE_FIELDS = ["name", "desc", "推荐平均等级", "关卡类型", "理智消耗", "部署上限", "初始费用", "目标点耐久", "演习券消耗"]
+ENEMY_FIELDS = ["地位", "种类", "描述", "攻击方式", "行动方式", "最大生命值", "攻击力", "防御力", "法术抗性", "攻击半径", "重量", "移动速度", "攻击间隔", "生命自回速度", "元素抗性", "损伤抵抗", "异常抗性", "基础嘲讽等级", "目标价值"]
+#: Fields of a stage, and how one is shown (fixed values).
+STAGE_FIELDS = ["desc", "解锁条件", "推荐等级", "作战消耗", "部署上限", "初始COST", "COST上限", "目标点耐久", "待处理目标数量"]
+SHOWN_AS = {"desc": "关卡描述"}
 
 
 def _slices(s: Column, most: Column) -> Column:
@@ -109,15 +110,17 @@ def enemy_sections(pages: DataFrame, fields: list[str] = ENEMY_FIELDS) -> DataFr
     """A section for each level. pages: source, levels array<struct<level, data map, traits array>>."""
     level = pages.select("source", F.explode("levels").alias("l"))
     lines = F.array_compact(F.array(*[F.when(F.coalesce(F.try_element_at("l.data", F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"{k}："), F.try_element_at("l.data", F.lit(k)))) for k in fields]))
+    head = F.array(F.concat(F.lit("敌人"), F.coalesce(F.try_element_at("l.data", F.lit("名称")), F.col("source")), F.lit("（级别"), F.col("l.level").cast("string"), F.lit("）。")))
     traits = F.when(F.size("l.traits") > 0, F.array(F.concat(F.lit("特性："), F.array_join("l.traits", "、")))).otherwise(F.array().cast("array<string>"))
-    return level.select("source", F.lit("enemy").alias("type"), F.concat(F.lit("level"), F.col("l.level").cast("string")).alias("section"), F.concat(lines, traits).alias("paragraphs"), F.concat("source", F.lit(" ")).alias("context"))
+    return level.select("source", F.lit("enemy").alias("type"), F.concat(F.lit("level"), F.col("l.level").cast("string")).alias("section"), F.concat(head, lines, traits).alias("paragraphs"), F.concat("source", F.lit(" ")).alias("context"))
 
 
 def stage_sections(pages: DataFrame, fields: list[str] = STAGE_FIELDS) -> DataFrame:
     """Sections info and enemies. pages: source, normal map, raid map, enemies array<map>."""
-    pick = lambda m: F.array_compact(F.array(*[F.when(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"{k}："), F.try_element_at(m, F.lit(k)))) for k in fields]))
+    pick = lambda m: F.array_compact(F.array(*[F.when(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit("")) != "", F.concat(F.lit(f"{SHOWN_AS.get(k, k)}："), F.try_element_at(m, F.lit(k)))) for k in fields]))
+    head = F.array(F.concat(F.lit("关卡"), F.split_part("source", F.lit(" "), F.lit(1)), F.lit("（"), F.coalesce(F.try_element_at("normal", F.lit("name")), F.lit("")), F.lit("）。")))
     raid = F.when(F.size(F.map_keys("raid")) > 0, F.array(F.concat(F.lit("突袭："), F.array_join(_pairs(F.col("raid")), "；")))).otherwise(F.array().cast("array<string>"))
-    info = pages.select("source", F.lit("stage").alias("type"), F.lit("info").alias("section"), F.concat(pick("normal"), raid).alias("paragraphs"), F.concat("source", F.lit(" ")).alias("context"))
+    info = pages.select("source", F.lit("stage").alias("type"), F.lit("info").alias("section"), F.concat(head, pick("normal"), raid).alias("paragraphs"), F.concat("source", F.lit(" ")).alias("context"))
     foes = F.transform("enemies", lambda m: F.array_join(_pairs(m), "，"))
     return info.unionByName(pages.select("source", F.lit("stage").alias("type"), F.lit("enemies").alias("section"), foes.alias("paragraphs"), F.concat("source", F.lit(" ")).alias("context"))).filter(F.size("paragraphs") > 0)
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 REWARD = {"win": 100.0, "leak": 10.0, "overcost": 1.0}
 OUTCOMES = ["win", "defeat", "timeout", "aborted"]
 LATENCIES = ["perceive", "knowledge", "think", "plan", "act", "log"]
-#: The order in which classes are deployed.
-DEPLOY_ORDER = {"先锋": 0, "重装": 1, "近卫": 2, "医疗": 3, "狙击": 4, "术师": 5, "辅助": 6, "特种": 7}
+#: The order in which classes are deployed, and that of any other class.
+DEPLOY_ORDER, DEPLOY_OTHERS = {"先锋": 0, "近卫": 0, "重装": 1, "狙击": 1, "术师": 1, "医疗": 2, "辅助": 2, "特种": 2}, 1
 CELL = r"^[A-Z]{1,2}[0-9]{1,2}$"
 
 
@@ -123,7 +123,7 @@ def feasibility(plans: DataFrame) -> DataFrame:
 
 def deploy_order(kept: DataFrame, order: dict[str, int] = DEPLOY_ORDER) -> DataFrame:
     """plan_id, pos and the kept actions: deployments by their class's priority, then name; the others after, as they were. kept: plan_id, idx, action, operator_id, class."""
-    prio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("class")), F.lit(99))
+    prio = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("class")), F.lit(DEPLOY_OTHERS))
     dep = F.col("action") == "deploy"
     w = Window.partitionBy("plan_id").orderBy(F.when(dep, 0).otherwise(1), F.when(dep, prio), F.when(dep, F.col("operator_id")), "idx")
     return kept.withColumn("pos", F.row_number().over(w).cast("long"))

@@ -1,6 +1,6 @@
 """Page tables: one Arrow job turns HTML into a relation of cells; all that follows are DataFrame steps on it.
 
-cells: page_id, title, section, table_no, table_class, row_no, cell_no, tag (th or td), text.
+cells: page_id, title, section, table_no, table_class, row_no, cell_no, tag (th or td), text, italics (texts of the cell's <i> elements).
 """
 
 from __future__ import annotations
@@ -14,9 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = "page_id long, title string, section string, table_no int, table_class string, row_no int, cell_no int, tag string, text string"
-#: The fields of an enemy level; a header is the first of these that it starts with.
-ENEMY_FIELDS = ["名称", "描述", "种类", "地位级别", "攻击方式", "行动方式", "最大生命值", "攻击力", "防御力", "法术抗性", "移动速度", "攻击间隔", "重量等级", "生命恢复速度", "目标价值", "攻击范围半径", "损伤抵抗", "元素抗性", "异常抗性", "特性"]
+CELLS = "page_id long, title string, section string, table_no int, table_class string, row_no int, cell_no int, tag string, text string, italics array<string>"
+#: The fields of an enemy level, in order; a header becomes the first of these that it starts with.
+ENEMY_FIELDS = ["名称", "地位", "种类", "描述", "攻击方式", "行动方式", "生命自回速度", "最大生命值", "攻击力", "防御力", "法术抗性", "攻击半径", "重量", "移动速度", "攻击间隔", "元素抗性", "损伤抵抗", "基础嘲讽等级", "目标价值", "特性"]
+#: Fields that hold an enemy's traits, the first that is filled counts; classes of the tables that parsers look for.
+TRAIT_FIELDS = ["特性", "异常抗性", "天赋"]
+GROWTH_TABLE, EXTRA_TABLE, SKILL_TABLE, LEVEL_TABLES = "char-base-attr-table", "char-extra-attr-table", "nomobile", ["enemy-info-level", "wikitable"]
+
+
+def _tidy(pieces: list[str]) -> str:
+    """Text pieces with one blank between them and between their words."""
+    return " ".join(" ".join(pieces).split())
 
 
 class _Cells(HTMLParser):
@@ -32,6 +40,8 @@ class _Cells(HTMLParser):
         self.heading_id = ""
         self.in_title = False
         self.skip = 0
+        self.italics: list[str] = []
+        self.slanted: list[str] | None = None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -55,11 +65,14 @@ class _Cells(HTMLParser):
                 t[2] = max(t[2], 0)
                 t[3] += 1
                 t[4], t[5] = tag, []
+                self.italics, self.slanted = [], None
+            elif tag == "i" and t[4]:
+                self.slanted = []
 
     def _close(self, t):
         if t[4]:
-            self.rows.append((self.title, self.section, t[0], t[1], t[2], t[3], t[4], " ".join("".join(t[5]).split())))
-            t[4] = None
+            self.rows.append((self.title, self.section, t[0], t[1], t[2], t[3], t[4], _tidy(t[5]), self.italics))
+            t[4], self.italics, self.slanted = None, [], None
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
@@ -68,6 +81,8 @@ class _Cells(HTMLParser):
             self.in_title = False
         elif tag == "h2" and self.heading is not None:
             self.section, self.heading = self.heading_id or " ".join("".join(self.heading).split()), None
+        elif tag == "i" and self.slanted is not None:
+            self.italics, self.slanted = [*self.italics, *filter(None, [_tidy(self.slanted)])], None
         elif self.stack and tag in ("th", "td", "tr"):
             self._close(self.stack[-1])
         elif self.stack and tag == "table":
@@ -82,6 +97,8 @@ class _Cells(HTMLParser):
             self.heading.append(data)
         elif self.stack and self.stack[-1][4]:
             self.stack[-1][5].append(data)
+            if self.slanted is not None:
+                self.slanted.append(data)
 
 
 def cells(pages: DataFrame) -> DataFrame:
@@ -109,30 +126,36 @@ def titles(pages: DataFrame) -> DataFrame:
 
 def rows_of(cell: DataFrame, keep_empty: bool = False) -> DataFrame:
     """page_id, title, section, table_no, table_class, row_no, tags and texts (arrays in order); rows without text go unless keep_empty."""
-    g = cell.groupBy("page_id", "title", "section", "table_no", "table_class", "row_no").agg(F.array_sort(F.collect_list(F.struct("cell_no", "tag", "text"))).alias("c"))
-    r = g.select("page_id", "title", "section", "table_no", "table_class", "row_no", F.transform("c", lambda x: x.tag).alias("tags"), F.transform("c", lambda x: x.text).alias("texts"))
+    g = cell.groupBy("page_id", "title", "section", "table_no", "table_class", "row_no").agg(F.array_sort(F.collect_list(F.struct("cell_no", "tag", "text", "italics"))).alias("c"))
+    r = g.select("page_id", "title", "section", "table_no", "table_class", "row_no", F.transform("c", lambda x: x.tag).alias("tags"), F.transform("c", lambda x: x.text).alias("texts"), F.transform("c", lambda x: x.italics).alias("italics"))
     return r if keep_empty else r.filter(F.exists("texts", lambda t: t != ""))
 
 
+def first_tables(row: DataFrame) -> DataFrame:
+    """The rows of the first table of each page's section."""
+    return row.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id", "section"))).filter(F.col("table_no") == F.col("_first")).drop("_first")
+
+
 def section(cell: DataFrame, name: str) -> DataFrame:
     return cell.filter(F.col("section") == name)
 
 
 def th_td_pairs(row: DataFrame, wide_header: str = "名称") -> DataFrame:
-    """page_id, section, table_no, pairs (map header -> value). A row with headers and values pairs them in order; a row of headers alone waits for the next row of values; a row that starts with the wide header and has more headers than values waits with all of them. Of a repeated
-    header the last value stands."""
-    th = F.filter(F.arrays_zip("tags", "texts"), lambda x: x.tags == "th")
-    td = F.filter(F.arrays_zip("tags", "texts"), lambda x: x.tags == "td")
-    r = row.withColumn("th", F.transform(th, lambda x: x.texts)).withColumn("td", F.transform(td, lambda x: x.texts))
-    waits = (F.size("th") > 0) & ((F.size("td") == 0) | ((F.get("th", F.lit(0)) == wide_header) & (F.size("th") > F.size("td"))))
-    w = Window.partitionBy("page_id", "section", "table_no").orderBy("row_no")
-    before = F.lag(F.when(waits, F.col("th"))).over(w)
-    heads = F.when(F.size("th") == 0, before).otherwise(F.col("th"))
-    pair = F.when((F.size("td") > 0) & heads.isNotNull(), F.filter(F.transform(F.arrays_zip(heads.alias("h"), F.col("td").alias("v")), lambda x: F.struct(x.h.alias("k"), x.v.alias("v"))), lambda x: x.k.isNotNull() & x.v.isNotNull()))
-    # A waiting wide header pairs with the next row's values, not with its own.
-    r = r.withColumn("pair", F.when(waits & (F.size("td") > 0), None).otherwise(pair))
-    flat = r.groupBy("page_id", "section", "table_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.coalesce("pair", F.array().cast("array<struct<k:string,v:string>>")).alias("p")))), lambda x: x.p)).alias("ps"))
-    last = F.filter("ps", lambda x, i: ~F.exists(F.slice("ps", i + 2, F.size("ps")), lambda y: y.k == x.k))
+    """page_id, section, table_no, pairs (map header -> value). A row with headers and values pairs them in order; a row of headers alone waits for the
+    next row of values alone; a row with the wide header and more headers than values waits with all of them. Of a repeated header the last value
+    stands, at the first one's place; empty headers name nothing."""
+    of = lambda tag: F.transform(F.filter(F.arrays_zip("tags", "texts"), lambda x: x.tags == tag), lambda x: x.texts)
+    r = row.withColumn("th", of("th")).withColumn("td", of("td"))
+    waits = (F.size("th") > 0) & ((F.size("td") == 0) | (F.array_contains("th", wide_header) & (F.size("th") > F.size("td"))))
+    alone = F.size("th") == 0
+    w = Window.partitionBy("page_id", "section", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<string>")
+    # What waits at a row: the last headers set aside, unless a row of values has taken them.
+    waiting = F.last(F.when(waits, F.col("th")).when(alone, none), ignorenulls=True).over(w)
+    heads = F.when(alone, F.coalesce(waiting, none)).when(waits, none).otherwise(F.col("th"))
+    pair = F.filter(F.transform(F.arrays_zip(heads.alias("h"), F.col("td").alias("v")), lambda x: F.struct(x.h.alias("k"), x.v.alias("v"))), lambda x: (x.k != "") & x.v.isNotNull())
+    flat = r.withColumn("pair", pair).groupBy("page_id", "section", "table_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "pair"))), lambda x: x["pair"])).alias("ps"))
+    last = F.transform(F.array_distinct(F.transform("ps", lambda p: p.k)), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("ps", lambda p: p.k == k), -1).v.alias("v")))
     return flat.select("page_id", "section", "table_no", F.map_from_entries(last).alias("pairs"))
 
 
@@ -169,56 +192,84 @@ def embedded_objects(pages: DataFrame, name: str, schema: str) -> DataFrame:
     return pages.select("page_id", F.from_json(find("html"), schema).alias("object"))
 
 
+def _table(row: DataFrame) -> DataFrame:
+    """page_id, table_no, rs (its rows' texts, in order)."""
+    return row.groupBy("page_id", "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "texts"))), lambda x: x.texts).alias("rs"))
+
+
 def traits(row: DataFrame) -> DataFrame:
-    """page_id, trait, branch from the trait section: its header row names the branch and either a description or conditions; conditional rows are joined until the branch's own row."""
-    r = row.filter(F.col("section").isin("特性"))
-    w = Window.partitionBy("page_id").orderBy("row_no")
-    head = F.first("texts").over(w)
-    stop = F.max((F.get("texts", F.lit(0)) == "分支信息").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    body = r.withColumn("head", head).withColumn("stop", stop).filter((F.col("row_no") > 0) & (F.col("stop") == 0))
-    line = F.array_join(F.filter("texts", lambda t: t != ""), "：")
-    return body.groupBy("page_id").agg(F.first(F.get("head", F.lit(0))).alias("header"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("t")))), lambda x: x.t), "；").alias("trait"))
+    """page_id, trait (map) from the first table of section 特性: 分支, 描述 and 分支信息, as far as they are there. Below a header 分支, 描述 the next
+    row is branch and description; below 分支, 条件 it is the branch, and the rows after it are conditions, joined up to the row 分支信息; the row after
+    that says more of the branch."""
+    t = _table(first_tables(section(row, "特性")))
+    t = t.withColumn("h", F.expr("array_position(transform(rs, r -> r[0] = '分支' and size(r) > 1 and r[1] in ('描述', '条件')), true)").cast("int"))
+    t = t.withColumn("value", F.when(F.col("h") > 0, F.get("rs", F.col("h")))).withColumn("plain", F.expr("h > 0 and rs[h - 1][1] = '描述' and size(value) > 1"))
+    t = t.withColumn("rest", F.expr("if(h > 0, slice(rs, h + 2, size(rs)), cast(array() as array<array<string>>))"))
+    t = t.withColumn("stop", F.expr("array_position(transform(rest, r -> size(r) = 1 and r[0] = '分支信息'), true)").cast("int"))
+    lines = "transform(filter(if(stop > 0, slice(rest, 1, stop - 1), rest), r -> size(r) > 1 and r[0] <> '' and r[1] <> ''), r -> concat(r[0], '：', r[1]))"
+    info = "filter(transform(sequence(1, size(rs)), i -> if(size(rs[i - 1]) = 1 and rs[i - 1][0] = '分支信息' and size(get(rs, i)) > 0, get(rs, i)[0], null)), x -> x is not null)"
+    t = t.withColumn("found", F.expr(f"array(named_struct('k', '分支', 'v', value[0]), named_struct('k', '描述', 'v', if(plain, value[1], nullif(array_join({lines}, '；'), ''))), named_struct('k', '分支信息', 'v', try_element_at({info}, -1)))"))
+    return t.select("page_id", F.map_from_entries(F.filter("found", lambda x: x.v.isNotNull())).alias("trait"))
+
+
+def obtain(row: DataFrame) -> DataFrame:
+    """page_id, obtain (map): the first table of section 获得方式."""
+    return th_td_pairs(first_tables(section(row, "获得方式"))).select("page_id", F.col("pairs").alias("obtain"))
+
+
+def extra_attributes(row: DataFrame) -> DataFrame:
+    """page_id, extra_attrs (map): the first such table of section 属性."""
+    return th_td_pairs(first_tables(section(row, "属性").filter(F.contains("table_class", F.lit(EXTRA_TABLE))))).select("page_id", F.col("pairs").alias("extra_attrs"))
 
 
 def growth(row: DataFrame, name: str = "属性") -> DataFrame:
-    """page_id, stages (array), rows (map): the header row's texts after the first, and each row's by its first text."""
-    r = row.filter(F.col("section") == name)
-    first = F.min_by(F.slice("texts", 2, 100), "row_no")
-    rest = F.array_sort(F.collect_list(F.struct("row_no", F.get("texts", F.lit(0)).alias("k"), F.slice("texts", 2, 100).alias("v"))))
-    g = r.groupBy("page_id").agg(first.alias("stages"), rest.alias("all"))
-    return g.select("page_id", "stages", F.map_from_entries(F.transform(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), lambda x: F.struct(x.k, x.v))).alias("rows"))
+    """page_id, stages (the header row's texts that aren't empty), rows (map: each row's texts by its first): the first such table of the section."""
+    g = _table(first_tables(section(row, name).filter(F.contains("table_class", F.lit(GROWTH_TABLE)))))
+    rest = F.expr("slice(rs, 2, size(rs))")
+    keys = F.array_distinct(F.transform(rest, lambda x: x[0]))
+    last = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(rest, lambda x: x[0] == k), -1).alias("v")))
+    tail = F.transform(last, lambda x: F.struct(x.k.alias("k"), F.slice(x.v, F.lit(2), F.size(x.v)).alias("v")))
+    return g.select("page_id", F.filter(F.get("rs", F.lit(0)), lambda t: t != "").alias("stages"), F.map_from_entries(tail).alias("rows"))
 
 
-def skills(row: DataFrame) -> DataFrame:
-    """page_id, table_no, name, type, levels: tables of class nomobile with three rows or more whose second row starts with 等级; level rows have five cells or more."""
-    r = row.filter(F.contains("table_class", F.lit("nomobile")))
-    g = r.groupBy("page_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "texts"))).alias("rs")).filter((F.size("rs") >= 3) & (F.get(F.get("rs", F.lit(1)).texts, F.lit(0)) == "等级"))
-    levels = F.transform(F.filter(F.slice("rs", 3, 1000), lambda x: F.size(x.texts) >= 5), lambda x: F.struct(*[F.get(x.texts, F.lit(i)).alias(n) for i, n in enumerate(("level", "desc", "initial", "cost", "duration"))]))
-    return g.select("page_id", "table_no", F.get(F.get("rs", F.lit(0)).texts, F.lit(0)).alias("name"), F.get(F.get("rs", F.lit(0)).texts, F.lit(1)).alias("type"), levels.alias("levels"))
+def skills(row: DataFrame, name: str = "技能") -> DataFrame:
+    """page_id, table_no, name, type, levels: tables of class nomobile with three rows or more whose first row has two texts (name and type) and whose second
+    row, of three cells or more, starts with 等级; level rows have five cells or more, and a skill has one at least."""
+    g = _table(section(row, name).filter(F.contains("table_class", F.lit(SKILL_TABLE)))).withColumn("head", F.filter(F.get("rs", F.lit(0)), lambda t: t != ""))
+    g = g.filter("size(rs) >= 3 and size(head) >= 2 and size(rs[1]) >= 3 and rs[1][0] = '等级'")
+    levels = F.transform(F.filter(F.expr("slice(rs, 3, size(rs))"), lambda x: F.size(x) >= 5), lambda x: F.struct(*[F.get(x, F.lit(i)).alias(n) for i, n in enumerate(("level", "desc", "initial", "cost", "duration"))]))
+    return g.select("page_id", "table_no", F.get("head", F.lit(0)).alias("name"), F.get("head", F.lit(1)).alias("type"), levels.alias("levels")).filter(F.size("levels") > 0)
 
 
 def operator_records(pages: DataFrame, row: DataFrame) -> DataFrame:
-    """page_id, name, star_rating (the source counts from 0), and the record's trait, growth and skills."""
+    """page_id, name, star_rating (the source counts from 0), and the record's trait, obtain, extra and growth attributes, and skills."""
     meta = embedded_objects(pages, "operator", "name string, star int, class string, branch string, pos string, tag string")
     base = meta.select("page_id", F.col("object.name").alias("name"), (F.col("object.star") + 1).alias("star_rating"), F.col("object").alias("meta"))
     listed = skills(row).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "name", "type", "levels"))), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x.levels.alias("levels"))).alias("skills"))
-    return base.join(traits(row).select("page_id", "trait"), "page_id", "left").join(growth(row), "page_id", "left").join(listed, "page_id", "left")
+    for part in (traits(row), obtain(row), extra_attributes(row), growth(row), listed):
+        base = base.join(part, "page_id", "left")
+    return base
 
 
 def field_of(header: Column, fields: list[str] = ENEMY_FIELDS) -> Column:
-    """The first field, in the list's order, that the header starts with; null if none."""
-    return F.coalesce(*[F.when(F.startswith(header, F.lit(f)), F.lit(f)) for f in fields])
+    """The first field, in the list's order, that the header starts with; the header itself if none."""
+    return F.coalesce(*[F.when(F.startswith(header, F.lit(f)), F.lit(f)) for f in fields], header)
 
 
 def enemy_levels(row: DataFrame, fields: list[str] = ENEMY_FIELDS) -> DataFrame:
-    """page_id, level, data (map field -> value), traits: sections `级别N`; traits from 特性, else 异常抗性."""
-    r = row.filter(F.col("section").rlike(r"^级别\d+$"))
-    pairs = th_td_pairs(r).withColumn("level", F.regexp_extract("section", r"(\d+)", 1).cast("int"))
-    e = pairs.select("page_id", "level", F.explode("pairs").alias("k", "v")).select("page_id", "level", field_of(F.col("k"), fields).alias("f"), "v").filter("f is not null")
-    one = e.groupBy("page_id", "level", "f").agg(F.max("v").alias("v"))
-    g = one.groupBy("page_id", "level").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("data"))
-    found = F.coalesce(F.nullif(F.try_element_at("data", F.lit("特性")), F.lit("")), F.nullif(F.try_element_at("data", F.lit("异常抗性")), F.lit("")), F.nullif(F.try_element_at("data", F.lit("天赋")), F.lit("")))
-    return g.select("page_id", "level", "data", F.coalesce(F.filter(F.split(found, r"[；\s]+"), lambda t: t != ""), F.array().cast("array<string>")).alias("traits"))
+    """page_id, level, data (map field -> value), traits: the first table of a level's class with any pair, in sections `级别N`. Of headers that become one
+    field the last counts. traits: the first filled trait field, else the italic texts of the table's last row, of its first cell that has any."""
+    r = row.filter(F.col("section").rlike(r"^级别\d+$")).filter(F.col("table_class").rlike("|".join(LEVEL_TABLES)))
+    pairs = th_td_pairs(r).filter(F.size("pairs") > 0)
+    pairs = pairs.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id", "section"))).filter(F.col("table_no") == F.col("_first")).drop("_first")
+    e = pairs.select("page_id", "section", "table_no", F.posexplode(F.map_entries("pairs")).alias("pos", "e")).select("page_id", "section", "table_no", "pos", field_of(F.col("e.key"), fields).alias("f"), F.col("e.value").alias("v"))
+    one = e.groupBy("page_id", "section", "table_no", "f").agg(F.max_by("v", "pos").alias("v"))
+    g = one.groupBy("page_id", "section", "table_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("data"))
+    slanted = F.filter(F.transform(F.arrays_zip("tags", "italics"), lambda x: F.when((x.tags == "td") & (F.size(x.italics) > 0), x.italics)), lambda x: x.isNotNull())
+    tail = r.groupBy("page_id", "section", "table_no").agg(F.max_by(F.get(slanted, F.lit(0)), "row_no").alias("slanted"))
+    named = F.coalesce(*[F.nullif(F.try_element_at("data", F.lit(f)), F.lit("")) for f in TRAIT_FIELDS])
+    found = F.when(named.isNotNull(), F.array(named)).otherwise(F.coalesce("slanted", F.array().cast("array<string>")))
+    return g.join(tail, ["page_id", "section", "table_no"]).select("page_id", F.regexp_extract("section", r"(\d+)", 1).cast("int").alias("level"), "data", found.alias("traits"))
 
 
 def stage_cards(row: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ def operator_signals(pages: DataFrame) -> DataFrame:
 
 
 def enemy_records(pages: DataFrame) -> DataFrame:
-    """page, display, defense, resistance, speed, desc, traits of the last level. pages: source, name, levels array<struct<level, data, traits>>."""
+    """page, display, defense, resistance, speed, hp, position, desc, traits of the last level. pages: source, name, levels array<struct<level, data, traits>>."""
     last = F.try_element_at("levels", F.lit(-1))
     at = lambda k: F.try_element_at(last.data, F.lit(k))
-    return pages.select(F.col("source").alias("page"), F.coalesce(at("名称"), F.col("name"), F.col("source")).alias("display"), lenient_double(at("防御力")).alias("defense"), lenient_double(at("法术抗性")).alias("resistance"), lenient_double(at("移动速度")).alias("speed"), at("描述").alias("desc"), F.array_join(last.traits, "；").alias("traits"))
+    return pages.select(F.col("source").alias("page"), F.coalesce(at("名称"), F.col("name"), F.col("source")).alias("display"), lenient_double(at("防御力")).alias("defense"), lenient_double(at("法术抗性")).alias("resistance"), lenient_double(at("移动速度")).alias("speed"), lenient_double(at("最大生命值")).alias("hp"), F.coalesce(at("地位"), F.lit("")).alias("position"), at("描述").alias("desc"), F.array_join(last.traits, "、").alias("traits"))
 
 
 def light_records(stage_rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -92,10 +92,21 @@ def contains_edges(stage_rows: DataFrame) -> DataFrame:
 
 def recommendations(contains: DataFrame, counter: DataFrame) -> DataFrame:
     """stage, name, score (sum over enemies of the largest weight, 2 places), support (enemies), matched_enemies and matched_rules. contains: stage, enemy
-    (a page); counter: page, rule, name, weight."""
-    both = contains.select("stage", F.col("enemy").alias("page")).join(counter, "page")
-    per = both.groupBy("stage", "name", "page").agg(F.max("weight").alias("w"), F.collect_set("rule").alias("rules"))
-    return per.groupBy("stage", "name").agg(F.round(F.sum("w"), 2).alias("score"), F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_set("page")), "、").alias("matched_enemies"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))), "、").alias("matched_rules"))
+    (a page); counter: page, rule, name, weight.
+
+    Operators that answer the same rules with the same weights have one profile (there are as many as combinations of signals), and enemies that
+    meet the same rules one kind. Which rules match, and with what weight, depends on profile and kind alone; stages are summed up for each
+    profile, and operators come in at the end: no enemy row of a stage ever meets an operator."""
+    answers = counter.select("name", F.struct("rule", "weight").alias("a")).distinct().groupBy("name").agg(F.array_sort(F.collect_list("a")).alias("answers"))
+    answers = answers.withColumn("profile", F.xxhash64("answers"))
+    profiles = answers.groupBy("profile").agg(F.first("answers").alias("answers"))
+    kinds = counter.select("page", "rule").distinct().groupBy("page").agg(F.array_sort(F.collect_list("rule")).alias("meets"))
+    met = contains.select("stage", F.col("enemy").alias("page")).distinct().join(kinds, "page")
+    # An enemy's rules that the profile answers: a small equi-join on the rule, then the best weight for each profile.
+    by_kind = kinds.select("meets").distinct().select("meets", F.explode("meets").alias("rule")).join(profiles.select("profile", F.explode("answers").alias("a")).select("profile", "a.rule", "a.weight"), "rule")
+    by_kind = by_kind.groupBy("meets", "profile").agg(F.max("weight").alias("w"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    per = met.join(by_kind, "meets").groupBy("stage", "profile").agg(F.round(F.sum("w"), 2).alias("score"), F.count("*").alias("support"), F.array_join(F.array_sort(F.collect_set("page")), "、").alias("matched_enemies"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))), "、").alias("matched_rules"))
+    return per.join(answers.select("profile", "name"), "profile").select("stage", "name", "score", "support", "matched_enemies", "matched_rules")
 
 
 def node_table(signals: DataFrame, skills: DataFrame, enemies: DataFrame, stages: DataFrame) -> DataFrame:

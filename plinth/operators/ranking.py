@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.ordering import placed, running
+
 WEIGHTS = {"need_match": 50.0, "power_gap": 30.0, "material_ready": 15.0, "material_short": -5.0}
 #: Scores of tiers without a score of their own.
 TIER_SCORES = {"T0": 40.0, "T1": 30.0, "T2": 20.0, "T3": 10.0}
@@ -44,8 +46,7 @@ def priorities(operators: DataFrame, professions: list[str], roles: list[str], s
     reasons = F.array_compact(F.array(F.when(right, "profession asked for"), F.when(F.size(shared) > 0, F.concat(F.lit("roles: "), F.array_join(shared, "、"))), F.when(elite > 0, F.format_string("elite %d to %d", "elite", "target_elite")), F.when(F.col("level") < FULL_LEVEL, F.format_string("level %d", "level")), F.when(F.col("tier").isNotNull(), F.concat(F.lit("tier "), "tier")), F.when(~wants, "no materials stated").when(ready, "materials ready").otherwise(F.concat(F.lit("short: "), F.array_join(F.transform(F.array_sort(F.map_entries(lacking)), lambda e: F.concat(e.key, F.lit("×"), e.value.cast("string"))), "、")))))
     evidence = F.array_sort(F.array_compact(F.array(F.when((F.size(shared) > 0) | (elite > 0) | (F.col("level") < FULL_LEVEL), "inferred:rule"), F.when(F.col("tier").isNotNull() | F.col("tier_given").isNotNull(), "retrieved:tier_list"))))
     out = o.select("name", F.round(match + gap + tier + material, 2).alias("score"), ready.alias("materials_ready"), F.when(ready, F.create_map().cast("map<string,int>")).otherwise(lacking).alias("materials_missing"), reasons.alias("reasons"), evidence.alias("evidence"))
-    # The plan of one roster is a single ordered list.
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), "name")).cast("long"))
+    return placed(out, -F.col("score"), F.col("name"), name="rank")
 
 
 def unowned_relevant(operators: DataFrame, professions: list[str], roles: list[str]) -> DataFrame:
@@ -69,13 +70,12 @@ def ledger(stages: DataFrame, progress: DataFrame, window: int = WINDOW) -> Data
     """stage_id, title, kind (normal or raid), done, tier (null when done), locked: a pending stage is immediate if it is the first or the one before is done; of the rest the first `window` are short_term, others long_term. A raid is immediate once its stage is done, else it follows its
     stage, but not before short_term. Unknown ids in progress count for nothing. stages: stage_id, title, has_raid; progress: stage_id, kind.
 
-    A ledger is one ordered list of stages (a catalogue, not a fact table), hence one window over it all."""
+    The stages are one ordered list: each gets its place, looks up the one before by place, and pending ones are counted in ranges of places."""
     done = progress.select("stage_id", "kind").distinct().groupBy("stage_id").agg(F.bool_or(F.col("kind") == "normal").alias("n"), F.bool_or(F.col("kind") == "raid").alias("r"))
     s = stages.join(done, "stage_id", "left").withColumn("n", F.coalesce("n", F.lit(False))).withColumn("r", F.coalesce("r", F.lit(False)))
-    w = Window.partitionBy(F.lit(1)).orderBy(*main_order(F.col("stage_id")))
-    s = s.withColumn("open", ~F.col("n") & F.coalesce(F.lag("n").over(w), F.lit(True)))
-    rest = ~F.col("n") & ~F.col("open")
-    s = s.withColumn("nth", F.sum(rest.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = placed(s, *main_order(F.col("stage_id")))
+    s = s.join(s.select((F.col("place") + 1).alias("place"), F.col("n").alias("before")), "place", "left").withColumn("open", ~F.col("n") & F.coalesce("before", F.lit(True)))
+    s = running(s, "place", (~F.col("n") & ~F.col("open")).cast("int"), "nth")
     tier = F.when(F.col("n"), None).when(F.col("open"), "immediate").when(F.col("nth") <= window, "short_term").otherwise("long_term")
     s = s.withColumn("tier", tier)
     normal = F.struct(F.lit("normal").alias("kind"), F.col("n").alias("done"), F.col("tier").alias("tier"), F.lit(False).alias("locked"))

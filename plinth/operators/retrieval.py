@@ -8,64 +8,83 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import named_in, words
 
 #: BM25's constants, the negative-idf floor's factor, and the constant of reciprocal ranks.
 K1, B, FLOOR, RRF = 1.5, 0.75, 0.25, 60
-#: Bytes of the query side up to which it is broadcast.
-BROADCAST_ROWS = 20_000
+#: Bytes of query vectors (8 a component) that are sent to the tasks at once.
+BLOCK_BYTES = 8 << 20
 
 
-def postings(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """ord, type, len, term, tf of each chunk's terms. chunks: ord, type, text."""
+def postings(chunks: DataFrame, tokens: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """ord, type, len, term, tf of each chunk's terms; only of `terms`, if given. chunks: ord, type, text."""
     t = words(F.col("text")) if tokens is None else tokens
-    # Terms are counted inside the row: the exploded rows need no shuffle to become postings.
-    rows = chunks.select("ord", "type", t.alias("t")).select("ord", "type", F.size("t").cast("long").alias("len"), "t")
-    return rows.select("ord", "type", "len", F.explode("t").alias("term")).groupBy("ord", "type", "len", "term").agg(F.count("*").alias("tf"))
+    rows = chunks.select("ord", "type", t.alias("t")).select("ord", "type", F.size("t").cast("long").alias("len"), F.explode("t").alias("term"))
+    rows = rows if terms is None else rows.join(terms, "term", "left_semi")
+    # A chunk's words lie together, so the partial counts before the shuffle are its whole counts.
+    return rows.groupBy("ord", "type", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_size(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """One row: n (chunks) and avgdl."""
+def term_table(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """term, df, and on the one row without a term: df (chunks) and words (of all chunks). One pass: each chunk gives its distinct terms and a null."""
     t = words(F.col("text")) if tokens is None else tokens
-    return chunks.select(F.size(t).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    rows = chunks.select(F.coalesce(t, F.array().cast("array<string>")).alias("t"))
+    each = rows.select(F.size("t").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("words"))
 
 
-def term_weights(index: DataFrame, size) -> DataFrame:
-    """term, idf. Negative idfs become a quarter of the mean idf over all terms. size: the row of corpus_size."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.select("term", (F.ln(F.lit(size.n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("raw") < 0, F.lit(FLOOR * mean)).otherwise(F.col("raw")).alias("idf"))
+def term_weights(table: DataFrame) -> DataFrame:
+    """term, idf, avgdl. Negative idfs become a quarter of the mean idf over all terms. table: see term_table; what is one row is joined as one row."""
+    size = table.filter("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    raw = table.filter("term is not null").crossJoin(F.broadcast(size)).select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, types: list[str] | None = None, tokens: Callable[[Column], Column] = words, index: DataFrame | None = None) -> DataFrame:
+def save_index(chunks: DataFrame, path: str, tokens: Callable[[Column], Column] = words) -> tuple[int, int]:
+    """Writes a corpus's postings, and its terms with their weights, as Parquet; chunks and postings written. Sorted by term, so a query's terms prune."""
+    index = postings(chunks, tokens(F.col("text")))
+    seen = Observation("index")
+    index.repartitionByRange("term").sortWithinPartitions("term").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/postings")
+    term_weights(term_table(chunks, tokens(F.col("text")))).write.mode("overwrite").parquet(f"{path}/terms")
+    return chunks.count(), seen.get["n"]
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """postings and weighted terms, as save_index wrote them."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+
+
+def bm25(chunks: DataFrame | None, queries: DataFrame, k: int = 10, types: list[str] | None = None, tokens: Callable[[Column], Column] = words, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_id, ord, rank (from 0), score (4 places) of the k best chunks with a score above 0. Corpus statistics stay those of all chunks when types
-    filter; a word that a query repeats counts as often; ties keep the corpus's order. queries: query_id, query."""
-    size = corpus_size(chunks, tokens(F.col("text"))).first()
-    if not size.n:
-        return chunks.sparkSession.createDataFrame([], "query_id long, ord long, rank long, score double")
-    index = index if index is not None else postings(chunks, tokens(F.col("text")))
+    filter; a word that a query repeats counts as often; ties keep the corpus's order. queries: query_id, query. index: of load_index, instead of chunks.
+
+    The corpus is split into words twice, for terms and for postings; of the postings only those of the queries' terms are counted."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # Only the queries' terms need a weight beside the mean, and only they are joined with the postings.
-    weighted = asked.join(term_weights(index, size), "term")
-    found = index if types is None else index.filter(F.col("type").isin(types))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / size.avgdl))
+    if index is None:
+        chosen = chunks if types is None else chunks.filter(F.col("type").isin(types))
+        found, weights = postings(chosen, tokens(F.col("text")), asked.select("term").distinct()), term_weights(term_table(chunks, tokens(F.col("text"))))
+    else:
+        found, weights = index
+        found = found if types is None else found.filter(F.col("type").isin(types))
+    weighted = asked.join(weights, "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scores = found.join(weighted, "term").groupBy("query_id", "ord").agg(F.sum(part).alias("raw")).filter("raw > 0")
     w = Window.partitionBy("query_id").orderBy(F.round("raw", 9).desc(), "ord")
-    return scores.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", "ord", "rank", F.round("raw", 4).alias("score"))
+    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), F.round("raw", 4).alias("score"))
 
 
 def token_overlap(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, ord, rank, score: chunk words among the query's, over the root of both lengths' product (4 places)."""
     asked = queries.select("query_id", words(F.col("query")).alias("q")).select("query_id", F.size("q").alias("ql"), F.explode(F.array_distinct("q")).alias("term"))
-    have = postings(chunks)
+    have = postings(chunks, terms=asked.select("term").distinct())
     score = F.round(F.sum("tf") / F.sqrt(F.first("ql") * F.first("len")), 4)
     scores = have.join(asked, "term").groupBy("query_id", "ord").agg(score.alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord")
-    return scores.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", "ord", "rank", "score")
+    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), "score")
 
 
 def hashed_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
@@ -110,7 +129,7 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     return 1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, metric: str = "cosine", block: int = BROADCAST_ROWS) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, metric: str = "cosine", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, vec_id, rank, score (1 - distance, 4 places), exact. The filter comes before ranking. queries: query_id, q.
 
     The queries are a stated set, met by all rows: in blocks, each sent to the tasks, which return their own k best for each query."""
@@ -155,7 +174,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Colu
     rows = []
     for r in asked.toLocalIterator():
         rows.append(r)
-        if len(rows) == block:
+        if 8 * len(r.q) * len(rows) >= block_bytes:
             flush(rows)
             rows = []
     if rows or not parts:
@@ -166,7 +185,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Colu
     for p in parts[1:]:
         whole = whole.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "vec_id")
-    return whole.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", "vec_id", "rank", F.round("sim", 4).alias("score"))
+    return whole.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "vec_id", (F.col("place") - 1).cast("long").alias("rank"), F.round("sim", 4).alias("score"))
 
 
 def pool_size(k: int) -> int:
@@ -183,7 +202,7 @@ def explicitly_named(source: Column, kind: Column, query: Column) -> Column:
 def named_rerank(hits: DataFrame, k: int) -> DataFrame:
     """The first k of each query: named ones first, then by score, then as they were. hits: query_id, query, source, type, rank, score."""
     w = Window.partitionBy("query_id").orderBy(F.col("named").desc(), F.col("score").desc(), "rank")
-    return hits.withColumn("named", explicitly_named(F.col("source"), F.col("type"), F.col("query"))).withColumn("new_rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("new_rank") < k).withColumn("rank", F.col("new_rank")).drop("new_rank")
+    return hits.withColumn("named", explicitly_named(F.col("source"), F.col("type"), F.col("query"))).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).withColumn("rank", (F.col("place") - 1).cast("long")).drop("place")
 
 
 def rrf_fuse(hits: DataFrame, constant: int = RRF) -> DataFrame:
@@ -204,14 +223,11 @@ def hybrid(vector_hits: DataFrame, bm25_hits: DataFrame, queries: DataFrame, k:
     alone = vector_hits.join(with_words, "query_id", "left_anti").select("query_id", "content", "source", "type", "score", F.lit(True).alias("degraded"))
     every = fused.unionByName(alone).join(queries.select("query_id", "query"), "query_id").withColumn("named", explicitly_named(F.col("source"), F.col("type"), F.col("query")))
     w = Window.partitionBy("query_id").orderBy(F.col("named").desc(), F.col("score").desc(), "content")
-    return every.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", "content", "source", "type", "score", "named", "degraded", "rank")
+    return every.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "content", "source", "type", "score", "named", "degraded", (F.col("place") - 1).cast("long").alias("rank"))
 
 
-def hit_at_k(hits: DataFrame, expectations: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, hit, hit_rank of each expectation (query_id, predicate: a SQL expression over hits). A query without hits, or without a hit that
-    fits, has a null rank. The predicates are a small table of expressions, each its own filter."""
-    found = None
-    for r in expectations.collect():
-        part = hits.filter((F.col("query_id") == r.query_id) & (F.col("rank") < k)).filter(r.predicate).agg(F.min("rank").alias("hit_rank")).select(F.lit(r.query_id).cast("long").alias("query_id"), F.col("hit_rank").isNotNull().alias("hit"), F.col("hit_rank").cast("long").alias("hit_rank"))
-        found = part if found is None else found.unionByName(part)
-    return found
+def hit_at_k(hits: DataFrame, expectations: DataFrame, fits: Column, k: int = 5) -> DataFrame:
+    """query_id, hit, hit_rank of each expectation: the first of its query's k best hits that fits. A query without such a hit has a null rank. fits: a
+    condition over the columns of both, which share query_id alone."""
+    found = hits.filter(F.col("rank") < k).join(expectations, "query_id").filter(fits).groupBy("query_id").agg(F.min("rank").cast("long").alias("hit_rank"))
+    return expectations.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), "hit_rank")

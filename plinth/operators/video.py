@@ -9,7 +9,7 @@ from plinth.functions.text import lenient_double, minutes_seconds
 
 TOLERANCE, CONFIDENCE = 8.0, 0.6
 #: Literals of the prompt's example, which a model may echo (fixed values).
-ECHOED = ["...", "示例", "example"]
+ECHOED = ["主角干员名", "示例干员", "干员名", "example_operator", "示例标题", "example_title", "T0示例"]
 UNMATCHED = "（无对应语音）"
 
 
@@ -79,7 +79,7 @@ def read_charts(answers: DataFrame, echoed: list[str] = ECHOED, threshold: float
     video_id, timestamp_sec, raw."""
     p = answers.withColumn("_p", parse_model_json(F.col("raw"), "chart_type string, operator string, data string, confidence double"))
     fine = F.coalesce(F.col("_p.chart_type").isNotNull(), F.lit(False))
-    echo = F.coalesce(F.col("_p.chart_type").isin(echoed) | F.col("_p.operator").isin(echoed), F.lit(False))
+    echo = F.coalesce(F.col("_p.operator").isin(echoed), F.lit(False)) | F.coalesce(F.get_json_object("_p.data", "$.title").isin(echoed), F.lit(False))
     ok = fine & ~echo
     conf = F.when(ok, F.coalesce("_p.confidence", F.lit(0.0))).otherwise(0.0)
     return p.select("video_id", "timestamp_sec", F.when(ok, F.col("_p.chart_type")).otherwise("unknown").alias("chart_type"), F.when(ok, F.col("_p.operator")).alias("operator"), F.when(ok, F.col("_p.data")).alias("data"), conf.alias("confidence"), ((F.col("timestamp_sec") > 0) & (conf >= threshold)).alias("kept"), F.when(~fine, F.substring("raw", 1, 500)).alias("raw"))

@@ -60,7 +60,7 @@ def token_overlap_topk(t: Tables) -> DataFrame:
 
 
 _VECTORS = """
-with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 7),
+with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, round(list_sum(list_transform(list_zip(q, embedding), lambda x: x[1]::double * x[2]::double)) / sqrt(list_sum(list_transform(q, lambda x: x::double * x::double)) * list_sum(list_transform(embedding, lambda x: x::double * x::double))), 9) as sim from q, embeddings {where}),
 r as (select query_id, vec_id, row_number() over (partition by query_id order by sim desc, vec_id) - 1 as rank, sim from s)
 select query_id, vec_id, rank, round(sim, 4) as score from r where rank < {k}
@@ -68,7 +68,7 @@ select query_id, vec_id, rank, round(sim, 4) as score from r where rank < {k}
 
 
 def vector_queries(t: Tables) -> DataFrame:
-    return t.embeddings.filter("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query(_VECTORS.format(where="", k=5))
@@ -132,28 +132,44 @@ def hybrid_search(t: Tables) -> DataFrame:
     return retrieval.hybrid(b, a, asked(t), 5)
 
 
+#: Queries whose own words are all out of BM25's reach: it answers from one language's documents only.
+_FALLBACK = f"""
+a as ({_BM25.format(where="where type = 'de'", k=10)}),
+b as (with d as (select doc_id as ord, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as t from documents),
+  q as (select item_id as query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as q from benchmark),
+  terms as (select distinct query_id, len(q) as ql, unnest(q) as term from q), words as (select ord, len(t) as dl, unnest(t) as term from d),
+  s as (select query_id, ord, round(count(*) / sqrt(any_value(ql) * any_value(dl)), 4) as score from words join terms using (term) group by query_id, ord),
+  r as (select query_id, ord, row_number() over (partition by query_id order by score desc, ord) - 1 as rank, score from s where score > 0)
+  select * from r where rank < 10),
+fused as (select query_id, ord, round(sum(1.0 / (60 + rank + 1)), 6) as score, false as degraded from (select * from b where query_id in (select query_id from a) union all select * from a) group by query_id, ord
+  union all select query_id, ord, score, true from b where query_id not in (select query_id from a))
+"""
+
+
 @query(f"""
-with {_PATHS}, alone as (select * from b where query_id % 2 = 0),
-n as (select query_id, ord::varchar as content, score, rank as r0 from alone),
-r as (select query_id, content, score, true as degraded, row_number() over (partition by query_id order by score desc, content) - 1 as rank from n)
+with {_FALLBACK},
+n as (select f.query_id, f.ord::varchar as content, f.score, f.degraded, regexp_matches(bm.text, '(^|[^0-9A-Za-z])' || d.source || '($|[^0-9A-Za-z])') as named from fused f join documents d on d.doc_id = f.ord join benchmark bm on bm.item_id = f.query_id),
+r as (select *, row_number() over (partition by query_id order by named desc, score desc, content) - 1 as rank from n)
 select query_id, content, score, degraded, rank from r where rank < 5
 """)
 def hybrid_fallback(t: Tables) -> DataFrame:
-    """Queries that one path can't answer keep the other's hits and scores."""
-    b, a = two_paths(t)
-    return retrieval.hybrid(b.filter("query_id % 2 = 0"), a.filter("query_id % 2 = 1"), asked(t).filter("query_id % 2 = 0"), 5).filter("degraded").select("query_id", "content", "score", "degraded", "rank")
+    """All queries; those that BM25 over German documents can't answer keep the other path's hits and scores."""
+    b, _ = two_paths(t)
+    meta = chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content"))
+    a = retrieval.bm25(chunks(t), asked(t), 10, types=["de"]).join(meta, "ord").drop("ord")
+    return retrieval.hybrid(b, a, asked(t), 5).select("query_id", "content", "score", "degraded", "rank")
 
 
 @query(f"""
 with hits as ({_BM25.format(where="", k=5)}),
-h as (select query_id, min(rank) as hit_rank from hits join documents d on d.doc_id = ord join benchmark b on b.item_id = query_id where contains(d.text, left(b.text, 40)) group by query_id)
+h as (select query_id, min(rank) as hit_rank from hits join documents d on d.doc_id = ord join benchmark b on b.item_id = query_id where contains(d.text, b.text) group by query_id)
 select item_id as query_id, hit_rank is not null as hit, coalesce(hit_rank, -1) as hit_rank from benchmark left join h on query_id = item_id
 """)
 def retrieval_hit_at_k(t: Tables) -> DataFrame:
-    """Whether the documents found for an item hold its first 40 characters: one predicate over the table of all queries."""
-    hits = retrieval.bm25(chunks(t), asked(t), 5).join(chunks(t).select("ord", "text"), "ord").join(asked(t), "query_id")
-    found = hits.filter(F.contains("text", F.substring("query", 1, 40))).groupBy("query_id").agg(F.min("rank").alias("hit_rank"))
-    return asked(t).select("query_id").join(found, "query_id", "left").select("query_id", F.col("hit_rank").isNotNull().alias("hit"), F.coalesce("hit_rank", F.lit(-1)).alias("hit_rank"))
+    """Whether the documents found for an item hold its whole text."""
+    hits = retrieval.bm25(chunks(t), asked(t), 5).join(chunks(t).select("ord", "text"), "ord")
+    found = retrieval.hit_at_k(hits, asked(t), F.contains("text", F.col("query")))
+    return found.select("query_id", "hit", F.coalesce("hit_rank", F.lit(-1)).alias("hit_rank"))
 
 
 @query()

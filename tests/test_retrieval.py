@@ -106,7 +106,7 @@ def test_entity_sections(spark):
     assert set(got) == {"meta", "trait", "attrs", "skill:冲锋号令"} and "职业：先锋" in got["meta"][0] and got["attrs"] == ["攻击：精英0 1级 10、精英1 满级 20"]
     assert chunking.operator_guides(op).first().title == "芬"
     foe = spark.sql("select '碎骨' source, array(named_struct('level', 1, 'data', map('名称', '碎骨', '防御力', '500'), 'traits', array('a', 'b'))) levels")
-    assert chunking.enemy_sections(foe).first().paragraphs == ["名称：碎骨", "防御力：500", "特性：a、b"]
+    assert chunking.enemy_sections(foe).first().paragraphs == ["敌人碎骨（级别1）。", "防御力：500", "特性：a、b"]
     stage = spark.sql("select '3-8' source, map('name', '黄昏', '部署上限', '8') normal, map('x', 'y') raid, array(map('名称', '碎骨', '数量', '2')) enemies")
     assert {r.section for r in chunking.stage_sections(stage).collect()} == {"info", "enemies"} and "碎骨" in chunking.stage_guides(stage).first().text
 

@@ -66,9 +66,9 @@ def test_video_tables(spark):
     assert [(r["index"], r.timestamp) for r in frames] == [(1, 0.0), (2, 5.0), (3, 10.0)]
     near = spark.createDataFrame([(7.5, 9), (7.6, 9), (99.0, 3)], "anchor double, n_frames int").select(video.nearest_frame(None, 5.0).alias("i")).collect()
     assert [r.i for r in near] == [2, 3, 3]
-    raw = [("v", 5.0, '```json\n{"chart_type": "table", "operator": "A", "confidence": 0.9}\n```'), ("v", 6.0, '{"chart_type": "...", "operator": "A", "confidence": 0.9}'), ("v", 0.0, '{"chart_type": "table", "confidence": 0.9}'), ("v", 7.0, "no json")]
+    raw = [("v", 5.0, '```json\n{"chart_type": "table", "operator": "A", "confidence": 0.9}\n```'), ("v", 6.0, '{"chart_type": "table", "operator": "主角干员名", "confidence": 0.9}'), ("v", 6.5, '{"chart_type": "table", "operator": "A", "data": {"title": "示例标题"}, "confidence": 0.9}'), ("v", 0.0, '{"chart_type": "table", "confidence": 0.9}'), ("v", 7.0, "no json")]
     got = video.read_charts(spark.createDataFrame(raw, "video_id string, timestamp_sec double, raw string")).collect()
-    assert [(r.chart_type, r.kept) for r in got] == [("table", True), ("unknown", False), ("table", False), ("unknown", False)] and got[3].raw == "no json"
+    assert [(r.chart_type, r.kept) for r in got] == [("table", True), ("unknown", False), ("unknown", False), ("table", False), ("unknown", False)] and got[4].raw == "no json"
     p = spark.createDataFrame([("v", 65.0, "table", "A", [{"a": "1"}], None, "hi", True), ("v", 0.0, "tier_list", "A", None, {"T1": ["x"], "T0": ["y", "z"]}, None, False)], "video_id string, t double, chart_type string, operator string, rows array<map<string,string>>, tiers map<string,array<string>>, speech string, matched boolean")
     got = video.records(p, spark.createDataFrame([("v", "T", "U")], "bv_id string, title string, uploader string")).orderBy("t").collect()
     assert got[0].answer == "T0：y、z\nT1：x\n" + video.UNMATCHED and "01:05" in got[1].question and got[1].answer == "a=1\nhi"
@@ -111,8 +111,8 @@ def test_plans(spark):
     p = spark.createDataFrame([(1, 12, True, {"a": 10, "b": 5, "c": 1}, ["f"], ["A1", "A2", "A3"], ["f#1"], True, acts)], schema)
     got = episodes.feasibility(p).orderBy("idx").collect()
     assert [r.reason for r in got] == ["", "cell taken by plan", "cost short", "not in hand", "already deployed", "", "skill not ready", "not on field", "", "cell not free"]
-    kept = spark.createDataFrame([(1, 0, "wait", None, None), (1, 1, "deploy", "y", "医疗"), (1, 2, "deploy", "x", "先锋"), (1, 3, "deploy", "w", "?")], "plan_id int, idx int, action string, operator_id string, class string")
-    assert [r.operator_id for r in episodes.deploy_order(kept).orderBy("pos").collect()] == ["x", "y", "w", None]
+    kept = spark.createDataFrame([(1, 0, "wait", None, None), (1, 1, "deploy", "y", "医疗"), (1, 2, "deploy", "x", "先锋"), (1, 3, "deploy", "w", "?"), (1, 4, "deploy", "v", "近卫"), (1, 5, "deploy", "u", "重装")], "plan_id int, idx int, action string, operator_id string, class string")
+    assert [r.operator_id for r in episodes.deploy_order(kept).orderBy("pos").collect()] == ["v", "x", "u", "w", "y", None]
     s = spark.createDataFrame([("s", i, k) for i, k in enumerate([0, 0, 0, 2, 0])], "series_id string, ts int, kept int")
     assert [(r.streak, r.flagged, r.confidence) for r in episodes.noop_streaks(s).orderBy("ts").collect()] == [(1, False, 0.35), (2, False, 0.35), (3, True, 0.2), (0, False, 0.9), (1, False, 0.35)]
     a = spark.createDataFrame([("deploy", "a", "a3", None, None), ("deploy", "", "33", 1, None), ("skill", "a", None, 4, None), ("wait", None, None, None, 70000), ("retreat", "a", "A1", None, None), ("fly", None, None, None, None)], "action string, operator_id string, grid_pos string, skill_id int, duration_ms int")

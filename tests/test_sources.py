@@ -78,24 +78,41 @@ def test_writers(spark, tmp_path):
 
 
 HTML = """<html><head><title>3-8 黄昏</title><script>var operator = {"name": "芬", "star": 2, "class": "先锋", 'x': 1,};</script></head><body>
-<div class="mw-heading"><h2 id="属性">属性</h2></div><table class="wikitable"><tr><th>项</th><th>初始</th><th>满级</th></tr><tr><td>攻击</td><td> 10 </td><td>2 0</td></tr><tr><td></td></tr></table>
-<div><h2 id="级别1">级别1</h2></div><table><tr><th>名称</th><th>种类</th></tr><tr><td>碎骨</td><td>精英</td></tr><tr><th>防御力（基础）</th><td>500</td><th>特性</th><td>硬；快</td></tr></table>
+<div class="mw-heading"><h2 id="特性">特性</h2></div><table><tr><th>分支</th><th>条件</th></tr><tr><td>猎手</td><td>精英阶段0</td></tr><tr><td>精英阶段1</td><td>甲</td></tr><tr><td>精英阶段2</td><td>乙</td></tr><tr><td>分支信息</td></tr><tr><td>说明</td></tr></table>
+<div class="mw-heading"><h2 id="获得方式">获得方式</h2></div><table><tr><th>获得</th><td>寻访</td></tr></table>
+<div class="mw-heading"><h2 id="属性">属性</h2></div><table class="char-extra-attr-table"><tr><th>再部署时间</th><td>70</td></tr></table><table class="wikitable char-base-attr-table"><tr><th></th><th>初始</th><th>满级</th></tr><tr><td>攻击</td><td> 10 </td><td>2 0</td></tr><tr><td></td></tr></table>
+<div class="mw-heading"><h2 id="技能">技能</h2></div><table class="nomobile"><tr><td></td><td>冲锋</td><td>自动</td></tr><tr><th>等级</th><th>描述</th><th>初始</th></tr><tr><td>1</td><td>快</td><td>0</td><td>5</td><td>10</td></tr></table>
+<div><h2 id="级别1">级别1</h2></div><table class="wikitable"><tr><th>名称</th><th>地位<br>战斗中所使用的数据</th></tr><tr><td>碎骨</td><td>精英</td></tr><tr><th>防御力（基础）</th><td>500</td><th>生命自回速度</th><td>0</td></tr><tr><th>重量</th><td>3</td><th>未知项</th><td>x</td></tr><tr><td>尾<i>硬</i><i> 快 </i></td></tr></table>
+<div><h2 id="级别2">级别2</h2></div><table class="enemy-info-level"><tr><th>防御力</th><td>600</td><th>天赋</th><td>硬；快</td></tr></table>
 <div><h2 id="敌人">敌人</h2></div><table class="navbox"><tr><td>nav</td></tr></table><table><tr><th>图</th></tr><tr><th>名称</th><th>数量</th></tr><tr><td>碎骨</td><td>2</td></tr><tr><td>短</td></tr></table></body></html>"""
+PLAIN = '<h2 id="特性">特性</h2><table><tr><th>分支</th><th>描述</th></tr><tr><td>速射手</td><td>优先攻击空中单位</td></tr></table>'
 
 
 def test_page_tables(spark):
-    pages = spark.createDataFrame([(1, HTML), (2, None)], "page_id long, html string")
-    rows = extract.rows_of(extract.cells(pages))
-    assert rows.filter("section = '属性'").count() == 2
-    g = extract.growth(rows).first()
-    assert g.stages == ["初始", "满级"] and g.rows == {"攻击": ["10", "2 0"]}
-    level = extract.enemy_levels(rows).first()
-    assert level.level == 1 and level.data == {"名称": "碎骨", "种类": "精英", "防御力": "500", "特性": "硬；快"} and level.traits == ["硬", "快"]
+    pages = spark.createDataFrame([(1, HTML), (2, None), (3, PLAIN)], "page_id long, html string")
+    rows = extract.rows_of(extract.cells(pages)).cache()
+    assert rows.filter("section = '属性'").count() == 3
+    op = {r.page_id: r for r in extract.operator_records(pages, rows).collect()}
+    assert op[1].trait == {"分支": "猎手", "描述": "精英阶段1：甲；精英阶段2：乙", "分支信息": "说明"} and op[3].trait == {"分支": "速射手", "描述": "优先攻击空中单位"}
+    assert op[1].obtain == {"获得": "寻访"} and op[1].extra_attrs == {"再部署时间": "70"} and op[2].skills is None
+    assert op[1].stages == ["初始", "满级"] and op[1].rows == {"攻击": ["10", "2 0"]}
+    assert [(k.name, k.type, [tuple(v) for v in k.levels]) for k in op[1].skills] == [("冲锋", "自动", [("1", "快", "0", "5", "10")])]
+    level = {r.level: r for r in extract.enemy_levels(rows).collect()}
+    assert level[1].data == {"名称": "碎骨", "地位": "精英", "防御力": "500", "生命自回速度": "0", "重量": "3", "未知项": "x"} and level[1].traits == ["硬", "快"]
+    assert level[2].data == {"防御力": "600", "天赋": "硬；快"} and level[2].traits == ["硬；快"]
     assert [r.enemy for r in extract.stage_enemies(rows.filter("section = '敌人'")).collect()] == [{"名称": "碎骨", "数量": "2"}]
     assert extract.titles(pages).filter("page_id = 1").first().code == "3-8"
     assert extract.stage_cards(rows.filter("section = '敌人'")).count() == 1
 
 
+def test_wide_tables_lose_nothing(spark):
+    wide = "<table class='char-base-attr-table'><tr><th></th>" + "".join(f"<th>{i}</th>" for i in range(150)) + "</tr><tr><td>a</td>" + "".join(f"<td>{i}</td>" for i in range(150)) + "</tr></table>"
+    deep = "<h2 id='技能'>s</h2><table class='nomobile'><tr><td>n</td><td>t</td></tr><tr><th>等级</th><th>b</th><th>c</th></tr>" + "<tr><td>1</td><td>d</td><td>0</td><td>5</td><td>9</td></tr>" * 1200 + "</table>"
+    rows = extract.rows_of(extract.cells(spark.createDataFrame([(1, "<h2 id='属性'>x</h2>" + wide + deep)], "page_id long, html string")))
+    g = extract.growth(rows).first()
+    assert len(g.stages) == 150 and len(g.rows["a"]) == 150 and len(extract.skills(rows).first().levels) == 1200
+
+
 def test_script_objects():
     assert json.loads(extract.js_object('var a = 1; var op = {"n": "it\\\'s {x}", "l": [1, 2,],};', "op")) == {"n": "it's {x}", "l": [1, 2]}
     assert extract.js_object("var op = {bad", "op") == "{}" and extract.js_object(None, "op") == "{}" and extract.js_object("var op = {a: 1};", "op") == "{}"
