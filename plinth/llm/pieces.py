@@ -9,7 +9,7 @@ Pieces hold the word mark at their start alone, and characters outside the vocab
 and a bounded table remembers the recent ones. Characters without a piece become byte pieces.
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts are taken whole; repeated rows get a row each;
-a lone surrogate, which UTF-8 lacks, is read as U+FFFD. Other columns are never read.
+a lone surrogate, which UTF-8 lacks, is read as U+FFFD; an empty table gives no rows. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ densities, each from the Mahalanobis distance and the factor's log determinant.
 
 Defined results: null and empty texts have statistics of zero and get a score like any other; repeated
 rows get a row each; labels of null, or of documents that are not there, teach nothing; with one class
-or none labelled the score is the share of label 1 (0.5 without labels). Other columns of documents are
-never read.
+or none labelled the score is the share of label 1 (0.5 without labels); texts of any length count whole; an empty table
+gives no rows. Other columns of documents are never read, and pass through keep_good whatever their names.
 """
 
 from __future__ import annotations
@@ -82,11 +82,19 @@ class Model:
         z = (x - self.centre) / self.scale
         logs = []
         for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)  # factor @ factor.T is the covariance
+            y = forward(factor, (z - mean).T)  # factor @ factor.T is the covariance
             logs.append(-0.5 * (y * y).sum(0) - 0.5 * log_det)
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.bias, -30, 30)))
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with factor @ y = b, for a lower triangular factor: row by row from the top."""
+    y = np.empty_like(b)
+    for i in range(len(factor)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 def featurize(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics, for each row."""
 

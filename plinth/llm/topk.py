@@ -12,7 +12,7 @@ query that it can't rule out. The driver sees d * d sums, and the BLOCK longest
 
 Defined results: vectors that are null, empty or hold a null or a non-finite component take no part, nor do rows with a null vec_id;
 vectors of fewer components than the longest are filled up with zeros; vec_id names a row: rows that share the query's are its own;
-exact repeats (vec_id and x) count once, rows of one id with other vectors are candidates each; a repeated query id asks with its least vector; equal scores go to the smaller vec_id; fewer candidates than k give as many rows as there are. Other columns are never read.
+exact repeats (vec_id and x) count once, rows of one id with other vectors are candidates each; a repeated query id asks with its least vector; equal scores go to the smaller vec_id; fewer candidates than k give as many rows as there are; an empty table gives no rows. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

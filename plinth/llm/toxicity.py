@@ -8,7 +8,8 @@ Learning takes a bounded sample: the SAMPLE labelled rows of the learning folds
 The driver gets feature numbers of the VOCABULARY best features for those rows, never texts. Scoring takes every whole text.
 
 Defined results: null and empty texts have no features and score the bias's logistic; labels of null or without a document teach nothing; with one class
-or none labelled the score is the smoothed share of label 1; repeated documents get a row each, and repeated labels of an id count each. Other columns are never read.
+or none labelled the score is the smoothed share of label 1; repeated documents get a row each, and repeated labels of an id count each; texts of any length count whole; an empty table gives no rows. Other columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations

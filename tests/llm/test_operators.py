@@ -9,13 +9,17 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plinth.llm import decontam, linededup, neardup, pieces, quality, secrets, setdup, sharding, topk, toxicity, urlfilter
 from plinth.llm.queries import oracle_sql, piece_model, queries
+from tests.llm.test_advice import brute_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = DOCS + ", score double, shard int, row long, fp long, `at` string, hits string, line string"
+#: Every column name that an operator uses inside, as a user's column.
+INSIDE = "score shard row fp at hits line _row _of _kept _near _left _stay doc of place block slot node root key keys a b n low s bucket first size hub degree own items kept known h text_crc32 page part x".split()
+CLASHING = DOCS + "".join(f", `{c}` string" for c in INSIDE)
 AWKWARD = [
     (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "   \n\t ", "en", "a", 6), (4, "one", "en", "a", 3), (4, "one", "en", "a", 3), (None, "one two three four five six seven eight nine", None, None, None),
     (5, "The Quick brown fox jumps over the lazy dog again\nand again\n\nThe Quick brown fox jumps over the lazy cat again", "en", "b", 99), (6, "The Quick brown fox jumps over the lazy dog again\nand again", "en", "b", 50), (7, "word " * 30_000, "en", "c", 150_000), (8, "é 漢𠀀 ▁x \x00 ﬁ", "xx", "c", 9),
@@ -23,7 +27,7 @@ AWKWARD = [
 
 
 def frames(spark):
-    rows = [r + (0.5, 1, 2, 3, "x", "y", "z") for r in AWKWARD]
+    rows = [r + tuple(f"{c} {i}" for c in INSIDE) for i, r in enumerate(AWKWARD)]
     return {"awkward": spark.createDataFrame(AWKWARD, DOCS), "clashing": spark.createDataFrame(rows, CLASHING).repartition(3), "empty": spark.createDataFrame([], DOCS)}
 
 
@@ -60,7 +64,94 @@ def test_awkward_rows(spark, tables, which):
     assert len(rows) == n
     for out in (quality.keep_good(docs, labels), linededup.dedup_lines(docs), setdup.keep_one(docs), decontam.keep_clean(docs, items)):
         assert out.columns == docs.columns
-        out.collect()
+        before = Counter(str([r[c] for c in docs.columns if c not in ("text", "n_chars")]) for r in docs.collect())
+        assert not Counter(str([r[c] for c in docs.columns if c not in ("text", "n_chars")]) for r in out.collect()) - before
+    whole = sharding.shard_documents(docs).collect()
+    assert Counter(map(str, (r.doc for r in whole))) == Counter(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_awkward_pages_and_vectors(spark, clash):
+    urls = [(1, "http://a.example.org/x", "<p>fine</p>"), (1, "http://a.example.org/x", "<p>fine</p>"), (2, None, None), (None, "", ""), (3, "no scheme", "x" * 200_000), (4, "http://" + "h" * 50_000 + ".net/" + "p" * 50_000, "&amp;" * 9)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, html string")
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [0.5]), (7, [2.0, 0.0]), (7, [0.0, 2.0]), (None, [1.0]), (8, None)], "vec_id long, embedding array<double>")
+    if clash:
+        for c in ("host", "bad", "path", "rule", "verdict", "known_host", "fit", "domain", "suffix", "k", "n", "mean"):
+            pages = pages.withColumn(c, F.lit("u"))
+        for c in ("x", "norm", "part", "block", "score", "rank", "query_id"):
+            vectors = vectors.withColumn(c, F.lit("u"))
+    rows = urlfilter.judge(pages, urlfilter.page_outcomes(pages)).collect()
+    assert len(rows) == len(urls) and {(r.host, r.path) for r in rows if r.page_id in (2, 3, None)} == {("", "")} and all(r.verdict in ("allow", "block") for r in rows)
+    assert urlfilter.judge(pages.filter("false"), urlfilter.page_outcomes(pages.filter("false"))).count() == 0
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.every_fiftieth(vectors).collect())
+    assert got == [(0, 1, 7, 256 * 1024), (0, 2, 7, 512 * 256), (0, 3, 50, 128 * 256), (50, 1, 7, 128 * 512), (50, 2, 0, 128 * 256), (50, 3, 7, 0)]
+    assert topk.every_fiftieth(vectors.filter("false")).count() == 0
+
+
+def test_bad_hosts_are_blocked_on_the_given_pages(spark, small):
+    d = small.replace("sf0.001", "sf0.1")
+    rows = [r for r in queries()["op4_url_filter"](spark, d).collect() if r.rule is None]
+    bad = lambda h: bool(re.search(r"(^|[^a-z])(adult|ads|bets|casino|pills|spam)([^a-z]|$)", h))
+    blocked = [r for r in rows if r.verdict == "block"]
+    assert blocked and all(bad(r.host) for r in blocked) and all(r.verdict == "block" for r in rows if bad(r.host))
+
+
+def test_planted_random_strings():
+    """Recall and precision of the token test on strings planted in the given documents' words."""
+    import string
+
+    rng, path = random.Random(4), secrets.default_vocabulary()
+    words_ = ["the", "quick", "internationalization", "getElementsByClassName", "/usr/share/python3/dist-packages", "D41D8CD98F00B204E9800998ECF8427E", "2024-01-01T10-20-30", "snake_case_identifier_here", "é" * 20, "Grüßeinpfauaueinchpfän"]
+    found = extra = 0
+    for i in range(400):
+        run = "".join(rng.choice(string.ascii_letters + string.digits + ("+/" if i % 2 else "")) for _ in range(rng.randrange(16, 45)))
+        t = " ".join(rng.choices(words_, k=6)) + f' token="{run}" ' + " ".join(rng.choices(words_, k=6))
+        spans = secrets.random_spans(t, path)
+        found += any(t[s:e] == run for s, _, e in spans)
+        extra += sum(t[s:e] != run for s, _, e in spans)
+    assert found >= 0.95 * 400 and extra <= 0.05 * 400
+    assert secrets.random_spans("aws_secret_access_key = \"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\"", path)
+
+
+def test_quality_equals_the_formula(spark, small):
+    """Scores from numpy's covariances, inverses and determinants, without factors or sums."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs]
+    x = {i: np.array(quality.statistics(t)) for i, t in docs.items()}
+    learn = [np.array([x[i] for i, q in labels if q == k]) for k in (0, 1)]
+    every = np.concatenate(learn)
+    centre, scale = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-6))
+    z = [(a - centre) / scale for a in learn]
+    covs = [np.cov(a.T, bias=True) for a in z]
+    pooled, d, density = sum(len(a) * c for a, c in zip(z, covs)) / len(every), every.shape[1], []
+    for a, c in zip(z, covs):
+        lean = min(1.0, quality.POOLED + d / len(a))
+        c = (1 - lean) * c + lean * pooled
+        c = (1 - quality.RIDGE) * c + quality.RIDGE * np.trace(c) / d * np.eye(d)
+        density.append(lambda v, m=a.mean(0), inv=np.linalg.inv(c), det=np.linalg.slogdet(c)[1], n=len(a): np.log(n) - 0.5 * ((v - m) @ inv @ (v - m) + det))
+    for r in queries()["op1_quality"](spark, small).collect():
+        v = (x[r.doc_id] - centre) / scale
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(density[1](v) - density[0](v), -30, 30)))) < 1e-6
+
+
+def test_toxicity_learns_the_least_loss():
+    """The learnt weights against the loss written out over dense matrices: no direction goes down."""
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 8)) < 0.4
+    y = (x[:, 0] | (rng.random(60) < 0.2)).astype(int)
+    swaps = [[[5, -1 - 4]] if x[i, 4] and not x[i, 5] else [] for i in range(60)]
+    m = toxicity.learn([f"f{i}" for i in range(8)], [(int(y[i]), np.flatnonzero(x[i]).tolist(), swaps[i]) for i in range(60)], 2.0)
+    weight = 0.5 * np.where(y == 1, 0.5 / y.sum(), 0.5 / (60 - y.sum())) + 0.5 / 60
+    pairs = sum(map(bool, swaps))
+
+    def loss(w, b):
+        t = x @ w + b
+        return (weight * (np.log1p(np.exp(t)) - y * t)).sum() + toxicity.L2 / 2 * w @ w + 2.0 / pairs * pairs * (w[5] - w[4]) ** 2
+
+    w, b = np.array(m.weights), m.bias
+    for _ in range(50):
+        step = rng.normal(size=9) * 1e-2
+        assert loss(w + step[:8], b + step[8]) > loss(w, b) - 1e-9
 
 
 def test_empty_labels_and_items(spark, tables):
@@ -394,8 +485,7 @@ def test_pipeline_stages(spark, small, tmp_path):
         elif name == "lines":
             assert {r.doc_id: r.text for r in rows} == brute_lines(sorted(kept.items()))
         elif name == "near_duplicates":
-            roots = brute_components({i: brute_fp(t) for i, t in kept.items()})
-            assert {r.doc_id for r in rows} == set(roots.values())
+            assert {r.doc_id for r in rows} == brute_sets(sorted(kept.items()))
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
             hits = {i: brute_hits(t, items) for i, t in kept.items()}
