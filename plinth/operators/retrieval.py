@@ -77,6 +77,21 @@ def bm25(chunks: DataFrame | None, queries: DataFrame, k: int = 10, types: list[
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), F.round("raw", 4).alias("score"))
 
 
+def search_guide(chunks: DataFrame, requests: DataFrame, bounds: tuple[int, int] = (1, 20), tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """req_id, found, rank, ord, score, evidence (retrieved) for the k best chunks of each request, k held to the bounds, of one type if it names one. A request
+    that is blank or finds nothing has one row, found = false. requests: req_id, query, k, doc_type. Weights are those of the whole corpus."""
+    kept = requests.select("req_id", F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), F.coalesce("k", F.lit(5)))).alias("k"), "doc_type", "query")
+    asked = kept.select("req_id", "k", "doc_type", F.explode(tokens(F.col("query"))).alias("term")).groupBy("req_id", "k", "doc_type", "term").agg(F.count("*").alias("qtf"))
+    weighted = asked.join(term_weights(term_table(chunks, tokens(F.col("text")))), "term")
+    found = postings(chunks, tokens(F.col("text")), asked.select("term").distinct()).join(weighted, "term").filter("doc_type is null or type = doc_type")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    scores = found.groupBy("req_id", "ord").agg(F.sum(part).alias("raw"), F.first("k").alias("k")).filter("raw > 0")
+    place = F.row_number().over(Window.partitionBy("req_id").orderBy(F.round("raw", 9).desc(), "ord"))
+    best = scores.withColumn("place", place).filter(F.col("place") <= bounds[1]).filter("place <= k")
+    best = best.select("req_id", (F.col("place") - 1).cast("long").alias("rank"), "ord", F.round("raw", 4).alias("score"))
+    return requests.select("req_id").join(best, "req_id", "left").select("req_id", F.col("ord").isNotNull().alias("found"), "rank", "ord", "score", F.lit("retrieved").alias("evidence"))
+
+
 def token_overlap(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, ord, rank, score: chunk words among the query's, over the root of both lengths' product (4 places)."""
     asked = queries.select("query_id", words(F.col("query")).alias("q")).select("query_id", F.size("q").alias("ql"), F.explode(F.array_distinct("q")).alias("term"))

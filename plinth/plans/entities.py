@@ -247,10 +247,53 @@ def code_prefixes(t: Tables) -> DataFrame:
     return audit.top_prefixes(t.orders, "o_orderpriority")
 
 
-@query()
+def row_of(*cells: tuple[str, object]):
+    """The markup of a table row; a cell is a tag and a text or column."""
+    return F.concat(F.lit("<tr>"), *[x for tag, c in cells for x in (F.lit(f"<{tag}>"), F.lit(c) if isinstance(c, str) else c.cast("string"), F.lit(f"</{tag}>"))], F.lit("</tr>"))
+
+
+def enemy_markup(t: Tables) -> DataFrame:
+    """A page for each part: two levels, headers with notes, waiting headers, and italics in the last row of the first."""
+    level = lambda n, *rows: F.concat(F.lit(f'<div class="mw-heading"><h2 id="级别{n}">级别{n}</h2></div><table class="wikitable">'), *rows, F.lit("</table>"))
+    one = level(1, row_of(("th", "名称"), ("th", "地位 战斗中所使用的数据")), row_of(("td", F.col("p_name")), ("td", F.col("p_type"))), row_of(("th", "防御力（基础）"), ("td", F.col("p_size")), ("th", "重量"), ("td", F.col("p_partkey") % 7)), row_of(("td", F.concat(F.lit("<i>"), "p_brand", F.lit("</i> x <i>"), "p_type", F.lit("</i>")))))
+    two = level(2, row_of(("th", "防御力"), ("td", F.col("p_size") + 1)), row_of(("th", "天赋"), ("td", F.col("p_type"))))
+    return t.part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<html><head><title>x</title></head><body>"), one, two, F.lit("</body></html>")).alias("html"))
+
+
+@query("""
+select p_partkey as page_id, 1 as level, p_name as name, p_type as position, p_size::varchar as defense, (p_partkey % 7)::varchar as weight, p_brand || '|' || p_type as traits from part
+union all select p_partkey, 2, null, null, (p_size + 1)::varchar, null, p_type from part
+""")
 def page_tables(t: Tables) -> DataFrame:
-    """Rows of tables in all pages, with their sections."""
-    return extract.rows_of(extract.cells(t.pages)).groupBy("page_id", "section").agg(F.count("*").alias("n_rows"))
+    """Enemy levels read back from pages that the part table makes."""
+    found = extract.enemy_levels(extract.rows_of(extract.cells(enemy_markup(t))))
+    at = lambda k: F.try_element_at("data", F.lit(k))
+    return found.select("page_id", "level", at("名称").alias("name"), at("地位").alias("position"), at("防御力").alias("defense"), at("重量").alias("weight"), F.array_join("traits", "|").alias("traits"))
+
+
+def operator_markup(t: Tables) -> DataFrame:
+    """A page for each supplier: plain or conditional trait, growth and extra attributes, one skill."""
+    plain = F.concat(row_of(("th", "分支"), ("th", "描述")), row_of(("td", F.col("s_name")), ("td", F.concat(F.lit("t"), F.col("s_nationkey").cast("string")))))
+    steps = F.concat(row_of(("th", "分支"), ("th", "条件")), row_of(("td", F.col("s_name")), ("td", "0")), row_of(("td", "1"), ("td", F.concat(F.lit("t"), F.col("s_nationkey").cast("string")))), row_of(("td", "2"), ("td", "z")), row_of(("td", "分支信息")), row_of(("td", "说明")))
+    head = lambda s: F.lit(f'<div class="mw-heading"><h2 id="{s}">{s}</h2></div>')
+    table = lambda cls, x: F.concat(F.lit(f'<table class="{cls}">'), x, F.lit("</table>"))
+    growth = F.concat(row_of(("th", ""), ("th", "初始"), ("th", "满级")), row_of(("td", "攻击"), ("td", F.col("s_suppkey")), ("td", F.col("s_nationkey"))))
+    skill = F.concat(row_of(("td", ""), ("td", F.concat(F.lit("技"), F.col("s_suppkey").cast("string"))), ("td", "自动")), row_of(("th", "等级"), ("th", "描述"), ("th", "初始")), row_of(("td", "1"), ("td", F.concat(F.lit("t"), F.col("s_nationkey").cast("string"))), ("td", "0"), ("td", "5"), ("td", "9")))
+    script = F.concat(F.lit('<script>var operator = {"name": "'), "s_name", F.lit('", "star": '), (F.col("s_nationkey") % 6).cast("string"), F.lit(",};</script>"))
+    page = F.concat(script, head("特性"), table("w", F.when(F.col("s_suppkey") % 2 == 0, plain).otherwise(steps)), head("获得方式"), table("w", row_of(("th", "获得"), ("td", F.col("s_nationkey")))), head("属性"), table("char-extra-attr-table", row_of(("th", "再部署"), ("td", F.col("s_suppkey")))), table("char-base-attr-table", growth), head("技能"), table("nomobile", skill))
+    return t.supplier.select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
+
+
+@query("""
+select s_suppkey as page_id, s_name as name, s_nationkey % 6 + 1 as star_rating, s_name as branch, case when s_suppkey % 2 = 0 then ('t' || s_nationkey) else '1：' || ('t' || s_nationkey) || '；2：z' end as trait, case when s_suppkey % 2 = 1 then '说明' end as about,
+  s_nationkey::varchar as obtain, s_suppkey::varchar as redeploy, s_suppkey || ',' || s_nationkey as attack, '技' || s_suppkey as skill, ('t' || s_nationkey) as skill_text from supplier
+""")
+def operator_pages(t: Tables) -> DataFrame:
+    """Operator records read back from pages that the supplier table makes."""
+    pages = operator_markup(t)
+    r = extract.operator_records(pages, extract.rows_of(extract.cells(pages)))
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    return r.select("page_id", "name", F.col("star_rating").cast("long").alias("star_rating"), at("trait", "分支").alias("branch"), at("trait", "描述").alias("trait"), at("trait", "分支信息").alias("about"), at("obtain", "获得").alias("obtain"), at("extra_attrs", "再部署").alias("redeploy"), F.array_join(at("rows", "攻击"), ",").alias("attack"), F.col("skills")[0]["name"].alias("skill"), F.col("skills")[0]["levels"][0]["desc"].alias("skill_text"))
 
 
 @query(r"select page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ') as title, split_part(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' '), ' ', 1) as code from pages")

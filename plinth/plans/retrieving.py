@@ -172,6 +172,23 @@ def retrieval_hit_at_k(t: Tables) -> DataFrame:
     return found.select("query_id", "hit", F.coalesce("hit_rank", F.lit(-1)).alias("hit_rank"))
 
 
+_GUIDE = _BM25.format(where="", k=20).split("\ns as (")[0]
+
+
+@query(_GUIDE + r"""
+a as (select query_id, 1 + query_id % 25 as k, case query_id % 3 when 1 then 'en' when 2 then 'xx' end as doc_type from (select item_id as query_id from benchmark)),
+s as (
+  select query_id, ord, any_value(k) as k, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as raw
+  from post join idf using (term) join q using (term) join a using (query_id), size where doc_type is null or type = doc_type group by query_id, ord),
+r as (select query_id, ord, k, row_number() over (partition by query_id order by round(raw, 9) desc, ord) - 1 as rank, round(raw, 4) as score from s where raw > 0)
+select a.query_id as req_id, ord is not null as found, rank, ord, score, 'retrieved' as evidence from a left join r on a.query_id = r.query_id and rank < least(20, r.k)
+""")
+def guide_search(t: Tables) -> DataFrame:
+    """Requests with their own k (beyond the bound for some) and type (one that no document has, for a third)."""
+    kind = F.when(F.col("query_id") % 3 == 1, "en").when(F.col("query_id") % 3 == 2, "xx")
+    return retrieval.search_guide(chunks(t), asked(t).select(F.col("query_id").alias("req_id"), "query", (1 + F.col("query_id") % 25).cast("int").alias("k"), kind.alias("doc_type")))
+
+
 @query()
 def embedded_topk(t: Tables) -> DataFrame:
     """Documents and prefixed queries through the offline embedder, then exact top-k."""

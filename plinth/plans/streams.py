@@ -14,12 +14,15 @@ from plinth.streaming import live
 
 
 def scratch(t: Tables) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a temporary one where none is set (as in tests)."""
+    """A new folder where all executors can write: under spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     import tempfile
 
     sc = t.spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
+        given = t.spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
     return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions.text import sentences, token_ids, words
@@ -114,3 +115,23 @@ def test_entity_sections(spark):
 def test_token_ids(spark):
     row = spark.createDataFrame([("能 ab1 能",)], "t string").select(token_ids(F.col("t"), 1000).alias("i")).first()
     assert len(row.i) == 3 and row.i[0] == row.i[2] and all(10 <= x < 1000 for x in row.i)
+
+
+def test_saved_index_and_guide_search(spark, tmp_path):
+    assert retrieval.save_index(corpus(spark), str(tmp_path / "index"))[0] == corpus(spark).count()
+    index = retrieval.load_index(spark, str(tmp_path / "index"))
+    q = ask(spark, "能天使 技能", "敌人", "zzzqqqxxx")
+    assert sorted(map(tuple, retrieval.bm25(None, q, 5, index=index).collect())) == sorted(map(tuple, retrieval.bm25(corpus(spark), q, 5).collect()))
+    asked = spark.createDataFrame([(1, "能天使 技能", 99, None), (2, "敌人", 0, "enemy"), (3, "敌人", 5, "guide"), (4, "", None, None)], "req_id long, query string, k int, doc_type string")
+    got = retrieval.search_guide(corpus(spark), asked).collect()
+    assert {r.req_id: r.found for r in got} == {1: True, 2: True, 3: False, 4: False} and {r.evidence for r in got} == {"retrieved"}
+
+
+def test_build_corpus(spark, tmp_path):
+    from plinth.operators.build import build_corpus
+
+    guides = chunking.guide_sections(spark.createDataFrame([("a", "一。\n二。"), ("b", "三。")], "title string, text string"))
+    assert build_corpus(guides, "u/", str(tmp_path / "c")) == {"chunks": 2, "added": 2, "stored": 2}
+    assert build_corpus(guides, "u/", str(tmp_path / "c")) == {"chunks": 2, "added": 0, "stored": 2}
+    with pytest.raises(ValueError):
+        build_corpus(guides.filter("false"), "u/", str(tmp_path / "c"))
