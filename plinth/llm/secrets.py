@@ -3,7 +3,7 @@
 A tokenizer that learned from ordinary text needs few tokens for words and many for random characters. Runs of key-like
 characters with few characters a token (a tiktoken vocabulary counts) are reported as kind `random`, after runs that
 are known to be harmless are taken out: digests of standard lengths in hex of either case, UUIDs, numbers and dates,
-and runs with too few kinds of characters. A run is counted part by part between its slashes, so a path passes if its names read like words and
+runs of capitals, small letters or digits alone (words that the vocabulary doesn't know are such), and runs of few characters. A run is counted part by part between its slashes, so a path passes if its names read like words and
 a key with slashes doesn't. Base spans are always kept as they are; a random run inside one is reported too.
 
 Defined results: null and empty texts have no spans; repeated rows get a row each; spans are in code points, end
@@ -90,6 +90,8 @@ def random_spans(text: str, path: str) -> list[tuple[int, int, int]]:
         run = m[0]
         if KNOWN.fullmatch(run) or text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha():  # the rest of a word in other letters
             continue
+        if sum(any(map(kind, run)) for kind in (str.islower, str.isupper, str.isdigit)) < 2:
+            continue
         n = Counter(run)
         if -sum(c / len(run) * math.log2(c / len(run)) for c in n.values()) < BITS:
             continue
