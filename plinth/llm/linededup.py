@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import cut, numbered, plain
+from plinth.llm.common import cut, numbered, plain, written
 
 #: Words from which a line has near copies.
 MIN_WORDS = 8
@@ -88,7 +88,7 @@ def near_copies(rows: DataFrame, classes: DataFrame) -> DataFrame:
     keys = _neighbourhood(chosen)
     # Keys of one class alone go first: what is left is small enough to carry places.
     met = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
-    keys = cut(keys.join(cut(met), "key", "left_semi").join(chosen.select(F.col("id.a").alias("of"), "id", "at"), F.col("a") == F.col("of")).select("key", "kind", "spot", "id", "at"))
+    keys = written(keys.join(cut(met), "key", "left_semi").join(chosen.select(F.col("id.a").alias("of"), "id", "at"), F.col("a") == F.col("of")).select("key", "kind", "spot", "id", "at"), "keys")
     # The earliest of a key: any member for replacements; the line itself against those with a word more, for deletions.
     mine = F.struct("at", "id", "spot")
     low = keys.groupBy("key").agg(F.min(F.when(F.col("kind") != GAP, mine)).alias("own"), F.min(F.when(F.col("kind") != OWN, mine)).alias("any"))
@@ -120,7 +120,7 @@ def _neighbourhood(chosen: DataFrame) -> DataFrame:
 
 def kept_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_of (row), _kept (numbers of its lines that stay, blank ones aside) and _near (lines, first of their kind, that a near copy makes go). rows: numbered."""
-    classes = cut(classes_of(lines_of(rows), min_words))
+    classes = written(classes_of(lines_of(rows), min_words), "classes")
     near = near_copies(rows, classes).select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(True).alias("near"))
     judged = classes.drop("halves").join(near, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left")
     return judged.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
