@@ -65,7 +65,7 @@ def classes_of(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def candidates(classes: DataFrame) -> DataFrame:
     """a, b, first of the classes that share a half with another one."""
     one = classes.select("a", F.explode("halves").alias("half"))
-    shared = one.groupBy("half").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("half")
+    shared = one.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")  # a class's own halves differ
     # Written first: a join of two plain tables is one whose hot keys Spark can split.
     some = one.join(cut(shared), "half", "left_semi").select(F.col("a").alias("some")).distinct()
     return classes.join(some, F.col("a") == F.col("some"), "left_semi").select("a", "b", "first")
@@ -82,22 +82,22 @@ def texts_at(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def near_copies(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """a and b of each class of lines that an earlier near copy makes go."""
+    """row and no of the first line of each class that an earlier near copy makes go."""
     found = texts_at(rows, cut(candidates(classes)))
     chosen = cut(found.select(F.struct("a", "b").alias("id"), F.col("first").alias("at"), F.split("line", " ").alias("w")))
     keys = _neighbourhood(chosen)
-    # Keys of one class alone go first: what is left is small enough to carry places.
-    met = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
+    # Keys that stand once go first: what is left is small enough to carry places. A class that has a key twice is no link, for links go to earlier lines.
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     keys = written(keys.join(cut(met), "key", "left_semi").join(chosen.select(F.col("id.a").alias("of"), "id", "at"), F.col("a") == F.col("of")).select("key", "kind", "spot", "id", "at"), "keys")
     # The earliest of a key: any member for replacements; the line itself against those with a word more, for deletions.
     mine = F.struct("at", "id", "spot")
     low = keys.groupBy("key").agg(F.min(F.when(F.col("kind") != GAP, mine)).alias("own"), F.min(F.when(F.col("kind") != OWN, mine)).alias("any"))
     links = keys.join(cut(low), "key").withColumn("to", F.when(F.col("kind") == GAP, F.col("own")).otherwise(F.col("any")))
-    links = links.filter("to is not null and to.at < at").select("id", "kind", "spot", F.col("to.id").alias("to_id"), F.col("to.spot").alias("to_spot"))
+    links = links.filter("to is not null and to.at < at").select("id", "at", "kind", "spot", F.col("to.id").alias("to_id"), F.col("to.spot").alias("to_spot"))
     here, there = chosen.select("id", "w"), chosen.select(F.col("id").alias("to_id"), F.col("w").alias("v"))
     # A replaced word stands at the same place of both lines, which its key holds.
     same = F.when(F.col("kind") == SWAP, _without("w", "spot") == _without("v", "spot")).when(F.col("kind") == GAP, _without("w", "spot") == F.col("v")).otherwise(F.col("w") == _without("v", "to_spot"))
-    return links.join(here, "id").join(there, "to_id").filter(same).select("id.a", "id.b").distinct()
+    return links.join(here, "id").join(there, "to_id").filter(same).select("at.row", "at.no").distinct()
 
 
 def _without(words: str, spot: str) -> Column:
@@ -121,9 +121,11 @@ def _neighbourhood(chosen: DataFrame) -> DataFrame:
 def kept_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_of (row), _kept (numbers of its lines that stay, blank ones aside) and _near (lines, first of their kind, that a near copy makes go). rows: numbered."""
     classes = written(classes_of(lines_of(rows), min_words), "classes")
-    near = near_copies(rows, classes).select(F.col("a").alias("na"), F.col("b").alias("nb"), F.lit(True).alias("near"))
-    judged = classes.drop("halves").join(near, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left")
-    return judged.groupBy(F.col("first.row").alias("_of")).agg(F.collect_list(F.when(F.col("near").isNull(), F.col("first.no"))).alias("_kept"), F.count_if("near").alias("_near"))
+    firsts = classes.select("first.row", F.col("first.no").alias("stays"), F.lit(None).cast("int").alias("goes"))
+    near = near_copies(rows, classes).select("row", F.lit(None).cast("int").alias("stays"), F.col("no").alias("goes"))
+    # Both are gathered by row at once, so the classes need no join with the few that go.
+    each = firsts.unionByName(near).groupBy(F.col("row").alias("_of")).agg(F.collect_list("stays").alias("firsts"), F.collect_list("goes").alias("gone"))
+    return each.select("_of", F.array_except("firsts", "gone").alias("_kept"), F.size("gone").cast("long").alias("_near"))
 
 
 def _stays(text: str) -> str:
