@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +31,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's own setting by which the shuffle files of an action go when it ends, instead of whenever the driver collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Actions on frames made within leave no shuffle files behind: what they write is read from the shared folder, so nothing needs them again.
+    While an action runs, lost shuffle files are made anew as ever. The session's own setting is put back."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there: no lost executor makes its rows anew."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with released(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def whole(docs: DataFrame) -> Column:
@@ -46,7 +64,8 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     if any(x in df.schema.simpleString() for x in ("void", "interval")):  # Parquet can't hold these types
         return cut(df)
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with released(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
