@@ -101,3 +101,41 @@ r as (
   from q join post using (host))
 select page_id, host, path, rule, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' when bad then 'block' else 'allow' end as verdict from r
 """
+
+#: CRC-32 of a list of bytes by its table of 256, which the polynomial gives.
+CRC_TABLE = """
+crc as (
+  select list(v order by i) as t
+  from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v from range(256) r(i)))"""
+CRC = "xor(list_reduce({bytes}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+#: Each tree as lists, level by level; a leaf's siblings are looked up in them, and its root is folded from the strings L.., R.. or N (no sibling).
+MERKLE = f"""
+with recursive {CRC_TABLE},
+told as (
+  select *, case when {CRC.format(bytes="list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)")} % 7 = 0 then n_chars + 1 else n_chars end as other from documents, crc),
+leaves as (select doc_id, lang, sha256(concat({{0}}, {{1}}, {{2}}, {{3}}, {{4}})) as leaf, sha256(concat({{0}}, {{1}}, {{2}}, {{5}}, {{4}})) as told from told),
+l as (select *, row_number() over (partition by lang order by doc_id nulls last, leaf) - 1 as pos from leaves),
+low as (
+  select lang, 0 as level, list(leaf order by pos) as x from l group by lang
+  union all
+  select lang, level + 1, list_transform(range(0, (len(x) + 1) // 2), lambda i: sha256(x[2 * i + 1] || coalesce(x[2 * i + 2], ''))) from low where len(x) > 1),
+tops as (select lang, x[1] as subroot, row_number() over (order by lang nulls first) - 1 as pos from low where len(x) = 1),
+high as (
+  select 0 as level, list(subroot order by pos) as x from tops
+  union all
+  select level + 1, list_transform(range(0, (len(x) + 1) // 2), lambda i: sha256(x[2 * i + 1] || coalesce(x[2 * i + 2], ''))) from high where len(x) > 1),
+step as (
+  select l.lang, l.pos, level, 0 as part, l.pos >> level as k, x from l join low on l.lang is not distinct from low.lang and len(x) > 1
+  union all
+  select l.lang, l.pos, level, 1 as part, tops.pos >> level as k, x from l join tops on l.lang is not distinct from tops.lang, high where len(x) > 1),
+proof as (
+  select lang, pos, list(coalesce(case when k & 1 = 1 then 'L' || x[k] else 'R' || x[k + 2] end, 'N') order by part, level) as s from step group by lang, pos),
+found as (
+  select l.doc_id, leaf, subroot, (select x[1] from high where len(x) = 1) as root, told, coalesce(s, []) as s
+  from l join tops on l.lang is not distinct from tops.lang left join proof on l.lang is not distinct from proof.lang and l.pos = proof.pos)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(s, lambda e: e[2:]), ''), '')) as proof_sha256,
+  list_reduce(s, lambda a, e: sha256(case when e[1] = 'L' then e[2:] || a when e[1] = 'R' then a || e[2:] else a end), told) as folded_root,
+  list_reduce(s, lambda a, e: sha256(case when e[1] = 'L' then e[2:] || a when e[1] = 'R' then a || e[2:] else a end), told) = root as verified
+from found
+""".format(*[f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text", "other")])
