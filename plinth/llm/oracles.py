@@ -139,3 +139,36 @@ select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
   list_reduce(s, lambda a, e: sha256(case when e[1] = 'L' then e[2:] || a when e[1] = 'R' then a || e[2:] else a end), told) = root as verified
 from found
 """.format(*[f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text", "other")])
+
+#: Neighbours from words with a letter left out: equal at the same place, or equal to a whole word.
+SPELLING = f"""
+with recursive {CRC_TABLE},
+r as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents)),
+d as (select doc_id, run, count(*) as n from r group by all),
+h as (
+  select run, n, {CRC.format(bytes="list_transform(range(0, strlen(s)), lambda i: ('0x' || hex(encode(s))[2 * i + 1 : 2 * i + 2])::bigint)")} as h
+  from (select *, coalesce(doc_id::varchar, '') || ':' || run as s from d), crc),
+w as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 97 = 0 then run[: (h % length(run))::bigint] || run[(h % length(run))::bigint + 2 :] else run end as word, n from h)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+gap as (select word, i, word[: i - 1] || word[i + 1 :] as k from (select word, unnest(range(1, length(word) + 1)) as i from w)),
+near as (
+  select a.word, b.word as other from gap a join gap b on a.k = b.k and a.i = b.i and a.word <> b.word
+  union
+  select a.word, w.word from gap a join w on a.k = w.word
+  union
+  select w.word, a.word from gap a join w on a.k = w.word),
+best as (
+  select near.word, count(*) as n_near, min((-w.n, near.other)) as best from near join w on near.other = w.word group by near.word),
+f as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -best[1] >= 2 * w.n then best[2] end as form, case when -best[1] >= 2 * w.n then (-best[1])::bigint end as form_n
+  from w left join best using (word)),
+walk as (
+  select word, word as at, form as next from f
+  union all
+  select walk.word, f.word, f.form from walk join f on walk.next = f.word)
+select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n from f join walk on f.word = walk.word and walk.next is null
+"""
