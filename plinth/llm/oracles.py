@@ -172,3 +172,18 @@ walk as (
   select walk.word, f.word, f.form from walk join f on walk.next = f.word)
 select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n from f join walk on f.word = walk.word and walk.next is null
 """
+
+#: Every window as a text; a word goes if a window over it is not the first of its text.
+REPEATS = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+v as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as t from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w where len(w) >= 20)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by t order by doc_id nulls last, i) as k from v) where k > 1),
+gone as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(i, i + 20)) as p from late) group by doc_id),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, w from w) x
+  where not exists (select 1 from (select doc_id, unnest(gone) as p from gone) g where g.doc_id = x.doc_id and g.p = x.i)
+  group by doc_id)
+select w.doc_id, len(w.w)::bigint as n_words, (len(w.w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontam, linededup, merkle, neardup, pieces, quality, secrets, sharding, spelling, topk, toxicity, urlfilter
+from plinth.llm import decontam, linededup, merkle, neardup, pieces, quality, repeats, secrets, sharding, spelling, topk, toxicity, urlfilter
 from plinth.llm.common import table
-from plinth.llm.oracles import DECONTAMINATION, LINE_DEDUP, MERKLE, SPELLING, TOP_K, URL_FILTER
+from plinth.llm.oracles import DECONTAMINATION, LINE_DEDUP, MERKLE, REPEATS, SPELLING, TOP_K, URL_FILTER
 
 
 def piece_model() -> str:
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return linededup.line_report(table(spark, d, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.report(table(spark, d, "documents"))
+
+
 def op12_spelling(spark: SparkSession, d: str) -> DataFrame:
     return spelling.variants(table(spark, d, "documents"))
 
@@ -73,10 +77,10 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_sentencepiece, op4_url_filter, op5_decontamination, op6_secrets, op7_simhash, op8_topk, op9_toxicity, op10_line_dedup, op12_spelling, op13_merkle, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_sentencepiece, op4_url_filter, op5_decontamination, op6_secrets, op7_simhash, op8_topk, op9_toxicity, op10_line_dedup, op11_substring_dedup, op12_spelling, op13_merkle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only for what SQL can say over whole tables: hashes by word, learnt models, random permutations and byte-pair merges are tested against
     brute force in tests/llm instead."""
-    return {"op4_url_filter": URL_FILTER, "op5_decontamination": DECONTAMINATION, "op8_topk": TOP_K, "op10_line_dedup": LINE_DEDUP, "op12_spelling": SPELLING, "op13_merkle": MERKLE}
+    return {"op4_url_filter": URL_FILTER, "op5_decontamination": DECONTAMINATION, "op8_topk": TOP_K, "op10_line_dedup": LINE_DEDUP, "op11_substring_dedup": REPEATS, "op12_spelling": SPELLING, "op13_merkle": MERKLE}
