@@ -38,7 +38,7 @@ def term_table(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
 
 def term_weights(table: DataFrame) -> DataFrame:
     """term, idf, avgdl. Negative idfs become a quarter of the mean idf over all terms. table: see term_table; what is one row is joined as one row."""
-    size = table.filter("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    size = table.filter("term is null").select(F.col("df").alias("n"), F.try_divide("words", "df").alias("avgdl"))
     raw = table.filter("term is not null").crossJoin(F.broadcast(size)).select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

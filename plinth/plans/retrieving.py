@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import minutes_seconds, page_url, sentences, stable_id
-from plinth.operators import chunking, retrieval
+from plinth.functions.shared import kept, shared_folder
+from plinth.operators import blocks, chunking, retrieval, vector_index
 from plinth.plans.registry import Tables, query
 
 BASE = "https://wiki.example/w/"
@@ -46,6 +47,30 @@ def bm25_topk_by_lang(t: Tables) -> DataFrame:
     return retrieval.bm25(chunks(t), asked(t), 5, types=["en", "fr"])
 
 
+@query(_BM25.format(where="", k=5))
+def bm25_blocks_topk(t: Tables) -> DataFrame:
+    """The same rows from an index in blocks, with the postings left unread that can't matter."""
+    return blocks.top_k(blocks.build(chunks(t)), asked(t), 5)
+
+
+_KEYWORDS = r"""
+kw as (
+  select item_id as query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 'DESC')[:2], ' ') || ' ' || array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))[:1], ' ') as query from benchmark),
+"""
+
+
+def keywords(t: Tables) -> DataFrame:
+    """Short queries: of each item the two last words of the alphabet and the first."""
+    w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.array_join(F.slice(F.reverse(w), 1, 2), " "), F.lit(" "), F.array_join(F.slice(w, 1, 1), " ")).alias("query"))
+
+
+@query(_BM25.replace("with toks", "with " + _KEYWORDS.strip().replace("{", "{{").replace("}", "}}") + "\ntoks").replace("(select item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from benchmark)", "(select query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) as term from kw)").format(where="where type in ('en', 'fr')", k=10))
+def bm25_keywords_topk(t: Tables) -> DataFrame:
+    """Short queries against two languages: few rare words set a threshold that the frequent one can't reach alone."""
+    return blocks.top_k(blocks.build(chunks(t)), keywords(t), 10, types=["en", "fr"])
+
+
 @query(r"""
 with d as (select doc_id as ord, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
 q as (select item_id as query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as q from benchmark),
@@ -95,6 +120,29 @@ def vector_named_rerank(t: Tables) -> DataFrame:
     return retrieval.named_rerank(named.withColumn("type", F.lit("vector")), 5).select("query_id", "vec_id", "score", "named", "rank")
 
 
+def vector_lists(t: Tables) -> vector_index.VectorIndex | None:
+    model = vector_index.fit(t.embeddings, k=10)
+    return model and vector_index.save(t.embeddings, shared_folder(t.spark, "vectors"), model)
+
+
+@query()
+def vector_ann_topk(t: Tables) -> DataFrame:
+    """Approximate neighbours from the learnt index over all vectors; vector_ann_recall holds them against the exact ones."""
+    index = vector_lists(t)
+    return vector_index.search(index, vector_queries(t), 10) if index else retrieval.vector_top_k(t.embeddings, vector_queries(t), 10)
+
+
+@query("select count(*) filter (vec_id % 50 = 0) as queries, true as found_nine_of_ten, true as scores_exact, count(*) as indexed from embeddings")
+def vector_ann_recall(t: Tables) -> DataFrame:
+    """Whether the index finds nine of ten exact neighbours (k = 10) of every fiftieth vector, scores them as exactly, and holds every row."""
+    index = vector_lists(t)
+    found = kept(vector_index.search(index, vector_queries(t), 10), "found")
+    exact = kept(retrieval.vector_top_k(t.embeddings, vector_queries(t), 10), "exact")
+    off = found.join(exact.withColumnRenamed("score", "s"), ["query_id", "vec_id"]).agg(F.coalesce(F.max(F.abs(F.col("score") - F.col("s"))), F.lit(0.0)).alias("off"))
+    rows = index.vectors.agg(F.count("*").alias("indexed"))
+    return vector_index.recall(found, exact).crossJoin(off).crossJoin(rows).select("queries", (F.col("recall") >= 0.9).alias("found_nine_of_ten"), (F.col("off") < 1.5e-4).alias("scores_exact"), "indexed")
+
+
 def two_paths(t: Tables) -> tuple[DataFrame, DataFrame]:
     meta = chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content"))
     a = retrieval.bm25(chunks(t), asked(t), 10).join(meta, "ord").drop("ord")

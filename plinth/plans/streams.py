@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plinth.functions.shared import shared_folder
 from plinth.operators import episodes, timeline
 from plinth.plans.registry import Tables, query
 from plinth.streaming import live
 
 
 def scratch(t: Tables) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    import tempfile
-
-    sc = t.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = t.spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="plinth-checkpoint-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    """A new folder where all executors can write."""
+    return shared_folder(t.spark, "stream")
 
 
 def event_stream(t: Tables) -> DataFrame:
