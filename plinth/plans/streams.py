@@ -109,3 +109,60 @@ def stream_equals_batch(t: Tables) -> DataFrame:
     c = run(t, live.streaks(event_stream(t).select(*steps)))
     d = episodes.noop_streaks(t.events.select(*steps).withColumnRenamed("ord", "ts")).withColumnRenamed("ts", "ord")
     return same.unionByName(c.join(d, ["series_id", "ord", "streak"]).agg(F.count("*").alias("n")).select(F.lit("streaks").alias("what"), "n"))
+
+
+@query("""
+with e as (select user_id as series_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select *, sum((before is null or ts - before > interval 1 hour)::int) over (partition by series_id order by ts rows unbounded preceding) as session from e),
+c as (select series_id, session, count(*) as n, max(ts) as last from s group by all)
+select series_id, n, epoch_us(last) // 1000 as last_ms from c where last + interval 1 hour <= (select max(ts) from events) - interval 10 minutes
+""")
+def stream_silences(t: Tables) -> DataFrame:
+    """Users who had no event for an hour: event-time timers, as far as the watermark of the whole table comes."""
+    return run(t, live.silences(event_stream(t).select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts")), 3_600_000))
+
+
+@query("""
+with r as (select event_id % 5000 as id, max({'n': event_id // 7 % 3, 'batch': event_id}) as last from events group by 1)
+select id, last.batch as batch, 'v' || last.batch % 10 as value from r
+""")
+def upsert_in_buckets(t: Tables) -> DataFrame:
+    """Three micro-batches, one of them twice; the later batch wins, inside one the later event. Only the folders that a batch falls into are written anew."""
+    from plinth.sources import writers
+
+    base = f"{scratch(t)}/table"
+    rows = t.events.select((F.col("event_id") % 5000).alias("id"), F.col("event_id").alias("batch"), F.concat(F.lit("v"), (F.col("event_id") % 10).cast("string")).alias("value"))
+    for n in (0, 1, 1, 2):
+        writers.upsert(t.spark, base, rows.filter(F.pmod(F.floor(F.col("batch") / 7), F.lit(3)) == n), batch=n)
+    return writers.read_table(t.spark, base).select("id", "batch", "value")
+
+
+@query("""
+with c as (select conv_id, turn, conv_id % 16 as part, (conv_id * 31 + turn) % 11 = 0 as bad, row_number() over (partition by conv_id % 16 order by conv_id, turn) as line from conversations)
+select part, conv_id, turn, line from c where bad
+""")
+def jsonl_bad_lines(t: Tables) -> DataFrame:
+    """Conversations as JSON lines in files by conversation, one in eleven cut off: the bad lines with their numbers."""
+    from plinth.sources import readers
+
+    out = f"{scratch(t)}/lines"
+    cut_off = F.concat(F.lit('{"conv_id": '), "conv_id", F.lit(', "turn": '), "turn")
+    value = F.when((F.col("conv_id") * 31 + F.col("turn")) % 11 == 0, cut_off).otherwise(F.to_json(F.struct("conv_id", "turn", "role", "text")))
+    rows = t.conversations.select(F.pmod("conv_id", F.lit(16)).alias("part"), "conv_id", "turn", value.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(out)
+    found = readers.bad_lines(t.spark, out, "conv_id long, turn long, role string, text string")
+    n = lambda i: F.regexp_extract("value", r"^\{.conv_id.: (\d+), .turn.: (\d+)$", i).cast("long")
+    return found.select((n(1) % 16).alias("part"), n(1).alias("conv_id"), n(2).alias("turn"), "line")
+
+
+@query("select count(*) as files, count(*) as entities, true as same from customer")
+def entity_files(t: Tables) -> DataFrame:
+    """A JSON file for each customer, by market segment, read back: as many files as customers, with the same rows."""
+    from plinth.sources import writers
+
+    out = f"{scratch(t)}/entities"
+    rows = t.customer.select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
+    n = writers.write_entity_files(rows, out)
+    back = t.spark.read.schema("c_custkey long, title string, category string").option("recursiveFileLookup", "true").json(out).withColumn("file", F.col("_metadata.file_path"))
+    same = back.join(rows.withColumnRenamed("c_custkey", "k"), (F.col("c_custkey") == F.col("k")) & (back.title == rows.title) & (back.category == rows.category), "left_semi").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+    return same.select("files", F.lit(n).cast("long").alias("entities"), (F.col("n") == n).alias("same"))

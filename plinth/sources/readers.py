@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plinth.functions.shared import kept
+
 EPISODE_ID = r"^[A-Za-z0-9_-]{1,128}$"
 _CORRUPT = "_corrupt_record"
 
@@ -52,22 +54,50 @@ def entities_lenient(spark: SparkSession, path: str, schema, missing: str = "emp
     return df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT), df.filter(F.col(_CORRUPT).isNotNull()).select("stem", F.col(_CORRUPT).alias("raw"))
 
 
-def jsonl(spark: SparkSession, path: str, schema, on_bad: str = "skip", required: list[str] | None = None) -> DataFrame:
-    """JSON lines; blank lines don't count. on_bad: 'skip' leaves bad lines out, 'keep' marks them (bad = true), 'raise' fails the job with file and place. A line is bad if it isn't an object or lacks a required key. A split file has no line numbers, so places are
-    the file and an increasing id."""
-    s = _schema(schema)
-    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"))
-    parsed = lines.select("*", F.from_json("value", T.StructType(s.fields + [T.StructField(_CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file and line (from 1) of each line of text files, however many splits a file is read in.
+
+    Each split tells where it begins, and numbers rise along a partition. So one pass writes lines with both, splits are counted, and a line's number
+    is that of the lines in earlier splits of its file (a short sum for each file) and its own in its split."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    raw = kept(raw, "lines")
+    return _with_lines(raw, raw).select("value", "file", "line")
+
+
+def _with_lines(rows: DataFrame, per_split: DataFrame) -> DataFrame:
+    """rows (at, start, id) with line. per_split: at, start, id of all lines."""
+    splits = per_split.groupBy(F.col("at").alias("s_at"), F.col("start").alias("s_start")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s_at").orderBy("s_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("s_at", "s_start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, (F.col("at") == F.col("s_at")) & (F.col("start") == F.col("s_start"))).withColumn("line", F.col("id") + F.col("shift"))
+
+
+def _judged(lines: DataFrame, schema: T.StructType, required: list[str] | None) -> DataFrame:
+    """lines (value, ...) with r, the parsed row, and bad; blank lines are left out."""
+    lines = lines.filter(F.trim("value") != "")
+    parsed = lines.select("*", F.from_json("value", T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
     bad = F.col(f"r.{_CORRUPT}").isNotNull() | F.col("r").isNull()
     for k in required or []:
         bad = bad | F.col(f"r.`{k}`").isNull()
-    marked = parsed.withColumn("bad", bad)
+    return parsed.withColumn("bad", bad)
+
+
+def bad_lines(spark: SparkSession, path: str, schema, required: list[str] | None = None) -> DataFrame:
+    """file, line and value of each bad line of JSON line files."""
+    return _judged(numbered_lines(spark, path), _schema(schema), required).filter("bad").select("file", "line", "value")
+
+
+def jsonl(spark: SparkSession, path: str, schema, on_bad: str = "skip", required: list[str] | None = None) -> DataFrame:
+    """JSON lines; blank lines don't count. A line is bad if it isn't an object or lacks a required key. on_bad: 'skip' leaves bad lines out (bad_lines tells them), 'keep'
+    marks them (bad = true) and gives each line its number, 'raise' fails at once with the file and number of the first bad line."""
+    s = _schema(schema)
     if on_bad == "raise":
-        told = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad line in "), "file", F.lit(" near "), F.col("place").cast("string")))).otherwise(F.lit(None))
-        marked = marked.withColumn("_told", told).filter("_told is null").drop("_told")
-    elif on_bad == "skip":
-        marked = marked.filter("not bad")
-    return marked.select("r.*", "file", "place", "bad").drop(_CORRUPT)
+        first = bad_lines(spark, path, s, required).orderBy("file", "line").limit(1).collect()
+        if first:
+            raise ValueError(f"bad line {first[0].line} in {first[0].file}: {first[0].value[:80]}")
+    if on_bad == "keep":
+        return _judged(numbered_lines(spark, path), s, required).select("r.*", "file", "line", "bad").drop(_CORRUPT)
+    return _judged(spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")), s, required).filter("not bad").select("r.*", "file").drop(_CORRUPT)
 
 
 def paged_items(spark: SparkSession, path: str, item: str, content: str) -> DataFrame:

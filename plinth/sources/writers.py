@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.shared import kept
 from plinth.functions.text import safe_name
+from plinth.sources.entity_files import EntityFiles
 
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
@@ -19,30 +19,92 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
 
 
 def upserted(old: DataFrame | None, new: DataFrame, key: str = "id", order: str = "batch") -> DataFrame:
-    """old and new with one row for each key, that of the highest order (new after old)."""
-    both = new.withColumn("_side", F.lit(1)) if old is None else old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    rank = [F.col("_side").desc()] + ([F.col(order).desc()] if order in both.columns else [])
-    w = Window.partitionBy(key).orderBy(*rank)
-    return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_side")
+    """old and new with one row for each key (null is a key, too), that of the highest order (new after old; of equals the one with the greatest hash). Rows of a key
+    meet as partial maxima, so a hot key costs a row for each task. Rows travel as structs: columns may have any name."""
+    q = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    both = new if old is None else old.unionByName(new, allowMissingColumns=True)
+    kind = both.schema
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        there = {f.name for f in df.schema}
+        row = F.struct(*[(q(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+        return df.select(row.alias("row"), F.lit(n).alias("side"))
+
+    rows = side(new, 1) if old is None else side(old, 0).unionByName(side(new, 1))
+    last = [F.col("row").getField(order)] if order in both.columns else []
+    tie = [] if "map<" in kind.simpleString() else [F.xxhash64("row")]
+    place = F.struct(F.col("side"), *[x.alias(f"x{i}") for i, x in enumerate([*last, *tie])])
+    return rows.groupBy(F.col("row").getField(key).alias("key")).agg(F.max_by("row", place).alias("row")).select("row.*")
+
+
+#: The folders of a table: rows by a hash of their key. No column of a table may have this name.
+BUCKET, BUCKETS = "_key_bucket", 64
 
 
-def upsert(spark: SparkSession, base: str, new: DataFrame, key: str = "id", reset: bool = False) -> str:
-    """Upserts into the table under base. Parquet can't be changed in place: each version is a folder of its own and a reader takes the newest complete one, so a lost job leaves the old version as it was."""
+def upsert(spark: SparkSession, base: str, new: DataFrame, key: str = "id", reset: bool = False, batch: int | None = None, writer: str = "w", buckets: int = BUCKETS) -> list[int]:
+    """Upserts into the table under base and gives the buckets that were written anew.
+
+    A row lies in the folder of its key's hash. Only folders that new rows fall into are read, merged and overwritten (dynamic partition overwrite); Spark swaps
+    each in when the job commits and deletes what it replaces, so no old version stays behind. batch: the number of a micro-batch of `writer`; one that is
+    already marked as done changes nothing. A job that is lost before its mark is repeated, which gives the same rows, for merging is idempotent. The number of buckets is
+    kept with the table; a reader should not read while a writer commits."""
+    if BUCKET in new.columns:
+        raise ValueError(f"{BUCKET} names the table's folders")
     old = None if reset else read_table(spark, base)
-    path = f"{base}/v={int(time.time() * 1e6)}"
-    upserted(old, new, key).write.parquet(path)
-    return path
+    if reset:
+        _delete(spark, base)
+    marks = f"{base}/_batches/{writer}"
+    if batch is not None and _exists(spark, f"{marks}-{batch}"):
+        return []
+    if old is not None:
+        buckets = int(next(x for x in _names(spark, base) if x.startswith("_buckets-")).rpartition("-")[2])
+    elif not _exists(spark, f"{base}/_buckets-{buckets}"):
+        _touch(spark, f"{base}/_buckets-{buckets}")
+    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(buckets)).cast("int").alias(BUCKET)
+    placed = kept(new.select("*", bucket), "upsert")
+    touched = sorted(r[0] for r in placed.select(BUCKET).distinct().collect())  # BUCKETS numbers at most
+    if touched:
+        there = None if old is None else spark.read.option("mergeSchema", "true").parquet(base).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = upserted(there, placed.drop(BUCKET), key).select("*", bucket)
+        merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(base)
+    if batch is not None:
+        _touch(spark, f"{marks}-{batch}")
+        for name in _names(spark, f"{base}/_batches"):  # older marks are of no use: a stream repeats its last batch only
+            if name.startswith(f"{writer}-") and int(name.rpartition("-")[2]) < batch - 1:
+                _delete(spark, f"{base}/_batches/{name}")
+    return touched
 
 
 def read_table(spark: SparkSession, base: str) -> DataFrame | None:
-    """The newest complete version (one with a _SUCCESS file), or None."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+    """The table under base, or None."""
+    if not _exists(spark, base) or not any(x.startswith(f"{BUCKET}=") for x in _names(spark, base)):
         return None
-    done = sorted(p for p in (s.getPath().toString() for s in fs.listStatus(root)) if fs.exists(jvm.org.apache.hadoop.fs.Path(p + "/_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+    return spark.read.option("mergeSchema", "true").parquet(base).drop(BUCKET)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _path(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.create(p, True).close()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 def write_entities(rows: DataFrame, path: str, title: str = "title", category: str = "category") -> None:
@@ -50,6 +112,19 @@ def write_entities(rows: DataFrame, path: str, title: str = "title", category: s
     rows.withColumn("safe_name", safe_name(F.col(title))).write.mode("overwrite").partitionBy(category).parquet(path)
 
 
+def write_entity_files(rows: DataFrame, path: str, title: str = "title", category: str = "category") -> int:
+    """One JSON file for each entity, category/name.json with names that are safe for files; gives their number. Of titles with one safe name the last one's file
+    stays. A null category is `_`, a null or empty title `_`. path: a URI that pyarrow's file systems reach (a local or shared folder, or an object store)."""
+    name = lambda c: F.coalesce(F.nullif(safe_name(F.col(f"`{c}`").cast("string")), F.lit("")), F.lit("_"))
+    named = rows.select(name(category).alias("folder"), name(title).alias("name"), F.col(f"`{title}`").cast("string").alias("title"), F.to_json(F.struct("*")).alias("json"))
+    one = named.groupBy("folder", "name").agg(F.max_by("json", F.struct("title", "json")).alias("json"))
+    spark = rows.sparkSession
+    spark.dataSource.register(EntityFiles)
+    seen = Observation("entities")
+    one.observe(seen, F.count(F.lit(1)).alias("n")).write.format("entity_files").mode("append").save(path)
+    return seen.get["n"]
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Node and edge tables, cut by kind and relation so that a query reads only its own."""
     nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")

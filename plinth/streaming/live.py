@@ -1,18 +1,20 @@
-"""Streams: latest frame, last frames, stabilised readings, no-op streaks, rewards, spawn presence, upserts.
+"""Streams: latest frame, last frames, stabilised readings, no-op streaks, rewards, spawn presence, silent keys, upserts.
 
-Stateful ones keep one small state a key (applyInPandasWithState): a number or a short list, never a history. Rows of a micro-batch are put in time order by the handler, since Spark keeps none inside
-a key. With silent_ms the state of keys that fall silent that long ends; such a query always has a next batch to run, so it suits unbounded streams, not
-availableNow.
+Stateful ones are processors of transformWithState with one small state a key, never a history: a value (the last reading, a streak, the last life), a list (the last
+frames) or a map (confirmed names), kept in RocksDB, so states may outgrow the memory. Rows of a micro-batch are put in time order by the processor, since Spark keeps
+none inside a key. With silent_ms the state of keys that fall silent that long ends: values and lists by a timer, which every batch of the key puts off, map entries by
+their own time to live. Such a query always has a next batch to run, so it suits unbounded streams, not availableNow.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LAST, LATE = 16, "10 minutes"
 
@@ -28,24 +30,100 @@ def deduplicated(frames: DataFrame, key: str, ts: str = "ts", late: str = LATE)
     return frames.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def _stateful(rows: DataFrame, key: str, order: str, step: Callable, start: tuple, out: str, state: str, silent_ms: int | None = None) -> DataFrame:
-    """Folds each key's rows in time order; step(state, row) gives (state, output tuples). State carries over micro-batches."""
-    names = [c.strip().split(" ")[0] for c in out.split(", ")]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that transformWithState needs, for the session's streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class _Processor(StatefulProcessor):
+    """Folds each key's rows in time order; step(state, row) gives (state, output tuples). The state is a tuple in a value state."""
+
+    def __init__(self, order: str, step: Callable, start: tuple, names: list[str], schema: str, silent_ms: int | None) -> None:
+        self.order, self.step, self.start, self.names, self.schema, self.silent_ms = order, step, start, names, schema, silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+        self.due = handle.getValueState("due", "at long") if self.silent_ms else None
+
+    def load(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else self.start
+
+    def store(self, before: tuple, now: tuple) -> None:
+        self.state.update(now)
+
+    def end(self) -> None:
+        self.state.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = now = self.load()
+        found = []
+        for r in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
+            now, got = self.step(now, r)
+            found += [(*key, *x) for x in got]
+        self.store(before, now)
+        if self.due is not None:
+            if self.due.exists():
+                self.handle.deleteTimer(self.due.get()[0])
+            at = int(time.time() * 1000) + self.silent_ms
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+        yield pd.DataFrame(found, columns=self.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.end()
+        self.due.clear()
+        yield pd.DataFrame([], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+class _ListProcessor(_Processor):
+    """The state is (a list,), in a list state: rows that only come to its end are appended, else it is written anew."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.items = handle.getListState("items", self.schema)
+
+    def load(self) -> tuple:
+        return ([x[0] for x in self.items.get()],)
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        if st.hasTimedOut:
-            st.remove()
-            return
-        now, found = (st.get if st.exists else start), []
-        for r in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples(index=False):
-            now, got = step(now, r)
-            found += [(*k, *x) for x in got]
-        st.update(now)
-        if silent_ms:
-            st.setTimeoutDuration(silent_ms)
-        yield pd.DataFrame(found, columns=names)
+    def store(self, before: tuple, now: tuple) -> None:
+        old, new = before[0], now[0]
+        if new[: len(old)] == old:
+            if len(new) > len(old):
+                self.items.appendList([(x,) for x in new[len(old) :]])
+        else:
+            self.items.put([(x,) for x in new])
 
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout)
+    def end(self) -> None:
+        self.items.clear()
+
+
+class _SetProcessor(_Processor):
+    """The state is (a sorted list of names,), in a map state: only new names are written. With silent_ms each name lives that long after it was last seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.due, self.silent_after, self.silent_ms = None, self.silent_ms, None
+        self.known = handle.getMapState("known", "name string", "at long", self.silent_after)
+
+    def load(self) -> tuple:
+        return (sorted(x[0] for x in self.known.keys()),)
+
+    def store(self, before: tuple, now: tuple) -> None:
+        at = int(time.time() * 1000)
+        for name in set(now[0]) if self.silent_after else set(now[0]) - set(before[0]):
+            self.known.updateValue((name,), (at,))
+
+
+def _stateful(rows: DataFrame, key: str, order: str, step: Callable, start: tuple, out: str, state: str, silent_ms: int | None = None, kind: type[_Processor] = _Processor) -> DataFrame:
+    names = [c.strip().split(" ")[0] for c in out.split(", ")]
+    use_rocksdb(rows.sparkSession)
+    return rows.groupBy(key).transformWithStateInPandas(kind(order, step, start, names, state, silent_ms), out, "append", "ProcessingTime" if silent_ms else "None")
 
 
 def _null(x) -> bool:
@@ -99,7 +177,7 @@ def last_frames(frames: DataFrame, size: int = LAST, silent_ms: int | None = Non
         recent = [*state[0], int(r.ord)][-size:]
         return (recent,), [(int(r.ord), recent)]
 
-    return _stateful(frames, "series_id", "ord", step, ([],), "series_id long, ord long, recent array<long>", "recent array<long>", silent_ms)
+    return _stateful(frames, "series_id", "ord", step, ([],), "series_id long, ord long, recent array<long>", "ord long", silent_ms, _ListProcessor)
 
 
 def presence_stream(states: DataFrame, plan: DataFrame, silent_ms: int | None = None) -> DataFrame:
@@ -118,7 +196,7 @@ def presence_stream(states: DataFrame, plan: DataFrame, silent_ms: int | None =
                 have[1] = e["source"]
         return (sure,), [(int(r.ord), k, n, "cv" if k in sure else s) for k, (n, s) in sorted(counts.items())]
 
-    return _stateful(joined, "series_id", "ord", step, ([],), "series_id long, ord long, enemy string, count long, source string", "sure array<string>", silent_ms)
+    return _stateful(joined, "series_id", "ord", step, ([],), "series_id long, ord long, enemy string, count long, source string", "name string", silent_ms, _SetProcessor)
 
 
 def fan_out(frames: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
@@ -140,8 +218,48 @@ def tail_jsonl(spark, path: str, schema: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
-def upsert_stream(rows: DataFrame, base: str, checkpoint: str, key: str = "id"):
-    """Upserts each micro-batch into the versioned table under base."""
+class _Silence(StatefulProcessor):
+    """A value state (rows and last time) and an event-time timer that each later row puts off."""
+
+    def __init__(self, gap_ms: int) -> None:
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "n long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, last = self.state.get() if self.state.exists() else (0, None)
+        before, ended = last, []
+        for at in sorted(int(x) for r in rows for x in r.at_ms):
+            if last is not None and at - last > self.gap_ms:
+                ended.append((*key, n, last))
+                n = 0
+            n, last = n + 1, at if last is None else max(at, last)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap_ms)
+            self.handle.registerTimer(last + self.gap_ms)
+        self.state.update((n, last))
+        yield pd.DataFrame(ended, columns=["series_id", "n", "last_ms"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, last = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame([(*key, n, last)], columns=["series_id", "n", "last_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def silences(frames: DataFrame, gap_ms: int, late: str = LATE) -> DataFrame:
+    """series_id, n (rows since it was last silent), last_ms: a row whenever a key has had none for gap_ms of event time. frames: series_id long, ts (a timestamp)."""
+    use_rocksdb(frames.sparkSession)
+    timed = frames.withWatermark("ts", late).select("series_id", "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy("series_id").transformWithStateInPandas(_Silence(gap_ms), "series_id long, n long, last_ms long", "append", "EventTime")
+
+
+def upsert_stream(rows: DataFrame, base: str, checkpoint: str, key: str = "id", writer: str = "stream"):
+    """Upserts each micro-batch into the table under base; a batch that is repeated after a failure changes nothing."""
     from plinth.sources.writers import upsert
 
-    return rows.writeStream.foreachBatch(lambda batch, n: upsert(batch.sparkSession, base, batch, key) and None).option("checkpointLocation", checkpoint)
+    return rows.writeStream.foreachBatch(lambda batch, n: upsert(batch.sparkSession, base, batch, key, batch=n, writer=writer) and None).option("checkpointLocation", checkpoint)
