@@ -72,17 +72,15 @@ from documents d left join per using (doc_id) left join kept using (doc_id)
 URL_FILTER = r"""
 with u as (
   select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
-    coalesce(regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z])(adult|ads|bets|casino|pills|spam)([^a-z]|$)'), false) as word,
-    regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', ' ', 'g'), '&[a-z]+;', '&', 'g') as t from pages),
-o as (
-  select *, length(regexp_replace(t, '[ \t\n\r\f]', '', 'g')) as ink, length(regexp_replace(t, '[^&%$#*|!{}]', '', 'g')) as odd from u),
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+j as (select doc_id, max(greatest((quality = 0)::int, (toxic = 1)::int)) as bad from labels group by doc_id),
 p as (
-  select page_id, host, path, (word or ink = 0 or odd >= 0.08::double * ink)::int as bad,
-    case when regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix from o),
+  select page_id, host, path, j.bad,
+    case when regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix
+  from u left join j on try_cast(nullif(regexp_extract(path, '^/[^/]+/([0-9]{1,18})(?:[./]|$)', 1), '') as bigint) = j.doc_id),
 q as (
   select *, case when regexp_matches(host, '^[0-9.:\[\]]+$') then host else array_to_string(string_split(host, '.')[-(len(string_split(suffix, '.')) + 1):], '.') end as domain from p),
-h as (select host, domain, suffix, sum(bad)::double as k, count(*)::double as n from q group by all),
+h as (select host, domain, suffix, coalesce(sum(bad), 0)::double as k, count(bad)::double as n from q group by all),
 d as (select domain, suffix, sum(k) as k, sum(n) as n from h group by all),
 x as (select suffix, sum(k) as k, sum(n) as n, (sum(sum(k)) over () + 0.5) / (sum(sum(n)) over () + 1) as mean from d group by suffix),
 xs as (select least(1000, greatest(1, 1 / greatest(coalesce(sum(n * (k / n - mean) ** 2 - mean * (1 - mean)) filter (n > 1) / nullif(sum((n - 1) * mean * (1 - mean)) filter (n > 1), 0), 0), 1e-9) - 1)) as s from x),

@@ -31,7 +31,7 @@ def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    return urlfilter.judge(pages, urlfilter.page_outcomes(pages)).drop("bad_rate", "bad_rate_low")
+    return urlfilter.judge(pages, urlfilter.page_outcomes(pages, table(spark, d, "labels"))).drop("bad_rate", "bad_rate_low")
 
 
 def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """URL filter: allow and block rules, and an empirical-Bayes reputation for what no rule decides.
 
-Labelled pages give each host a count of bad outcomes. A beta-binomial prior shrinks the counts in three steps:
+A page shows a document, which its path names (/en/123.html), and labels judge documents: a page's outcome is bad if its document is of bad quality or toxic. So
+evidence comes from what people said of the contents, never from words in a host's name. Outcomes give each host a count. A beta-binomial prior shrinks the counts in three steps:
 the suffix towards all pages, the registered domain towards its suffix, the host towards its domain. A step's
 prior strength is fitted by moments over all its groups, so noisy counts lean on their parent and large ones
 stand for themselves. A host is blocked if the lower bound of its posterior bad rate is above a limit, hence only
@@ -30,10 +31,8 @@ SHARED_LABELS = ["ac", "co", "com", "edu", "gov", "net", "org"]
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
-#: A page is labelled bad if at least so large a part of its visible text is symbols, or if its url has one of these words.
-BAD_SHARE = 0.08
-BAD_WORDS = ["adult", "ads", "bets", "casino", "pills", "spam"]
-SYMBOLS = "&%$#*|!{}"
+#: Where a page's path names its document.
+DOCUMENT = r"^/[^/]+/([0-9]{1,18})(?:[./]|$)"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,15 +64,13 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def page_outcomes(pages: DataFrame) -> DataFrame:
-    """host and bad (0 or 1): weak labels that the pages themselves give. No url has no word; no html, or none with visible text, counts as bad."""
-    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?s)<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
-    text = F.regexp_replace(text, r"&[a-z]+;", "&")
-    ink = F.length(F.translate(text, " \t\n\r\f", ""))
-    odd = ink - F.length(F.translate(text, SYMBOLS + " \t\n\r\f", ""))
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """host and bad (1, 0, or null without a label) of each page. Of a document's labels the worst counts; a null label says nothing. labels: doc_id, quality, toxic."""
+    judged = labels.select(F.col("doc_id").alias("of"), F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int")).alias("bad"))
+    judged = judged.groupBy("of").agg(F.max("bad").alias("bad"))
     url = F.col("url").cast("string")
-    word = F.coalesce(F.translate(url, UPPER, LOWER).rlike(rf"(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|$)"), F.lit(False))
-    return pages.select(host_of(url).alias("host"), (word | (ink == 0) | (odd >= BAD_SHARE * ink)).cast("int").alias("bad"))
+    shown = pages.select(host_of(url).alias("host"), F.nullif(F.regexp_extract(path_of(url), DOCUMENT, 1), F.lit("")).cast("long").alias("shows"))
+    return shown.join(judged, F.col("shows") == F.col("of"), "left").select("host", "bad")
 
 
 def _shrunk(groups: DataFrame, name: str, parent: str) -> DataFrame:
