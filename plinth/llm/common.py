@@ -69,6 +69,17 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*steps: DataFrame) -> None:
+    """Deletes the folders of written steps that no later step reads."""
+    for df in steps:
+        spark = df.sparkSession
+        top, jvm = checkpoint_dir(spark), spark.sparkContext._jvm
+        folders = {f[f.index(top.rstrip("/").rpartition("/")[2]) :] for f in df.inputFiles()}
+        for name in {x.split("/")[1] for x in folders}:
+            path = jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """_row (a number of each row) and doc (the row as a struct). Numbers and rows are written together, once, and only read afterwards: numbering
     a scan again gives other numbers when its files are split otherwise, as happens when executors come or go."""

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, cut, numbered, picked, plain, small, written
+from plinth.llm.common import column, cut, forget, numbered, picked, plain, small, written
 from plinth.llm.decontam import gram_hashes, range_hashes
 
 WINDOW = 20
@@ -43,13 +44,12 @@ PIECE = "g long, a long, n int, id long, row long, pos int"
 EDGE = "g long, h long, s long, t long, many long, id long, row long, pos int, base int"
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """What blanks, tabs and line ends separate."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return (text or b"").split()
 
 
-def _hashed(text: str | None) -> np.ndarray:
-    words = words_of(text)
+def _hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
@@ -64,6 +64,12 @@ def anchored(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tupl
     return start, np.diff(np.append(start, len(at))), grams[at[start]]
 
 
+def _lists(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, pa.StructArray]:
+    """Where each row's list begins and ends in the structs of all rows."""
+    ends, flat = batch.column(i).offsets.to_numpy(), batch.column(i).flatten()
+    return ends - ends[0], flat
+
+
 def _place(id_: str = "id"):
     return F.struct(F.col(id_).alias("id"), "row", "pos")
 
@@ -75,7 +81,7 @@ def pieces(texts: DataFrame, window: int, gram: int) -> DataFrame:
         for b in small(batches, 64):
             got: list[list] = [[] for _ in range(6)]
             for id_, row, text in zip(column(b, "id"), column(b, "row"), column(b, "text"), strict=True):
-                h = _hashed(text)
+                h = _hashed(words_of(text))
                 start, n, g = anchored(h, window, gram)
                 for to, x in zip(got, (g.view(np.int64), range_hashes(h, start, start + n + window - 1, _BASE).view(np.int64), n, np.full(len(n), id_), np.full(len(n), row), start), strict=True):
                     to.append(x)
@@ -92,18 +98,25 @@ def opened(texts: DataFrame, classes: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 64):
-            lists = b.column(3)
-            ends, flat = lists.offsets.to_numpy(), lists.flatten()
+            ends, flat = _lists(b, 3)
             pos, n, g, many = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            shift = ends[0]
+            got = []
             for i, (id_, row, text) in enumerate(zip(column(b, "id"), column(b, "row"), column(b, "text"), strict=True)):
-                k = slice(ends[i] - shift, ends[i + 1] - shift)
-                h = _hashed(text)
-                base, size = np.repeat(pos[k], n[k]), int(n[k].sum())
-                p = base + np.arange(size) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-                nodes = range_hashes(h, np.arange(len(h) - window + 2), np.arange(len(h) - window + 2) + window - 1, _BASE).view(np.int64)
-                edges = range_hashes(h, p, p + window, _BASE).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(g[k], n[k]), edges, nodes[p], nodes[p + 1], np.repeat(many[k], n[k]), np.full(size, id_), np.full(size, row), p.astype(np.int32), base.astype(np.int32))], ["g", "h", "s", "t", "many", "id", "row", "pos", "base"])
+                k = slice(ends[i], ends[i + 1])
+                words, at_, long_ = words_of(text), pos[k], n[k]
+                # Only the words of the classes are hashed; the others count as zero, and no window covers them.
+                inside = np.zeros(len(words) + 1, np.int32)
+                np.add.at(inside, at_, 1)
+                np.add.at(inside, at_ + long_ + window - 1, -1)
+                inside = np.flatnonzero(np.cumsum(inside[:-1]))
+                h = np.zeros(len(words), np.uint64)
+                h[inside] = _hashed([words[j] for j in inside.tolist()])
+                base, size = np.repeat(at_, long_), int(long_.sum())
+                p = base + np.arange(size) - np.repeat(np.cumsum(long_) - long_, long_)
+                edges, left, right = (range_hashes(h, p + x, p + y, _BASE) for x, y in ((0, window), (0, window - 1), (1, window)))
+                got.append((np.repeat(g[k], long_), edges.view(np.int64), left.view(np.int64), right.view(np.int64), np.repeat(many[k], long_), np.full(size, id_), np.full(size, row), p, base))
+            cols = [np.concatenate(c) for c in zip(*got, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i > 6 else c) for i, c in enumerate(cols)], ["g", "h", "s", "t", "many", "id", "row", "pos", "base"])
 
     return at.mapInArrow(run, EDGE)
 
@@ -135,7 +148,7 @@ def _spans(found: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 64):
-            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            ends, flat = _lists(b, 1)
             row = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(ends))
             pos, src, diff, mask, path_row, path_pos = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
             part, off = np.nonzero((mask[:, None] >> np.arange(bits)) & 1)
@@ -157,12 +170,14 @@ def _digests(texts: DataFrame, spans: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 64):
-            rows: list[tuple] = []
-            for row, text, spans in zip(column(b, "row"), column(b, "text"), column(b, "spans"), strict=True):
+            ends, flat = _lists(b, 2)
+            start, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            digests = []
+            for i, text in enumerate(column(b, "text")):
                 w = words_of(text)
-                rows += [(row, s["src_start"], s["n"], _sha(w[s["src_start"] : s["src_start"] + s["n"] + window - 1])) for s in spans]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["d_row", "d_start", "d_n", "digest"])
+                digests += [_sha(w[x : x + y + window - 1]) for x, y in zip(start[ends[i] : ends[i + 1]].tolist(), n[ends[i] : ends[i + 1]].tolist(), strict=True)]
+            row = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(start), pa.array(n), pa.array(digests, pa.binary())], ["d_row", "d_start", "d_n", "digest"])
 
     return texts.join(wanted, F.col("row") == F.col("src_row")).select("row", "text", "spans").mapInArrow(run, "d_row long, d_start long, d_n long, digest binary")
 
@@ -176,26 +191,32 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     copies of whole texts, whose windows all do. rows: numbered. n counts windows; the span has n + window - 1 words."""
     if not 0 <= window - gram < 63:
         raise ValueError("a window has 63 grams at most")
-    texts = plain(rows).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("_row").alias("row"), "text")
-    keyed = written(texts.select("id", "row", F.sha2("text", 256).alias("key")), "texts")
+    texts = plain(rows).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("_row").alias("row"), F.col("text").cast("binary").alias("text"))
+    keyed = written(texts.select("id", "row", F.unhex(F.sha2("text", 256)).alias("key")), "texts")
     low = written(keyed.groupBy("key").agg(F.min(F.struct("id", "row")).alias("low")).select(F.col("key").alias("of_key"), "low.row"), "low")
     copies = cut(keyed.join(low.select("of_key", F.col("row").alias("low")), (F.col("key") == F.col("of_key")) & (F.col("row") != F.col("low"))).select("row"))
     firsts = picked(texts.withColumnRenamed("row", "_row"), copies, "left_anti").withColumnRenamed("_row", "row")
     every = written(pieces(firsts, window, gram), "pieces")
     shared = written(every.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "anchors")
-    kept = written(every.join(shared, "g", "left_semi"), "shared")
+    kept = written(every.join(shared.hint("shuffle_hash"), "g", "left_semi"), "shared")
+    forget(every)
     classes = written(kept.groupBy("g", "a", "n").agg(F.min(_place()).alias("first"), F.count("*").alias("many")), "classes")
     windows = written(opened(texts, classes, window), "windows")
     edges = windows.groupBy("g", "h").agg(F.min(_place()).alias("first"), F.sum("many").alias("k"), F.any_value("s").alias("s"), F.any_value("t").alias("t")).filter("k > 1")
-    edges = written(compacted(written(edges, "edges")), "compacted")
+    edges = written(edges, "edges")
+    joined = written(compacted(edges), "compacted")
+    forget(edges)
     # Of each class: which windows have which source, as bits by place in the piece.
-    met = windows.join(edges, ["g", "h"]).select("g", "row", "base", F.col("pos") - F.col("base"), F.col("first.row").alias("src_row"), (F.col("first.pos") - F.col("pos") + F.col("base")).alias("diff"), "path").toDF("g", "row", "base", "off", "src_row", "diff", "path")
+    met = windows.join(joined.hint("shuffle_hash"), ["g", "h"]).select("g", "row", "base", F.col("pos") - F.col("base"), F.col("first.row").alias("src_row"), (F.col("first.pos") - F.col("pos") + F.col("base")).alias("diff"), "path").toDF("g", "row", "base", "off", "src_row", "diff", "path")
     masks = met.groupBy("row", "base", "src_row", "diff", "path").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("off"))).alias("mask"))
+    masks = written(masks, "masks")
+    forget(windows, joined)
     sources = masks.groupBy(F.struct("row", F.col("base").alias("pos")).alias("at")).agg(F.collect_list(F.struct("src_row", "diff", "mask", "path")).alias("sources"))
     classes = written(classes.withColumn("at", F.struct("first.row", "first.pos")).join(sources, "at").select("g", "a", "n", "sources"), "sources")
-    each = kept.join(classes, ["g", "a", "n"]).select("row", "pos", F.explode("sources").alias("x")).filter("not (x.src_row = row and x.diff = pos)")
+    each = kept.join(classes.hint("shuffle_hash"), ["g", "a", "n"]).select("row", "pos", F.explode("sources").alias("x")).filter("not (x.src_row = row and x.diff = pos)")
     found = each.groupBy("row").agg(F.collect_list(F.struct("pos", "x.src_row", "x.diff", "x.mask", F.col("x.path.row").alias("path_row"), F.col("x.path.pos").alias("path_pos"))).alias("parts"))
     spans = written(_spans(found, window - gram + 1), "spans")
+    forget(kept, classes, masks)
     digests = written(_digests(texts, spans, window), "digests")
     same = (F.col("src_row") == F.col("d_row")) & (F.col("src_start") == F.col("d_start")) & (F.col("n") == F.col("d_n"))
     return spans.join(digests, same).drop("d_row", "d_start", "d_n"), copies
@@ -209,19 +230,29 @@ def _what_stays(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.join(gone, F.col("_row") == F.col("_of"), "left")
 
 
-def _kept(text: str | None, copy: bool | None, spans: list[dict] | None, window: int) -> tuple[list[bytes], int]:
+def _kept(text: bytes | None, copy: bool | None, start: list[int], n: list[int], digests: list[bytes], window: int) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     words = words_of(text)
     if copy:
         return ([] if len(words) >= window else words), len(words)
-    if not spans:
+    if not start:
         return words, len(words)
-    gone = np.zeros(len(words), bool)
-    for s in spans:
-        a, b = s["start"], s["start"] + s["n"] + window - 1
-        if not gone[a:b].all() and _sha(words[a:b]) == s["digest"]:
-            gone[a:b] = True
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
+    stays = np.ones(len(words), bool)
+    for a, k, digest in zip(start, n, digests, strict=True):
+        b = a + k + window - 1
+        if stays[a:b].any() and _sha(words[a:b]) == digest:
+            stays[a:b] = False
+    return list(compress(words, stays.tolist())), len(words)
+
+
+def _each_kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[bytes | None, list[bytes], int]]:
+    """text, kept words and number of words of each row with text, _copy, _spans as its last columns."""
+    i = batch.num_columns - 1
+    ends, flat = _lists(batch, i)
+    start, n, digests = (flat.field(j).to_pylist() for j in range(3))
+    for j, (text, copy) in enumerate(zip(column(batch, "text"), column(batch, "_copy"), strict=True)):
+        k = slice(ends[j], ends[j + 1])
+        yield text, *_kept(text, copy, start[k], n[k], digests[k], window)
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -230,14 +261,11 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 64):
-            ids, out = b.column(0), []
-            for text, copy, spans in zip(column(b, "text"), column(b, "_copy"), column(b, "_spans"), strict=True):
-                kept, n = _kept(text, copy, spans, window)
-                out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            out = [(n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for _, kept, n in _each_kept(b, window)]
             n, gone, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    at = _what_stays(rows, window, gram).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"), "_copy", "_spans")
+    at = _what_stays(rows, window, gram).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").cast("binary").alias("text"), "_copy", "_spans")
     return at.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -245,15 +273,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """docs, all rows and columns; a text that loses words is its other words, joined by blanks (n_chars, where it stands, set anew)."""
     rows = numbered(docs)
 
-    @F.pandas_udf("string")
-    def left(text, copy, spans):
-        import pandas as pd
-
-        kept = (_kept(t, c, s if s is None else list(s), window) for t, c, s in zip(text, copy, spans, strict=True))
-        return pd.Series([t if t is None or len(k) == n else b" ".join(k).decode("utf-8", "surrogatepass") for t, (k, n) in zip(text, kept, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 64):
+            left = [text if text is None or len(kept) == n else b" ".join(kept) for text, kept, n in _each_kept(b, window)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.binary())], ["_at", "_left"])
 
-    text = left(F.col("doc.text").cast("string"), F.col("_copy"), F.col("_spans"))
-    keyed = _what_stays(rows, window, gram).withColumn("_left", text)
+    keyed = _what_stays(rows, window, gram).select("_row", F.col("doc.text").cast("string").cast("binary").alias("text"), "_copy", "_spans")
+    left = written(keyed.mapInArrow(run, "_at long, _left binary"), "left")
+    keyed = rows.join(left, F.col("_row") == F.col("_at")).withColumn("_left", F.col("_left").cast("string"))
     doc = F.col("doc").withField("text", F.col("_left").cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("_left").cast(docs.schema["n_chars"].dataType))
