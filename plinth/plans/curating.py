@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.operators import curation, patterns, video
@@ -38,6 +38,15 @@ def jobs(t: Tables) -> DataFrame:
     return g.select(F.col("user_id").cast("string").alias("job_id"), F.concat(F.lit("main_0"), (F.col("user_id") % 9).cast("string"), F.lit("-01")).alias("stage_name"), F.lit(None).cast("string").alias("title"), F.transform("s", lambda x: x.a).alias("actions"))
 
 
+def job_actions(t: Tables) -> DataFrame:
+    """The actions of jobs as rows."""
+    kind = F.when(F.col("event_type") == "signup", "deploy").when(F.col("event_type") == "click", "skill").when(F.col("event_type") == "error", "retreat").otherwise(F.col("event_type"))
+    spot = F.floor(F.col("value")).cast("int")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    name = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("u"), (spot % 9).cast("string")))
+    return t.events.select(F.col("user_id").cast("string").alias("job_id"), idx.alias("idx"), kind.alias("type"), name.alias("name"), F.array(spot % 8, spot % 5).alias("location"), F.when(F.col("event_id") % 3 > 0, "上").alias("direction"))
+
+
 @query("""
 with e as (
   select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as p, floor(value)::bigint as spot, case when event_id % 7 > 0 then 'u' || floor(value)::bigint % 9 end as name from events),
@@ -49,7 +58,24 @@ select e.user_id::varchar as job_id, (e.p - 1)::int as idx, count(s.p) as n_befo
 """)
 def timeline_prefix_state(t: Tables) -> DataFrame:
     """How many units are on the field before each action."""
-    return jobs(t).select("job_id", F.posexplode(curation.deployed_before()).alias("idx", "units")).select("job_id", "idx", F.size("units").cast("long").alias("n_before"))
+    return curation.count_before(job_actions(t)).select("job_id", "idx", "n_before")
+
+
+@query("""
+with e as (
+  select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as p, floor(value)::bigint as spot, case when event_id % 7 > 0 then 'u' || floor(value)::bigint % 9 end as name from events),
+named as (select *, event_type = 'signup' and name is not null as dep, event_type = 'error' and name is not null as out_n, event_type = 'error' and name is null as out_p from e),
+spans as (
+  select d.user_id, d.p, d.name, d.spot, (select min(x.p) from named x where x.user_id = d.user_id and x.p > d.p and ((x.dep and x.name = d.name) or (x.out_n and x.name = d.name) or (x.out_p and x.spot % 8 = d.spot % 8 and x.spot % 5 = d.spot % 5))) as until
+  from named d where d.dep)
+select e.user_id::varchar as job_id, (e.p - 1)::int as idx, coalesce(string_agg(s.name || '@' || s.spot % 8 || ',' || s.spot % 5, ';' order by s.name), '') as units
+from e left join spans s on s.user_id = e.user_id and s.p < e.p and (s.until is null or s.until >= e.p) group by all
+""")
+def timeline_prefix_units(t: Tables) -> DataFrame:
+    """Which units stand where before each action."""
+    units = curation.units_before(job_actions(t))
+    told = F.transform("units", lambda u: F.concat(u["name"], F.lit("@"), F.array_join(u.location.cast("array<string>"), ",")))
+    return units.select("job_id", "idx", F.array_join(F.array_sort(told), ";").alias("units"))
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import minutes_seconds, page_url, sentences, stable_id
+from plinth.functions.names import splitter
 from plinth.functions.shared import kept, shared_folder
 from plinth.operators import blocks, chunking, retrieval, vector_index
 from plinth.plans.registry import Tables, query
@@ -143,6 +144,19 @@ def vector_ann_recall(t: Tables) -> DataFrame:
     return vector_index.recall(found, exact).crossJoin(off).crossJoin(rows).select("queries", (F.col("recall") >= 0.9).alias("found_nine_of_ten"), (F.col("off") < 1.5e-4).alias("scores_exact"), "indexed")
 
 
+@query(r"""
+with n as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{6,20}')) as n from benchmark),
+p as (select string_agg(n, '|' order by length(n) desc, n) as p from n),
+m as (select doc_id, regexp_extract_all(lower(text), p) as m from documents, p)
+select doc_id, len(m)::bigint as n_names, md5(array_to_string(m, ',')) as names from m
+""")
+def names_in_texts(t: Tables) -> DataFrame:
+    """The longer words of the benchmark as a list of names, found in all documents at once: leftmost, longest, none over another."""
+    listed = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,20}"), F.lit(0))).alias("n")).distinct()
+    found = splitter(t.spark, [r.n for r in listed.toLocalIterator()])(F.col("text"))["names"]
+    return t.documents.select("doc_id", F.size(found).cast("long").alias("n_names"), F.md5(F.array_join(found, ",")).alias("names"))
+
+
 def two_paths(t: Tables) -> tuple[DataFrame, DataFrame]:
     meta = chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content"))
     a = retrieval.bm25(chunks(t), asked(t), 10).join(meta, "ord").drop("ord")

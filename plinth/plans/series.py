@@ -51,7 +51,14 @@ def throttle_first(t: Tables) -> DataFrame:
     return timeline.throttle_buckets(e, "user_id", "s", 3600.0).select("event_id")
 
 
-@query()
+@query("""
+with recursive e as (select event_id, user_id, (epoch_us(ts) / 1000000.0)::double as s, row_number() over (partition by user_id order by ts, event_id) as r from events),
+walk as (
+  select user_id, event_id, s from e where r = 1
+  union all
+  select w.user_id, n.event_id, n.s from walk w, lateral (select min((e.s, e.r, e.event_id)) as x from e where e.user_id = w.user_id and e.s >= w.s + 3600) l, lateral (select x[1] as s, x[3] as event_id) n where x is not null)
+select event_id, user_id from walk
+""")
 def throttle_exact(t: Tables) -> DataFrame:
     """Events at least an hour after the last one let through, per user."""
     return timeline.throttle(t.events.select("event_id", "user_id", seconds().alias("s")), "user_id", "s", 3600.0).select("event_id", "user_id")
