@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.ordering import exact_quantiles
+
 REWARD = {"win": 100.0, "leak": 10.0, "overcost": 1.0}
 OUTCOMES = ["win", "defeat", "timeout", "aborted"]
 LATENCIES = ["perceive", "knowledge", "think", "plan", "act", "log"]
@@ -83,6 +85,14 @@ def latency_summary(rows: DataFrame, by: str = "stage", value: str = "ms") -> Da
     return g.select(by, "n", F.round("mean", 3).alias("mean"), *[F.round(F.col("p")[i], 3).alias(a) for i, a in enumerate(("p50", "p95", "p99"))], "shortest", "longest")
 
 
+def latency_quantiles(rows: DataFrame, by: str = "stage", value: str = "ms") -> DataFrame:
+    """The summary for stages with more distinct values than a buffer holds: the same columns, with percentiles from places in the whole order."""
+    places = exact_quantiles(rows, [by], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed(by, "of").drop("n")
+    g = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("shortest"), F.max(value).alias("longest"))
+    both = g.join(places, F.col(by).eqNullSafe(F.col("of")), "left")
+    return both.select(by, "n", F.round("mean", 3).alias("mean"), *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99")], "shortest", "longest")
+
+
 def latency_shares(rows: DataFrame) -> DataFrame:
     """id, step, stage, ms, share of the step's time (4 places)."""
     rows = rows.filter("stage <> 'total'")

@@ -47,10 +47,13 @@ def enemy_records(pages: DataFrame) -> DataFrame:
 
 
 def light_records(stage_rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Records of enemies that only stage rows know; the first row seen stands. stage_rows: ord, enemy, defense, resistance; known: page."""
-    first = F.min_by(F.struct(lenient_double(F.col("defense")).alias("defense"), lenient_double(F.col("resistance")).alias("resistance")), "ord").alias("r")
+    """Records of enemies that only stage rows know; the first row seen stands, with all that it says. stage_rows: ord, enemy, defense, resistance and, where the rows
+    have them, speed, hp, position; known: page."""
+    there = lambda c: F.col(c) if c in stage_rows.columns else F.lit(None).cast("string")
+    numbers = [lenient_double(there(c)).alias(c) for c in ("defense", "resistance", "speed", "hp")]
+    first = F.min_by(F.struct(*numbers, F.coalesce(there("position"), F.lit("")).alias("position")), "ord").alias("r")
     missing = stage_rows.join(known.select(F.col("page").alias("enemy")), "enemy", "left_anti").groupBy("enemy").agg(first)
-    return missing.select(F.col("enemy").alias("page"), F.col("enemy").alias("display"), "r.defense", "r.resistance", F.lit(None).cast("double").alias("speed"), F.lit(None).cast("string").alias("desc"), F.lit("").alias("traits"))
+    return missing.select(F.col("enemy").alias("page"), F.col("enemy").alias("display"), "r.defense", "r.resistance", "r.speed", "r.hp", "r.position", F.lit(None).cast("string").alias("desc"), F.lit("").alias("traits"))
 
 
 def resolve_names(asked: DataFrame, pages: DataFrame) -> DataFrame:
@@ -114,14 +117,15 @@ def node_table(signals: DataFrame, skills: DataFrame, enemies: DataFrame, stages
     parts = [
         signals.select(F.concat(F.lit("operator:"), "name").alias("node_id"), F.lit("operator").alias("kind"), "name", "class", F.col("star").cast("int").alias("star"), F.col("position") if "position" in signals.columns else F.lit("").alias("position")),
         skills.select(F.concat(F.lit("skill:"), "name", F.lit(":"), "skill").alias("node_id"), F.lit("skill").alias("kind"), F.col("skill").alias("name")),
-        enemies.select(F.concat(F.lit("enemy:"), "page").alias("node_id"), F.lit("enemy").alias("kind"), F.col("page").alias("name"), "defense", "resistance", "speed"),
+        enemies.select(F.concat(F.lit("enemy:"), "page").alias("node_id"), F.lit("enemy").alias("kind"), F.col("page").alias("name"), "defense", "resistance", "speed", *[c for c in ("hp", "position") if c in enemies.columns]),
         stages.select(F.concat(F.lit("stage:"), "code").alias("node_id"), F.lit("stage").alias("kind"), F.col("title").alias("name"), "code", "title"),
     ]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
     numbers, texts = ["star", "defense", "resistance", "speed"], ["class", "position", "code", "title"]
-    return whole.select("node_id", "kind", "name", *[F.coalesce(c, F.lit(-1)).alias(c) for c in numbers], *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
+    whole = whole if "hp" in whole.columns else whole.withColumn("hp", F.lit(None).cast("double"))
+    return whole.select("node_id", "kind", "name", *[F.coalesce(c, F.lit(-1)).alias(c) for c in [*numbers, "hp"]], *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
 def edge_table(skills: DataFrame, contains: DataFrame, counter: DataFrame, recommended: DataFrame) -> DataFrame:
@@ -203,6 +207,24 @@ def node_detail(edges: DataFrame, cap: int = 200) -> DataFrame:
     return shown.join(total, "node_id").select("node_id", F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction"), "neighbour", "relation", "key", "pos", "total", (F.col("total") > cap).alias("truncated"))
 
 
+def node_view(nodes: DataFrame, edges: DataFrame, cap: int = 200) -> DataFrame:
+    """node_id, attrs (JSON of what is known of the node), total, truncated and neighbours (struct pos, direction, relation, key, node_id, kind, name; `cap` at most, a
+    display's bound) of every node, those without edges too."""
+    known = F.to_json(F.struct(*[F.when(~F.col(c).cast("string").isin("", "-1", "-1.0"), F.col(c)).alias(c) for c in nodes.columns if c != "node_id"]))
+    brief = nodes.select(F.col("node_id").alias("neighbour"), "kind", "name")
+    shown = node_detail(edges, cap).join(brief, "neighbour", "left")
+    entry = F.struct("pos", "direction", "relation", "key", F.col("neighbour").alias("node_id"), "kind", "name")
+    per = shown.groupBy("node_id").agg(F.max("total").alias("total"), F.max("truncated").alias("truncated"), F.array_sort(F.collect_list(entry)).alias("neighbours"))
+    out = nodes.select("node_id", known.alias("attrs")).join(per, "node_id", "left")
+    return out.select("node_id", "attrs", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("neighbours", F.array().cast(per.schema["neighbours"].dataType)).alias("neighbours"))
+
+
+def neighbours_of(start: DataFrame, edges: DataFrame, relation: str | None = None) -> DataFrame:
+    """start (node_id) with dst and relation of their out edges. With an edge table that is bucketed by src (writers.write_graph_tables) only start is shuffled."""
+    e = edges if relation is None else edges.filter(F.col("relation") == relation)
+    return start.select("node_id").distinct().join(e, F.col("node_id") == F.col("src")).select("node_id", "dst", "relation", "key")
+
+
 def stage_subgraph(edges: DataFrame, stages: DataFrame | None = None, cap: int = 50) -> DataFrame:
     """stage, dst, relation, pos, truncated: all enemies of each stage and its `cap` best recommended operators (by score, then name)."""
     e = edges.filter(F.col("relation").isin("CONTAINS_ENEMY", "RECOMMENDS")).select(F.col("src").alias("stage"), "dst", "relation", "score")
@@ -212,9 +234,14 @@ def stage_subgraph(edges: DataFrame, stages: DataFrame | None = None, cap: int =
     return e.withColumn("pos", F.row_number().over(w).cast("long")).withColumn("truncated", (F.col("relation") == "RECOMMENDS") & (n > cap)).filter((F.col("relation") != "RECOMMENDS") | (F.col("pos") <= cap)).select("stage", "dst", "relation", "pos", "truncated")
 
 
-def focus_subgraph(contains: DataFrame, counter: DataFrame, stars: DataFrame, top: int = 3) -> DataFrame:
-    """stage, enemy, name, weight, pos: for each enemy of a stage its `top` counters by the largest weight, then star. stars: name, star."""
+def focus_subgraph(contains: DataFrame, counter: DataFrame, stars: DataFrame, top: int = 3, skills: DataFrame | None = None) -> DataFrame:
+    """stage, enemy, name, weight, pos: for each enemy of a stage its `top` counters by the largest weight, then star. stars: name, star. With skills (name, skill) also
+    each counter's skills, sorted."""
     best = counter.groupBy("page", "name").agg(F.max("weight").alias("weight")).join(stars, "name")
     w = Window.partitionBy("page").orderBy(F.col("weight").desc(), F.col("star").desc(), "name")
     kept = best.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top)
-    return contains.select("stage", F.col("enemy").alias("page")).join(kept, "page").select("stage", F.col("page").alias("enemy"), "name", "weight", "pos")
+    more = []
+    if skills is not None:
+        kept = kept.join(skills.filter("skill is not null").groupBy("name").agg(F.array_sort(F.collect_set("skill")).alias("skills")), "name", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+        more = ["skills"]
+    return contains.select("stage", F.col("enemy").alias("page")).join(kept, "page").select("stage", F.col("page").alias("enemy"), "name", "weight", "pos", *more)

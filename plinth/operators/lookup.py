@@ -45,8 +45,11 @@ def skill_lookup(requests: DataFrame, skills: DataFrame) -> DataFrame:
     both = requests.join(skills, "page", "left")
     q, s = F.trim("skill_name"), F.col("skill")
     rank = F.when(s == q, 0).when(F.contains(s, q) | F.contains(q, s), 1)
-    found = both.groupBy("req_id").agg(F.min_by(F.when(rank.isNotNull(), s), F.when(rank.isNotNull(), F.struct(rank.alias("r"), "ord"))).alias("skill"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(s.isNotNull(), F.struct("ord", "skill")))), lambda x: x.skill), "、").alias("names"))
-    return found.select("req_id", "skill", F.col("skill").isNotNull().alias("found"), F.when(F.col("skill").isNull(), F.concat(F.lit("available: "), "names")).otherwise("").alias("message"), F.lit("fact").alias("evidence"))
+    found = both.groupBy("req_id", "page").agg(F.min_by(F.when(rank.isNotNull(), s), F.when(rank.isNotNull(), F.struct(rank.alias("r"), "ord"))).alias("skill"))
+    # A page's names are put together once, not for each request.
+    names = skills.filter("skill is not null").groupBy(F.col("page").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda x: x.skill), "、").alias("names"))
+    told = found.join(names, (F.col("page") == F.col("of")) & F.col("skill").isNull(), "left")
+    return told.select("req_id", "skill", F.col("skill").isNotNull().alias("found"), F.when(F.col("skill").isNull(), F.concat(F.lit("available: "), F.coalesce("names", F.lit("")))).otherwise("").alias("message"), F.lit("fact").alias("evidence"))
 
 
 def enemy_lookup(requests: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

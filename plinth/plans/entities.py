@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.shared import shared_folder
 from plinth.operators import audit, extract, graph, lookup
 from plinth.plans.registry import Tables, query
 
@@ -124,6 +125,56 @@ def node_degree_cap(t: Tables) -> DataFrame:
     return graph.node_detail(con.unionByName(cou), cap=20)
 
 
+@query(f"""
+with {_SIGNALS}, e as (
+  select 'stage:' || stage as src, 'enemy:' || enemy as dst, 'CONTAINS_ENEMY' as relation, 'CONTAINS_ENEMY' as key from con
+  union all select 'operator:' || name, 'enemy:' || page, 'COUNTERS', rule from cou),
+nodes as (
+  select 'operator:' || name as node_id, 'operator' as kind, name, star::int as star, class from sig
+  union all select 'enemy:' || p_partkey, 'enemy', p_partkey::varchar, null, null from part union all select 'stage:' || o_orderkey, 'stage', o_orderpriority, null, null from orders),
+b as (select src as node_id, 0 as d, dst as neighbour, relation, key from e union all select dst, 1, src, relation, key from e),
+r as (select *, row_number() over (partition by node_id order by d, relation, neighbour, key) as pos, count(*) over (partition by node_id) as total from b)
+select n.node_id, n.kind, n.star, n.class, coalesce(max(total), 0) as total, coalesce(max(total) > 5, false) as truncated,
+  coalesce(string_agg(case when d = 0 then 'out ' else 'in ' end || relation || ' ' || nb.kind || ' ' || nb.name, ';' order by pos), '') as shown
+from nodes n left join r on n.node_id = r.node_id and pos <= 5 left join nodes nb on r.neighbour = nb.node_id group by n.node_id, n.kind, n.star, n.class
+""")
+def node_views(t: Tables) -> DataFrame:
+    """Every node with its attributes and its first neighbours by kind and name."""
+    nodes, edges = tables(t)
+    view = graph.node_view(nodes.filter("kind <> 'skill'"), edges.filter(F.col("relation").isin("CONTAINS_ENEMY", "COUNTERS")), cap=5)
+    at = lambda c: F.get_json_object("attrs", f"$.{c}")
+    shown = F.array_join(F.transform("neighbours", lambda x: F.concat_ws(" ", x.direction, x.relation, x.kind, x["name"])), ";")
+    return view.select("node_id", at("kind").alias("kind"), at("star").cast("int").alias("star"), at("class").alias("class"), "total", "truncated", shown.alias("shown"))
+
+
+@query(f"""
+with {_SIGNALS}, b as (select page, name, max(weight) as weight from cou group by all),
+r as (select page, name, weight, row_number() over (partition by page order by weight desc, star desc, name) as pos from b join sig using (name))
+select stage, enemy, name, pos, 'skill' || s_suppkey % 3 as skills from con join r on enemy = page join supplier on s_name = name where pos <= 3
+""")
+def focus_with_skills(t: Tables) -> DataFrame:
+    skills = t.supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("skill"), (F.col("s_suppkey") % 3).cast("string")).alias("skill"))
+    found = graph.focus_subgraph(graph.contains_edges(stage_rows(t)), counter_table(t), signals(t).select("name", "star"), skills=skills)
+    return found.select("stage", "enemy", "name", "pos", F.array_join("skills", ",").alias("skills"))
+
+
+@query(f"""
+with {_SIGNALS}
+select 'stage:' || stage as stage, count(*) as enemies, coalesce(sum(n), 0)::bigint as counters from con left join (select page, count(*) as n from cou group by page) on page = enemy group by stage
+""")
+def graph_hops(t: Tables) -> DataFrame:
+    """Two hops over tables in buckets: from stages to their enemies, from these back to the rules that operators counter them by."""
+    from plinth.sources import writers
+
+    path = shared_folder(t.spark, "graph")
+    names = writers.write_graph_tables(*tables(t), "g" + path.rpartition("-")[2], path, buckets=8)
+    stages = t.spark.table(names["nodes"]).filter("kind = 'stage'")
+    enemies_ = graph.neighbours_of(stages, t.spark.table(names["out"]), "CONTAINS_ENEMY")
+    counters = t.spark.table(names["in"]).filter("relation = 'COUNTERS'").groupBy(F.col("dst").alias("enemy")).agg(F.count("*").alias("n"))
+    both = enemies_.join(counters, F.col("dst") == F.col("enemy"), "left")
+    return both.groupBy(F.col("node_id").alias("stage")).agg(F.count("*").alias("enemies"), F.coalesce(F.sum("n"), F.lit(0)).alias("counters"))
+
+
 @query(f"""
 with {_SIGNALS}, e as (
   select 'stage:' || stage as stage, 'enemy:' || enemy as dst, 'CONTAINS_ENEMY' as relation, null::double as score from con union all select 'stage:' || stage, 'operator:' || name, 'RECOMMENDS', score from rec),
@@ -299,3 +350,78 @@ def operator_pages(t: Tables) -> DataFrame:
 @query(r"select page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' ') as title, split_part(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ' '), ' ', 1) as code from pages")
 def page_title_code(t: Tables) -> DataFrame:
     return extract.titles(t.pages)
+
+
+# -- lookups of an agent's turn ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+with s as (select p_partkey as ord, p_brand || '-' || p_partkey % 50 as code, p_name as title from part),
+q as (
+  select c_custkey as req_id, trim(case c_custkey % 4 when 0 then ' Brand#' || c_custkey % 25 || '-' || c_custkey % 50 || ' ' when 1 then p_name when 2 then string_split(p_name, ' ')[1] else 'nowhere' end) as name
+  from customer join part on p_partkey = c_custkey % 100),
+a as (select code as k, max((ord, code, title)) as x from s group by code),
+b as (select title as k, min((ord, code, title)) as x from s group by title),
+c as (select req_id, min((ord, code, title)) as x from q join s on starts_with(title, name || ' ') group by req_id),
+r as (select req_id, coalesce(a.x, b.x, c.x) as x from q left join a on a.k = name left join b on b.k = name left join c using (req_id))
+select req_id, x[2] as code, x[3] as title, x is not null as found from r
+""")
+def stage_resolve(t: Tables) -> DataFrame:
+    """Codes (of repeated ones the last), whole titles, first words of titles, and names that nothing has."""
+    stages = t.part.select(F.col("p_partkey").alias("ord"), F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % 50).cast("string")).alias("code"), F.col("p_name").alias("title"))
+    k = F.col("c_custkey")
+    code = F.concat(F.lit(" Brand#"), (k % 25).cast("string"), F.lit("-"), (k % 50).cast("string"), F.lit(" "))
+    name = F.when(k % 4 == 0, code).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise("nowhere")
+    asked = t.customer.join(t.part.select("p_partkey", "p_name"), k % 100 == F.col("p_partkey")).select(k.alias("req_id"), name.alias("name"))
+    return lookup.resolve_stage(asked, stages).select("req_id", "code", "title", "found")
+
+
+@query("""
+select c_custkey as req_id, s_name as page, s_name is not null as found, 'class' || s_nationkey % 8 as class, case when s_name is not null then 'tag' || s_suppkey % 5 || ',x' end as tags, s_suppkey % 3 as n_skills
+from customer left join supplier on s_suppkey = c_custkey and c_custkey % 2 = 0
+""")
+def operator_lookup(t: Tables) -> DataFrame:
+    """Whole records by name, tags split at blanks; odd requests ask for names that nothing has."""
+    skills = F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("s_suppkey") % 3).cast("int"))
+    pages = t.supplier.select(F.col("s_name").alias("page"), F.col("s_name").alias("display"), F.concat(F.lit("class"), (F.col("s_nationkey") % 8).cast("string")).alias("class"), F.concat(F.lit(" tag"), (F.col("s_suppkey") % 5).cast("string"), F.lit("   x ")).alias("tag"), skills.alias("skills"))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" Supplier#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).otherwise("nobody")
+    got = lookup.operator_records(t.customer.select(F.col("c_custkey").alias("req_id"), name.alias("name")), pages)
+    return got.select("req_id", "page", "found", "class", F.array_join("tags", ",").alias("tags"), F.when(F.col("found"), F.size("skills")).cast("long").alias("n_skills"))
+
+
+@query("""
+with v as (select l_partkey, l_linenumber as level, max(l_quantity)::int::varchar as hp from lineitem group by all),
+p as (select l_partkey, string_agg(level::varchar, '、' order by level) as names from v group by l_partkey),
+q as (select p_partkey as req_id, case when p_partkey % 2 = 0 then p_partkey % 9 + 1 end as asked from part)
+select req_id, level, hp, level is not null as found, case when level is null and names is not null then 'levels: ' || names else '' end as message
+from q left join v on l_partkey = req_id and (asked is null or asked = level) left join p on p.l_partkey = req_id
+""")
+def enemy_levels_lookup(t: Tables) -> DataFrame:
+    """One level or all of them, filled attributes alone; a level that isn't there lists those that are."""
+    v = t.lineitem.groupBy("l_partkey", F.col("l_linenumber").alias("level")).agg(F.max("l_quantity").cast("int").cast("string").alias("hp"))
+    data = lambda x: F.create_map(F.lit("hp"), x.hp, F.lit("blank"), F.lit(""), F.lit("other"), F.lit("1"))
+    pages = v.groupBy(F.col("l_partkey").cast("string").alias("page")).agg(F.array_sort(F.collect_list(F.struct("level", "hp"))).alias("vs"))
+    pages = pages.select("page", F.transform("vs", lambda x: F.struct(x.level.alias("level"), data(x).alias("data"))).alias("levels"))
+    asked = t.part.select(F.col("p_partkey").alias("req_id"), F.col("p_partkey").cast("string").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 9 + 1).alias("level"))
+    got = lookup.enemy_lookup(asked, pages.withColumn("display", F.col("page")), ["hp", "blank"])
+    return got.select("req_id", "level", F.try_element_at("attrs", F.lit("hp")).alias("hp"), "found", "message")
+
+
+@query("""
+with s as (select o_orderkey, o_orderstatus, o_orderpriority from orders),
+e as (select l_orderkey, string_agg('qty=' || l_quantity::int, ';' order by l_linenumber, l_partkey, l_quantity::int) as enemies from lineitem group by l_orderkey),
+q as (select o_orderkey as req_id, case when o_orderkey % 3 = 0 then 'order ' || o_orderkey else o_orderkey::varchar end as name, o_orderkey % 7 = 0 as lost from orders)
+select req_id, case when not lost then o_orderkey::varchar end as code, case when not lost then 'state=' || o_orderstatus || ';urgency=' || o_orderpriority end as info, case when not lost then coalesce(enemies, '') end as enemies, not lost as found
+from q join s on o_orderkey = req_id left join e on l_orderkey = req_id
+""")
+def stage_info_lookup(t: Tables) -> DataFrame:
+    """A stage's filled entries under their new names, its enemies with their filled stats; by code or by title."""
+    foes = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q")))).alias("ls"))
+    enemies = F.transform("ls", lambda x: F.create_map(F.lit("qty"), x.q.cast("string"), F.lit("blank"), F.lit(""), F.lit("no"), F.lit("1")))
+    normal = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority", F.lit("blank"), F.lit(""), F.lit("other"), F.lit("x"))
+    key = F.col("o_orderkey").cast("string")
+    stages = t.orders.join(foes, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("ord"), key.alias("code"), F.concat(F.lit("order "), key).alias("title"), normal.alias("normal"), F.coalesce(enemies, F.array().cast("array<map<string,string>>")).alias("enemies"))
+    name = F.when(F.col("o_orderkey") % 7 == 0, "lost").when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("order "), key)).otherwise(key)
+    got = lookup.stage_lookup(t.orders.select(F.col("o_orderkey").alias("req_id"), name.alias("name")), stages, {"status": "state", "priority": "urgency", "blank": "nothing"}, ["qty", "blank"])
+    pairs = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e.key, F.lit("="), e.value))), ";")
+    return got.select("req_id", "code", pairs(F.col("info")).alias("info"), F.array_join(F.transform("enemies", pairs), ";").alias("enemies"), "found")

@@ -131,6 +131,20 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("relation").parquet(f"{path}/edges")
 
 
+def write_graph_tables(nodes: DataFrame, edges: DataFrame, name: str, path: str, buckets: int = 64) -> dict[str, str]:
+    """Tables under path, known to the session by the names that are returned: nodes in buckets of node_id, out and in edges in buckets of src and dst, so a hop joins
+    them without shuffling an edge, and stats: what (node or edge), kind, n and, on the rows without a kind, all of them."""
+    names = {k: f"{name}_{k}" for k in ("nodes", "out", "in", "stats")}
+    for df, part, key in ((nodes, "nodes", "node_id"), (edges, "out", "src"), (edges, "in", "dst")):
+        df.write.mode("overwrite").option("path", f"{path}/{part}").bucketBy(buckets, key).sortBy(key).saveAsTable(names[part])
+    spark = nodes.sparkSession
+    counted = [spark.table(names[part]).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n") for part, kind, what in (("nodes", "kind", "node"), ("out", "relation", "edge"))]
+    stats = counted[0].unionByName(counted[1])
+    stats = stats.unionByName(stats.groupBy("what").agg(F.sum("n").alias("n")).select("what", F.lit(None).cast("string").alias("kind"), "n"))
+    stats.write.mode("overwrite").option("path", f"{path}/stats").saveAsTable(names["stats"])
+    return names
+
+
 def not_done(wanted: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key has no output yet."""
     return wanted if done is None else wanted.join(done.select(key).distinct(), key, "left_anti")

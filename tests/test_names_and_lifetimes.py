@@ -84,3 +84,26 @@ def test_reasons(spark):
     assert "前排" in curation.examples(jobs.withColumn("actions", F.slice("actions", 4, 1)), stages, operators).first().answer
     assert "破甲：碎骨" in curation.examples(jobs, stages.withColumn("enemies", F.transform("enemies", lambda e: F.struct(e["name"].alias("name"), F.lit("1,500").alias("defense")))), operators).filter("idx = 2").first().answer
     assert curation.examples(jobs, stages, operators.drop("skills")).count() == 8
+
+
+def test_quantiles_and_places_keep_all_columns(spark, monkeypatch):
+    import numpy as np
+
+    from plinth.functions import ordering
+    from plinth.operators import lookup
+
+    monkeypatch.setattr(ordering, "RANGE", 37)
+    rng = random.Random(12)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(20)), rng.random()])) for _ in range(400)] + [("one", 5.0), ("none", None)]
+    got = {r.g: r for r in ordering.exact_quantiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", {"low": 0.0, "mid": 0.5, "high": 0.95, "top": 1.0}).collect()}
+    for g in ("a", "b", None, "one"):
+        x = [v for k, v in data if k == g and v is not None]
+        assert got[g].n == len(x) and np.allclose([got[g][c] for c in ("low", "mid", "high", "top")], np.quantile(x, [0, 0.5, 0.95, 1]))
+    assert "none" not in got
+    rows = spark.createDataFrame([(i, f"k{i}", f"r{i}", f"a{i}") for i in range(200)], "id int, _key string, range string, at string").repartition(3)
+    out = ordering.running(ordering.placed(rows, -F.col("id")), "place", F.lit(2))
+    assert all((r["_key"], r.range, r["at"], r.place, r.running) == (f"k{r.id}", f"r{r.id}", f"a{r.id}", 200 - r.id, 2 * (200 - r.id)) for r in out.collect())
+    skills = spark.createDataFrame([("p", 1, "fire"), ("p", 0, "ice storm")], "page string, ord int, skill string")
+    asked = spark.createDataFrame([(1, "p", "ice"), (2, "p", "none"), (3, "q", "x")], "req_id int, page string, skill_name string")
+    assert {r.req_id: (r.skill, r.message) for r in lookup.skill_lookup(asked, skills).collect()} == {1: ("ice storm", ""), 2: (None, "available: ice storm、fire"), 3: (None, "available: ")}
+
