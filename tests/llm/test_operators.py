@@ -126,6 +126,26 @@ def test_planted_random_strings():
     assert secrets.random_spans("aws_secret_access_key = \"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY\"", path)
 
 
+def test_random_strings_by_alphabet():
+    """What README states: 200 random strings for each alphabet and length, found whole."""
+    import string
+
+    rng, path = random.Random(4), secrets.default_vocabulary()
+
+    def found(letters, length):
+        runs = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(200)]
+        texts = [f"the quick token = {run} over it" for run in runs]
+        return sum(any(t[s:e] == run for s, _, e in secrets.random_spans(t, path)) for t, run in zip(texts, runs)) / 200
+
+    base62 = string.ascii_letters + string.digits
+    for letters in (base62, base62 + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567"):
+        assert all(found(letters, n) >= 0.95 for n in (16, 20, 24, 32, 40))
+    assert all(found("0123456789abcdef", n) >= 0.65 for n in (16, 20, 24)) and found("0123456789abcdef", 32) == found("0123456789abcdef", 40) == 0  # those are digests
+    assert found(string.ascii_lowercase, 32) == found(string.ascii_uppercase, 32) == 0  # one case alone is left out
+    plain = ["getElementsByClassName", "snake_case_identifier_here", "/usr/share/python3/dist-packages", "2024-01-01T10-20-30", "0b5e6a1c-7d4e-4f52-9a8d-111213141516", "d41d8cd98f00b204e9800998ecf8427e", "internationalization", "HTTP_STATUS_CODE_NOT_FOUND", "org-apache-spark-sql-functions", "x" * 40]
+    assert [t for t in plain if secrets.random_spans(f"see {t} there", path)] == []
+
+
 def test_quality_equals_the_formula(spark, small):
     """Scores from numpy's covariances, inverses and determinants, without factors or sums."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
