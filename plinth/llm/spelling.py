@@ -4,7 +4,8 @@
 2. The trie is a table of edges (side, parent, letter, child), where a node is a prefix. One edit leaves the first or the last half of a word as it is, so
    there are two sides, words and words turned round, and a word enters each at its half. Entering deep, no node near the root meets all words.
 3. Where a word leaves its own path the edit is spent: another letter in place of its own or before it (a join with the edges of the node), or its own
-   letter left out. A child below which no word of the fitting length lies is not entered.
+   letter left out. A child is not entered if no word
+   of the fitting length, or none with the word's next letter, lies below it.
 4. States (word, position, node) whose edit is spent go on level by level: a join with the edges of the level by node and next letter. States at the end of
    their word whose node is a word are its neighbours.
 5. A word's form is its most frequent neighbour, if that is FREQUENT times as frequent; roots follow forms by pointer doubling, as counts at least double.
@@ -19,6 +20,7 @@ are whole; an empty table gives no rows; only doc_id and text are read, whatever
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, small, written
+from plinth.llm.common import checkpoint_dir, column, released, small, written
 from plinth.llm.decontam import powers
 
 RUN = r"([A-Za-zÀ-ÿ]+)"
@@ -62,11 +64,21 @@ def _letter(word: str, at: Column) -> Column:
 
 
 def edges_of(sides: DataFrame) -> DataFrame:
-    """side, depth (of the parent), parent, letter, child, and the least and greatest length of the words below the child. sides: side, word. A word is also
-    met by words one letter shorter, which enter at their half."""
+    """side, depth (of the parent), parent, letter, child, the least and greatest length of the words below the child, and next, bits of the letters that go on from
+    it. sides: side, word. A word is also met by words one letter shorter, which enter at their half."""
     d = F.explode(F.sequence(F.floor((F.length("word") - 1) / 2).cast("int"), F.length("word") - 1)).alias("depth")
-    e = sides.select("side", "word", d).select("side", "depth", F.substring("word", F.lit(1), F.col("depth")).alias("parent"), _letter("word", F.col("depth")).alias("letter"), F.substring("word", F.lit(1), F.col("depth") + 1).alias("child"), F.length("word").alias("length"))
-    return e.groupBy("side", "depth", "parent", "letter", "child").agg(F.min("length").alias("least"), F.max("length").alias("most"))
+    e = sides.select("side", "word", d).select("side", "depth", F.substring("word", F.lit(1), F.col("depth")).alias("parent"), _letter("word", F.col("depth")).alias("letter"), F.substring("word", F.lit(1), F.col("depth") + 1).alias("child"), F.length("word").alias("length"), _bit(_letter("word", F.col("depth") + 1)).alias("bit"))
+    return e.groupBy("side", "depth", "parent", "letter", "child").agg(F.min("length").alias("least"), F.max("length").alias("most"), F.bit_or("bit").alias("next"))
+
+
+def _bit(letter: Column) -> Column:
+    """One of 64 bits for a letter, none for no letter. Letters may share one."""
+    return F.when(letter == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(letter) % 64))
+
+
+def _goes_on(pos: Column) -> Column:
+    """Whether the child of an edge is a word where the state's word ends, or can have its next letter below it."""
+    return F.when(pos == F.length("word"), F.col("least") == F.length("child")).otherwise(F.col("next").bitwiseAND(_bit(_letter("word", pos))) != 0)
 
 
 def _fits(reach: Column) -> Column:
@@ -83,24 +95,32 @@ def spent(sides: DataFrame, edges: DataFrame) -> DataFrame:
     out = out.select("side", "word", (F.col("pos") + 1).alias("pos"), "node", F.col("pos").alias("depth"), (n - 1).alias("reach"))
     met = own.join(edges.withColumnRenamed("side", "e_side"), (F.col("side") == F.col("e_side")) & (F.col("node") == F.col("parent")) & (F.col("letter") != _letter("word", F.col("pos"))))
     kinds = F.array(F.struct(F.lit(1).alias("eats"), n.alias("reach")), F.struct(F.lit(0).alias("eats"), (n + 1).alias("reach")))
-    met = met.withColumn("kind", F.explode(kinds)).filter(_fits(F.col("kind.reach")) & (F.col("pos") + F.col("kind.eats") <= n))
+    met = met.withColumn("kind", F.explode(kinds)).filter(_fits(F.col("kind.reach")) & (F.col("pos") + F.col("kind.eats") <= n) & _goes_on(F.col("pos") + F.col("kind.eats")))
     return out.unionByName(met.select("side", "word", (F.col("pos") + F.col("kind.eats")).alias("pos"), F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("kind.reach").alias("reach")))
 
 
+def _in_folders(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df, written in folders by some columns, so that a level reads only its own."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with released(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.select(*[c for c in df.columns if c not in by], *by).schema).parquet(path)
+
+
 def frontier(words: DataFrame) -> DataFrame:
     """word, other: pairs, both ways, of words (column word) below LONG letters that one edit turns into each other."""
     both = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("word"))))
     sides = written(words.filter(F.length("word") < LONG).select(both.alias("s")).select("s.*"), "sides")
-    edges = written(edges_of(sides).repartition("depth", "parent"), "edges")
-    start = written(spent(sides, edges), "spent")
+    edges = _in_folders(edges_of(sides), "edges", "depth")
+    start = _in_folders(spent(sides, edges).withColumn("done", F.col("pos") == F.length("word")), "spent", "done", "depth")
     depths = start.agg(F.min("depth"), F.max("reach")).first()
-    ended = start.filter(F.col("pos") == F.length("word")).select("side", "word", "node")
+    ended = start.filter("done").select("side", "word", "node")
     carried = None
     for depth in range(depths[0] or 0, depths[1] or 0):
-        states = start.filter((F.col("depth") == depth) & (F.col("pos") < F.length("word"))).select("side", "word", "pos", "node", "reach")
+        states = start.filter(~F.col("done") & (F.col("depth") == depth)).select("side", "word", "pos", "node", "reach")
         states = states if carried is None else states.unionByName(carried)
-        step = edges.filter(F.col("depth") == depth).select(F.col("side").alias("e_side"), "parent", "letter", "child", "least", "most")
-        went = states.join(step, (F.col("side") == F.col("e_side")) & (F.col("node") == F.col("parent")) & (_letter("word", F.col("pos")) == F.col("letter"))).filter(_fits(F.col("reach")))
+        step = edges.filter(F.col("depth") == depth).select(F.col("side").alias("e_side"), "parent", "letter", "child", "least", "most", "next")
+        went = states.join(step, (F.col("side") == F.col("e_side")) & (F.col("node") == F.col("parent")) & (_letter("word", F.col("pos")) == F.col("letter"))).filter(_fits(F.col("reach")) & _goes_on(F.col("pos") + 1))
         went = written(went.select("side", "word", (F.col("pos") + 1).alias("pos"), F.col("child").alias("node"), "reach"), f"level-{depth}")
         ended = ended.unionByName(went.filter(F.col("pos") == F.length("word")).select("side", "word", "node"))
         carried = went.filter(F.col("pos") < F.length("word"))
