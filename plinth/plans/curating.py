@@ -155,6 +155,39 @@ def example_audit(t: Tables) -> DataFrame:
     return curation.tag_counts(tagged, "conv_id").filter(F.startswith("tag", F.lit("question"))).select("tag", "n")
 
 
+#: Ways to spoil a good example, by number, and the tags that the audit then gives.
+_SPOILT = {
+    0: [], 1: ["question_empty"], 2: ["question_head"], 3: ["question_short"], 4: ["answer_empty", "deploy_name_missing"], 5: ["answer_head", "head_differs"], 6: ["answer_no_reasons"], 7: ["answer_no_note"], 8: ["answer_no_numbering"],
+    9: ["meta_missing"], 10: ["meta_action"], 11: ["head_differs", "skill_no_operator"], 12: ["meta_no_stage"], 13: ["meta_no_job", "meta_no_index"], 14: ["meta_no_kills"], 15: ["deploy_no_operator"], 16: ["deploy_location"], 17: ["deploy_direction"],
+    18: ["deploy_name_missing"], 19: ["deploy_facing"], 20: ["retreat_no_target"], 21: ["retreat_name_missing"], 22: ["evidence_empty"], 23: ["evidence_label", "evidence_action"], 24: ["evidence_rationale"],
+}
+
+
+@query("select tag, count(*) as n from events join (values " + ", ".join(f"({v}, '{x}')" for v, tags in _SPOILT.items() for x in tags) + ") w(v, tag) on event_id % 25 = v group by tag")
+def example_audit_tags(t: Tables) -> DataFrame:
+    """Every tag of the audit: events as good examples, each spoilt in the way of its number."""
+    v = F.col("event_id") % 25
+    pick = lambda good, **ways: F.coalesce(*[F.when(v == int(k[1:]), x) for k, x in ways.items()], good)
+    name, reasons = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("\n理由：\n1) so\n" + curation.NOTE)
+    deploy = F.concat(F.lit("deploy "), name, F.lit(" at (1,2) facing 上"), reasons)
+    question = pick(F.concat(F.lit("[关卡] 3-8 "), F.col("event_type")), _1=F.lit(" "), _2=F.lit("stage 3-8 and more"), _3=F.lit("[关卡] 1"))
+    answer = pick(
+        deploy, _4=F.lit(""), _5=F.concat(F.lit("put "), name, reasons), _6=F.concat(F.lit("deploy "), name, F.lit("\n1) so" + curation.NOTE)), _7=F.concat(F.lit("deploy "), name, F.lit("\n理由：\n1) so")), _8=F.concat(F.lit("deploy "), name, F.lit("\n理由：so" + curation.NOTE)),
+        _18=F.concat(F.lit("deploy it"), reasons), _20=F.concat(F.lit("retreat it"), reasons), _21=F.concat(F.lit("retreat it"), reasons),
+    )
+    action = pick(F.lit("deploy"), _10=F.lit("jump"), _11=F.lit("skill"), _20=F.lit("retreat"), _21=F.lit("retreat"))
+    operator = F.when(~v.isin(11, 15, 20), name)
+    good = F.create_map(F.lit("action"), F.lit(curation.EVIDENCE["action"]), F.lit("rationale"), F.lit(curation.EVIDENCE["rationale"]))
+    other = F.create_map(F.lit("action"), F.lit("guess"), F.lit("rationale"), F.lit(curation.EVIDENCE["rationale"]))
+    evidence = pick(good, _22=F.create_map().cast("map<string,string>"), _23=other, _24=F.create_map(F.lit("action"), F.lit(curation.EVIDENCE["action"])))
+    meta = F.struct(
+        F.when(v != 12, "3-8").alias("stage"), F.when(v != 13, "job").alias("source_job"), F.when(v != 13, 0).alias("index"), action.alias("action"), F.when(v != 14, 1).alias("kills"), operator.alias("operator"),
+        F.when(~v.isin(16, 20), F.array(F.lit(1), F.lit(2))).alias("location"), F.when(v == 17, "斜").when(v != 19, "上").alias("direction"), evidence.alias("evidence"),
+    )
+    rows = t.events.select("event_id", question.alias("question"), answer.alias("answer"), F.when(v != 9, meta).alias("meta"))
+    return curation.tag_counts(curation.audit_tags(rows), "event_id").select("tag", "n")
+
+
 @query("select 'text' as what, count(*) as n, min(length(text)) as shortest, round(avg(length(text)), 1) as mean, max(length(text)) as longest from conversations union all select 'role', count(*), min(length(role)), round(avg(length(role)), 1), max(length(role)) from conversations")
 def length_stats(t: Tables) -> DataFrame:
     return curation.length_stats(t.conversations, ["text", "role"])
@@ -179,12 +212,26 @@ def turns(t: Tables) -> DataFrame:
     return q.select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"])
 
 
-@query()
+_IDS = "list_transform(" + _TOKENS + ", lambda w: ('0x' || md5(w)[:8])::bigint % 49990 + 10)"
+_TURNS = "select q.conv_id, q.turn, q.text as question, a.text as answer from conversations q join conversations a on q.conv_id = a.conv_id and a.turn = q.turn + 1 where q.role = 'user' and a.role = 'assistant'"
+
+
+@query(f"""
+with p as (select conv_id, turn, {_IDS.format('question')} as q, {_IDS.format('answer')} as a from ({_TURNS})),
+c as (
+  select conv_id, turn, case when len(q) + len(a) + 1 > 256 then q[: greatest(64, 256 - len(a) - 1)] else q end as q, case when len(q) + len(a) + 1 > 256 and 256 - len(a) - 1 < 64 then a[: 191] else a end as a from p)
+select conv_id, turn, md5(array_to_string(list_concat(list_concat(q, a), [151643]), ',')) as ids, len(q)::bigint as n_masked from c
+""")
 def pair_build(t: Tables) -> DataFrame:
     return curation.pair_tokens(turns(t), 256).select("conv_id", "turn", F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("n_masked"))
 
 
-@query()
+@query(f"""
+with p as (select conv_id, turn, {_IDS.format("'### 问题：' || chr(10) || trim(question, ' ') || chr(10) || '### 回答：' || chr(10)")} as p, list_append({_IDS.format("trim(answer, ' ')")}, 151643) as a from ({_TURNS})),
+c as (select *, least(len(p) + len(a) - 256, len(p)) as d from p),
+r as (select conv_id, turn, list_concat(case when d > 0 and len(p) > len(a) then p[d + 1 :] else p end, a)[: 256] as ids from c)
+select conv_id, turn, len(ids)::bigint as n, md5(array_to_string(ids, ',')) as ids from r
+""")
 def prompt_build(t: Tables) -> DataFrame:
     return curation.prompt_tokens(turns(t), 256).select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("ids"))
 
