@@ -90,7 +90,7 @@ def stream_presence(t: Tables) -> DataFrame:
 
 @query("select event_id % 1000 as id, max(event_id) as batch from events group by 1")
 def stream_dedup_upsert(t: Tables) -> DataFrame:
-    """Micro-batches upserted into a versioned table."""
+    """Micro-batches upserted into a table in buckets."""
     from plinth.sources.writers import read_table
 
     out = scratch(t)
