@@ -78,14 +78,20 @@ def enemy_rules(enemies: DataFrame, thresholds: dict[str, float] | None = None)
 
 
 def counters(rules: DataFrame, signals: DataFrame, matchers: list[tuple] = MATCHERS) -> DataFrame:
-    """page, rule, name, basis, weight, reason: the first matcher of the rule whose signal the operator has. The theta join is an equi-join on the
-    signal's name: operators are unpivoted to the signals they have."""
-    spark = rules.sparkSession
+    """page, rule, name, basis, weight, reason: every enemy of a rule with every operator that answers it. There are only a few rules, so the enemies are spread over all
+    tasks first."""
+    from plinth.operators import classes
+
+    return classes.spread(rules, "page").join(classes.small(operator_answers(signals, matchers)), "rule").select("page", "rule", "name", "basis", "weight", "reason")
+
+
+def operator_answers(signals: DataFrame, matchers: list[tuple] = MATCHERS) -> DataFrame:
+    """name, rule, basis, weight: the first matcher of the rule whose signal the operator has. The theta join is an equi-join on the signal's name: operators are
+    unpivoted to the signals they have."""
+    spark = signals.sparkSession
     table = F.broadcast(spark.createDataFrame(matchers, "rule string, prio int, signal string, basis string, weight double"))  # as many rows as matchers
     have = signals.select("name", F.explode(F.array_compact(F.array(*[F.when(F.col(s), F.lit(s)) for s in SIGNALS]))).alias("signal"))
-    # Which rules an operator answers depends on rule and operator alone, so that is settled before enemies come in.
-    best = have.join(table, "signal").groupBy("name", "rule").agg(F.min_by(F.struct("basis", "weight"), "prio").alias("m"))
-    return rules.join(best, "rule").select("page", "rule", "name", "m.basis", "m.weight", "reason")
+    return have.join(table, "signal").groupBy("name", "rule").agg(F.min_by(F.struct("basis", "weight"), "prio").alias("m")).select("name", "rule", "m.basis", "m.weight")
 
 
 def contains_edges(stage_rows: DataFrame) -> DataFrame:
@@ -128,12 +134,20 @@ def node_table(signals: DataFrame, skills: DataFrame, enemies: DataFrame, stages
     return whole.select("node_id", "kind", "name", *[F.coalesce(c, F.lit(-1)).alias(c) for c in [*numbers, "hp"]], *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
+def has_skill_edges(skills: DataFrame) -> DataFrame:
+    return skills.filter("skill is not null").select(F.concat(F.lit("operator:"), "name").alias("src"), F.concat(F.lit("skill:"), "name", F.lit(":"), "skill").alias("dst"), F.lit("HAS_SKILL").alias("key"), F.lit("HAS_SKILL").alias("relation"), F.lit("fact").alias("evidence")).distinct()
+
+
+def counter_edges(counter: DataFrame) -> DataFrame:
+    return counter.select(F.concat(F.lit("operator:"), "name").alias("src"), F.concat(F.lit("enemy:"), "page").alias("dst"), F.col("rule").alias("key"), F.lit("COUNTERS").alias("relation"), F.lit("inferred").alias("evidence"), "rule", "weight", F.col("basis").alias("match_basis"), "reason")
+
+
 def edge_table(skills: DataFrame, contains: DataFrame, counter: DataFrame, recommended: DataFrame) -> DataFrame:
     """All edges, once for each (src, dst, key)."""
     op, enemy, stage = (lambda c: F.concat(F.lit("operator:"), c)), (lambda c: F.concat(F.lit("enemy:"), c)), (lambda c: F.concat(F.lit("stage:"), c))
-    has = skills.filter("skill is not null").select(op(F.col("name")).alias("src"), F.concat(F.lit("skill:"), "name", F.lit(":"), "skill").alias("dst"), F.lit("HAS_SKILL").alias("key"), F.lit("HAS_SKILL").alias("relation"), F.lit("fact").alias("evidence")).distinct()
+    has = has_skill_edges(skills)
     con = contains.select(stage(F.col("stage")).alias("src"), enemy(F.col("enemy")).alias("dst"), F.lit("CONTAINS_ENEMY").alias("key"), F.lit("CONTAINS_ENEMY").alias("relation"), F.lit("fact").alias("evidence"), "count", "level")
-    cou = counter.select(op(F.col("name")).alias("src"), enemy(F.col("page")).alias("dst"), F.col("rule").alias("key"), F.lit("COUNTERS").alias("relation"), F.lit("inferred").alias("evidence"), "rule", "weight", F.col("basis").alias("match_basis"), "reason")
+    cou = counter_edges(counter)
     rec = recommended.select(stage(F.col("stage")).alias("src"), op(F.col("name")).alias("dst"), F.lit("RECOMMENDS").alias("key"), F.lit("RECOMMENDS").alias("relation"), F.lit("inferred").alias("evidence"), "support", "score", "matched_enemies", "matched_rules")
     whole = has
     for p in (con, cou, rec):
@@ -200,19 +214,33 @@ def counter_heavy(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHO
 
 def node_detail(edges: DataFrame, cap: int = 200) -> DataFrame:
     """node_id, direction, neighbour, relation, key, pos, total, truncated: out edges, then in edges, `cap` of a node at most (a display's bound)."""
-    both = edges.select(F.col("src").alias("node_id"), F.lit(0).alias("dir"), F.col("dst").alias("neighbour"), "relation", "key").unionByName(edges.select(F.col("dst").alias("node_id"), F.lit(1).alias("dir"), F.col("src").alias("neighbour"), "relation", "key"))
-    total = both.groupBy("node_id").agg(F.count("*").alias("total"))
+    both = both_ways(edges)
+    return capped(both, both.groupBy("node_id").agg(F.count("*").alias("total")), cap)
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """node_id, dir (0 out, 1 in), neighbour, relation, key: each edge at both of its ends."""
+    return edges.select(F.col("src").alias("node_id"), F.lit(0).alias("dir"), F.col("dst").alias("neighbour"), "relation", "key").unionByName(edges.select(F.col("dst").alias("node_id"), F.lit(1).alias("dir"), F.col("src").alias("neighbour"), "relation", "key"))
+
+
+def capped(both: DataFrame, total: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` edges of each node, with its total. both: see both_ways; total: node_id, total."""
     w = Window.partitionBy("node_id").orderBy("dir", "relation", "neighbour", "key")
     shown = both.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= cap)
     return shown.join(total, "node_id").select("node_id", F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction"), "neighbour", "relation", "key", "pos", "total", (F.col("total") > cap).alias("truncated"))
 
 
 def node_view(nodes: DataFrame, edges: DataFrame, cap: int = 200) -> DataFrame:
-    """node_id, attrs (JSON of what is known of the node), total, truncated and neighbours (struct pos, direction, relation, key, node_id, kind, name; `cap` at most, a
-    display's bound) of every node, those without edges too."""
+    """view_of with the edges' own detail."""
+    return view_of(nodes, node_detail(edges, cap))
+
+
+def view_of(nodes: DataFrame, detail: DataFrame) -> DataFrame:
+    """node_id, attrs (JSON of what is known of the node), total, truncated and neighbours (struct pos, direction, relation, key, node_id, kind, name; as many as
+    detail has) of every node, those without edges too. detail: see node_detail."""
     known = F.to_json(F.struct(*[F.when(~F.col(c).cast("string").isin("", "-1", "-1.0"), F.col(c)).alias(c) for c in nodes.columns if c != "node_id"]))
     brief = nodes.select(F.col("node_id").alias("neighbour"), "kind", "name")
-    shown = node_detail(edges, cap).join(brief, "neighbour", "left")
+    shown = detail.join(brief, "neighbour", "left")
     entry = F.struct("pos", "direction", "relation", "key", F.col("neighbour").alias("node_id"), "kind", "name")
     per = shown.groupBy("node_id").agg(F.max("total").alias("total"), F.max("truncated").alias("truncated"), F.array_sort(F.collect_list(entry)).alias("neighbours"))
     out = nodes.select("node_id", known.alias("attrs")).join(per, "node_id", "left")
@@ -234,6 +262,12 @@ def stage_subgraph(edges: DataFrame, stages: DataFrame | None = None, cap: int =
     return e.withColumn("pos", F.row_number().over(w).cast("long")).withColumn("truncated", (F.col("relation") == "RECOMMENDS") & (n > cap)).filter((F.col("relation") != "RECOMMENDS") | (F.col("pos") <= cap)).select("stage", "dst", "relation", "pos", "truncated")
 
 
+def with_skills(operators: DataFrame, skills: DataFrame) -> DataFrame:
+    """operators with their skills, sorted. operators: name; skills: name, skill."""
+    per = skills.filter("skill is not null").groupBy("name").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
+    return operators.join(per, "name", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+
+
 def focus_subgraph(contains: DataFrame, counter: DataFrame, stars: DataFrame, top: int = 3, skills: DataFrame | None = None) -> DataFrame:
     """stage, enemy, name, weight, pos: for each enemy of a stage its `top` counters by the largest weight, then star. stars: name, star. With skills (name, skill) also
     each counter's skills, sorted."""
@@ -242,6 +276,5 @@ def focus_subgraph(contains: DataFrame, counter: DataFrame, stars: DataFrame, to
     kept = best.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= top)
     more = []
     if skills is not None:
-        kept = kept.join(skills.filter("skill is not null").groupBy("name").agg(F.array_sort(F.collect_set("skill")).alias("skills")), "name", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
-        more = ["skills"]
+        kept, more = with_skills(kept, skills), ["skills"]
     return contains.select("stage", F.col("enemy").alias("page")).join(kept, "page").select("stage", F.col("page").alias("enemy"), "name", "weight", "pos", *more)

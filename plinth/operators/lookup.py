@@ -72,16 +72,20 @@ def stage_lookup(requests: DataFrame, stages: DataFrame, renames: dict[str, str]
     return hit.select("req_id", "code", F.transform_keys(filled, lambda k, v: F.element_at(names, k)).alias("info"), foes.alias("enemies"), "found", F.lit("fact").alias("evidence"))
 
 
+def fits() -> Column:
+    """Whether a row's operator, class and star keep within its classes, min_star, max_star and exclude."""
+    star = F.nullif("star", F.lit(-1))
+    return (
+        (F.coalesce(F.size("classes"), F.lit(0)) <= 0) | F.array_contains("classes", F.col("class"))
+    ) & (F.col("min_star").isNull() | F.coalesce(star >= F.col("min_star"), F.lit(False))) & (F.col("max_star").isNull() | F.coalesce(star <= F.col("max_star"), F.lit(False))) & ~F.coalesce(F.array_contains("exclude", F.col("operator")), F.lit(False))
+
+
 def recommend(ranked: DataFrame, constraints: DataFrame) -> DataFrame:
     """req_id, stage, operator, score, rank: recommended operators of a request's stage within its constraints, in their order. An unknown star fails a star bound. ranked: stage,
     operator, class, star, score, rank (see operators_for_stage); constraints: req_id, stage, classes, min_star, max_star, top_n, exclude."""
     both = constraints.join(ranked, "stage")
-    star = F.nullif("star", F.lit(-1))
-    fits = (
-        (F.coalesce(F.size("classes"), F.lit(0)) <= 0) | F.array_contains("classes", F.col("class"))
-    ) & (F.col("min_star").isNull() | F.coalesce(star >= F.col("min_star"), F.lit(False))) & (F.col("max_star").isNull() | F.coalesce(star <= F.col("max_star"), F.lit(False))) & ~F.coalesce(F.array_contains("exclude", F.col("operator")), F.lit(False))
     w = Window.partitionBy("req_id").orderBy("rank")
-    return both.filter(fits).withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= F.coalesce("top_n", F.lit(TOP_N))).select("req_id", "stage", "operator", "score", F.col("pos").alias("rank"), F.lit("inferred").alias("evidence"))
+    return both.filter(fits()).withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= F.coalesce("top_n", F.lit(TOP_N))).select("req_id", "stage", "operator", "score", F.col("pos").alias("rank"), F.lit("inferred").alias("evidence"))
 
 
 def out_of_bounds(requests: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
