@@ -42,10 +42,14 @@ def operator_records(requests: DataFrame, pages: DataFrame) -> DataFrame:
 def skill_lookup(requests: DataFrame, skills: DataFrame) -> DataFrame:
     """req_id, skill, found, message: the exact name, else the first skill whose name holds the text or is held by it; a miss lists the names. requests: req_id, page, skill_name;
     skills: page, ord, skill."""
-    both = requests.join(skills, "page", "left")
-    q, s = F.trim("skill_name"), F.col("skill")
-    rank = F.when(s == q, 0).when(F.contains(s, q) | F.contains(q, s), 1)
-    found = both.groupBy("req_id", "page").agg(F.min_by(F.when(rank.isNotNull(), s), F.when(rank.isNotNull(), F.struct(rank.alias("r"), "ord"))).alias("skill"))
+    asked = requests.select("req_id", "page", F.trim("skill_name").alias("q"))
+    # Each different text of a page is looked for once, however many requests have it; an exact name is an equi-join, and only the others meet the page's names.
+    texts = asked.filter("page is not null and q is not null").select("page", "q").distinct()
+    best = F.min(F.struct(F.col("r"), F.col("ord"), F.col("skill"))).alias("hit")
+    exact = texts.join(skills.withColumnRenamed("skill", "q"), ["page", "q"]).select("page", "q", F.lit(0).alias("r"), "ord", F.col("q").alias("skill")).groupBy("page", "q").agg(best)
+    others = texts.join(exact, ["page", "q"], "left_anti").join(skills, "page").filter(F.contains("skill", F.col("q")) | F.contains("q", F.col("skill")))
+    hits = exact.unionByName(others.withColumn("r", F.lit(1)).groupBy("page", "q").agg(best))
+    found = asked.join(hits, ["page", "q"], "left").groupBy("req_id", "page").agg(F.min("hit").alias("hit")).select("req_id", "page", "hit.skill")
     # A page's names are put together once, not for each request.
     names = skills.filter("skill is not null").groupBy(F.col("page").alias("of")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda x: x.skill), "、").alias("names"))
     told = found.join(names, (F.col("page") == F.col("of")) & F.col("skill").isNull(), "left")

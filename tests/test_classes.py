@@ -56,3 +56,13 @@ def test_hop_tables_hold_no_pairs(spark):
     more, edges = classes.hop_tables(nodes, graph.contains_edges(rows), rules, answers)
     assert edges.count() == graph.contains_edges(rows).count() + rules.count() + answers.count()
     assert more.count() == nodes.count() + 3
+
+
+def test_a_text_meets_a_pages_names_once(spark):
+    """Requests that repeat a text don't each meet all names of the page."""
+    skills = spark.range(50).select(F.lit("p").alias("page"), F.col("id").alias("ord"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("skill"))
+    asked = spark.range(400).select(F.col("id").alias("req_id"), F.lit("p").alias("page"), F.when(F.col("id") % 2 == 0, F.lit(" n007 ")).otherwise("01").alias("skill_name"))
+    got = lookup.skill_lookup(asked, skills).groupBy("skill").count().collect()
+    assert {r.skill: r["count"] for r in got} == {"n007": 200, "n001": 200}
+    plan = lookup.skill_lookup(asked, skills)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Join" in line for line in plan.splitlines() if "Contains(" in line)  # a join of different texts, not an aggregate over requests
