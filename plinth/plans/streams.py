@@ -115,10 +115,11 @@ def stream_equals_batch(t: Tables) -> DataFrame:
 with e as (select user_id as series_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
 s as (select *, sum((before is null or ts - before > interval 1 hour)::int) over (partition by series_id order by ts rows unbounded preceding) as session from e),
 c as (select series_id, session, count(*) as n, max(ts) as last from s group by all)
-select series_id, n, epoch_us(last) // 1000 as last_ms from c where last + interval 1 hour <= (select max(ts) from events) - interval 10 minutes
+select series_id, n, epoch_us(last) // 1000 as last_ms from c where epoch_us(last) + 3600000000 <= (select epoch_us(max(ts)) // 1000 * 1000 from events) - 600000000
 """)
 def stream_silences(t: Tables) -> DataFrame:
-    """Users who had no event for an hour: event-time timers, as far as the watermark of the whole table comes."""
+    """Users who had no event for an hour: event-time timers, as far as the watermark of the whole table comes (the last event, in whole milliseconds, less ten
+    minutes)."""
     return run(t, live.silences(event_stream(t).select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts")), 3_600_000))
 
 

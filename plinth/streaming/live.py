@@ -219,10 +219,14 @@ def tail_jsonl(spark, path: str, schema: str, files: int = 100) -> DataFrame:
 
 
 class _Silence(StatefulProcessor):
-    """A value state (rows and last time) and an event-time timer that each later row puts off."""
+    """A value state (rows and last time, in microseconds) and an event-time timer that each later row puts off."""
 
     def __init__(self, gap_ms: int) -> None:
-        self.gap_ms = gap_ms
+        self.gap = 1000 * gap_ms
+
+    def timer(self, last: int) -> int:
+        """The first whole millisecond, as watermarks have, by which the gap has passed."""
+        return -(-(last + self.gap) // 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("state", "n long, last long")
@@ -230,22 +234,22 @@ class _Silence(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, last = self.state.get() if self.state.exists() else (0, None)
         before, ended = last, []
-        for at in sorted(int(x) for r in rows for x in r.at_ms):
-            if last is not None and at - last > self.gap_ms:
-                ended.append((*key, n, last))
+        for at in sorted(int(x) for r in rows for x in r.at_us):
+            if last is not None and at - last > self.gap:
+                ended.append((*key, n, last // 1000))
                 n = 0
             n, last = n + 1, at if last is None else max(at, last)
         if last != before:
             if before is not None:
-                self.handle.deleteTimer(before + self.gap_ms)
-            self.handle.registerTimer(last + self.gap_ms)
+                self.handle.deleteTimer(self.timer(before))
+            self.handle.registerTimer(self.timer(last))
         self.state.update((n, last))
         yield pd.DataFrame(ended, columns=["series_id", "n", "last_ms"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n, last = self.state.get()
         self.state.clear()
-        yield pd.DataFrame([(*key, n, last)], columns=["series_id", "n", "last_ms"])
+        yield pd.DataFrame([(*key, n, last // 1000)], columns=["series_id", "n", "last_ms"])
 
     def close(self) -> None:
         pass
@@ -254,7 +258,7 @@ class _Silence(StatefulProcessor):
 def silences(frames: DataFrame, gap_ms: int, late: str = LATE) -> DataFrame:
     """series_id, n (rows since it was last silent), last_ms: a row whenever a key has had none for gap_ms of event time. frames: series_id long, ts (a timestamp)."""
     use_rocksdb(frames.sparkSession)
-    timed = frames.withWatermark("ts", late).select("series_id", "ts", F.unix_millis("ts").alias("at_ms"))
+    timed = frames.withWatermark("ts", late).select("series_id", "ts", F.unix_micros("ts").alias("at_us"))
     return timed.groupBy("series_id").transformWithStateInPandas(_Silence(gap_ms), "series_id long, n long, last_ms long", "append", "EventTime")
 
 
