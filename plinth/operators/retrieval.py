@@ -8,15 +8,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plinth.functions.shared import kept
 from plinth.functions.text import named_in, words
 
 #: BM25's constants, the negative-idf floor's factor, and the constant of reciprocal ranks.
 K1, B, FLOOR, RRF = 1.5, 0.75, 0.25, 60
 #: Bytes of query vectors (8 a component) that are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
+#: Rows (query, term) of a set of queries, and bytes of its table of weights, that are sent to the tasks; a larger set is joined with the postings.
+SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
 
 
 def postings(chunks: DataFrame, tokens: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
@@ -44,6 +50,97 @@ def term_weights(table: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _sent(asked: DataFrame) -> pa.Table | None:
+    """asked (a row for each query and term), if its table of weights is small enough to be sent to the tasks and no id stands for queries of two types or lengths."""
+    rows = asked.limit(SENT_ROWS + 1).toArrow()
+    n, of_query = pc.count_distinct(rows["query_id"], mode="all").as_py(), [c for c in rows.column_names if c not in ("term", "w")]
+    plain = rows.group_by(of_query).aggregate([]).num_rows == n
+    return rows if plain and rows.num_rows <= SENT_ROWS and 8 * n * pc.count_distinct(rows["term"]).as_py() <= SENT_BYTES else None
+
+
+def _repeated(chunks: DataFrame) -> DataFrame | None:
+    """The ords that several chunks share; None, as is usual, if there are none."""
+    many = chunks.groupBy("ord").agg(F.count("*").alias("n")).filter("n > 1").select("ord")
+    return None if many.isEmpty() else many
+
+
+def _best_in_tasks(rows: DataFrame, sent: pa.Table, most: int, digits: int, part: Callable | None = None) -> DataFrame:
+    """query_id, ord, raw: each task's `most` best rows of every query, by the score rounded to `digits`, then ord. No posting is shuffled: a row's words become a row of a matrix
+    of words, which is multiplied by the queries' weights.
+
+    rows: ord, type, t (words), each ord once. sent: query_id, term, w; with doc_type the queries meet rows of that type alone, if it is not null; with ql the sum is
+    divided by the root of ql times the row's words. part(tf, len): what a word adds, its tf if not given."""
+    spark = rows.sparkSession
+    asked, terms = pc.dictionary_encode(sent["query_id"].combine_chunks(), null_encoding="encode"), pc.dictionary_encode(sent["term"].combine_chunks())
+    ids, of = asked.dictionary, asked.indices.to_numpy()
+    w = np.zeros((len(terms.dictionary), len(ids)))
+    np.add.at(w, (terms.indices.to_numpy(), of), sent["w"].to_numpy())
+    first = np.unique(of, return_index=True)[1]
+    ql = sent["ql"].to_numpy()[first] if "ql" in sent.column_names else None
+    kinds = sent["doc_type"].combine_chunks().take(pa.array(first)) if "doc_type" in sent.column_names else None
+    table = spark.sparkContext.broadcast((ids, terms.dictionary, w, ql, kinds))
+    slab = max(1, min(1024, (16 << 20) // (8 * max(w.shape))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, w, ql, kinds = table.value
+        key, raw, ord = np.full((len(ids), most), -1.0), np.zeros((len(ids), most)), np.full((len(ids), most), np.iinfo(np.int64).max)
+        for b in batches:
+            for i in range(0, b.num_rows, slab):
+                some = b.slice(i, slab)
+                n, t = some.num_rows, some.column(2)
+                length = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False)
+                at = pc.fill_null(pc.index_in(t.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                cells = (np.repeat(np.arange(n), length) * len(terms) + at)[at >= 0]
+                tf = np.bincount(cells, minlength=n * len(terms))
+                there = np.flatnonzero(tf)
+                x = np.zeros(tf.shape)
+                x[there] = tf[there] if part is None else part(tf[there], length[there // len(terms)])
+                s = (x.reshape(n, len(terms)) @ w).T
+                if ql is not None:
+                    s = np.divide(s, np.sqrt((ql[:, None] * length[None]).astype(float)), out=np.zeros_like(s), where=length[None] > 0)
+                if kinds is not None:
+                    values = pc.unique(pc.drop_null(kinds))
+                    want, have = (pc.fill_null(pc.index_in(c, value_set=values), -1).to_numpy(zero_copy_only=False) for c in (kinds, some.column(1)))
+                    s[(want[:, None] >= 0) & (want[:, None] != have[None])] = 0.0
+                # Rounded halves up, as F.round does.
+                near = np.where(s > 0, np.floor(s * 10.0**digits + 0.5 + 1e-11) / 10.0**digits, -1.0)
+                hot = np.flatnonzero((near.max(1) >= key[:, -1]) & (near.max(1) >= 0))
+                o = pc.fill_null(some.column(0), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                k, r, o = np.hstack([key[hot], near[hot]]), np.hstack([raw[hot], s[hot]]), np.hstack([ord[hot], np.broadcast_to(o, (len(hot), n))])
+                order = np.lexsort((o, -k), axis=1)[:, :most]
+                key[hot], raw[hot], ord[hot] = (np.take_along_axis(c, order, 1) for c in (k, r, o))
+        q, at = np.nonzero(key >= 0)
+        o = ord[q, at]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(o, mask=o == np.iinfo(np.int64).min), pa.array(raw[q, at])], ["query_id", "ord", "raw"])
+
+    kind = T.StructType([T.StructField("query_id", _spark_type(ids.type)), T.StructField("ord", T.LongType()), T.StructField("raw", T.DoubleType())])
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("type").cast("string").alias("type"), "t").mapInArrow(run, kind)
+
+
+def _spark_type(kind: pa.DataType) -> T.DataType:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind)
+
+
+def _scores(chunks: DataFrame, asked: DataFrame, most: int, digits: int, tokens: Callable[[Column], Column], part: Callable | None, joined: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, ord, raw of at least the `most` best chunks of each query. asked: see sent of _best_in_tasks. joined: the same from chunks by their postings, for sets of queries
+    that are too large to be sent and for chunks that share an ord, whose words count together. What the tasks found is written, as it is small and read several times."""
+    sent = _sent(asked)
+    if sent is None or not sent.num_rows:
+        return joined(chunks)
+    many = _repeated(chunks)
+    once = chunks if many is None else chunks.join(many, "ord", "left_anti")
+    rows = once.select("ord", "type", tokens(F.col("text")).alias("t"))
+    found = _best_in_tasks(rows, sent, most, digits, part)
+    found = found if many is None else found.unionByName(joined(chunks.join(many, "ord", "left_semi")))
+    return kept(found, "hits")
+
+
+def _bm25_part(avgdl: float | None) -> Callable:
+    return lambda tf, length: tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
+
+
 def save_index(chunks: DataFrame, path: str, tokens: Callable[[Column], Column] = words) -> tuple[int, int]:
     """Writes a corpus's postings, and its terms with their weights, as Parquet; chunks and postings written. Sorted by term, so a query's terms prune."""
     index = postings(chunks, tokens(F.col("text")))
@@ -62,20 +159,21 @@ def bm25(chunks: DataFrame | None, queries: DataFrame, k: int = 10, types: list[
     """query_id, ord, rank (from 0), score (4 places) of the k best chunks with a score above 0. Corpus statistics stay those of all chunks when types
     filter; a word that a query repeats counts as often; ties keep the corpus's order. queries: query_id, query. index: of load_index, instead of chunks.
 
-    The corpus is read once for the postings, of which only those of the queries' terms are counted, and three times for the term table's sizes, mean and weights; these run
-    side by side, which took less time at sf0.1 than writing that table first."""
+    The corpus is read twice: for the term table, which is written once, and for the scores, which each task sums up for its own chunks."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     if index is None:
         chosen = chunks if types is None else chunks.filter(F.col("type").isin(types))
-        found, weights = postings(chosen, tokens(F.col("text")), asked.select("term").distinct()), term_weights(term_table(chunks, tokens(F.col("text"))))
+        weighted = asked.join(term_weights(kept(term_table(chunks, tokens(F.col("text"))), "terms")), "term").withColumn("w", F.col("qtf") * F.col("idf"))
+        avgdl = weighted.select("avgdl").first()
+        joined = lambda some: postings(some, tokens(F.col("text")), asked.select("term").distinct()).join(weighted, "term").groupBy("query_id", "ord").agg(F.sum(part).alias("raw"))
+        scores = _scores(chosen, weighted.select("query_id", "term", "w"), k, 9, tokens, _bm25_part(avgdl and avgdl[0]), joined)
     else:
         found, weights = index
         found = found if types is None else found.filter(F.col("type").isin(types))
-    weighted = asked.join(weights, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scores = found.join(weighted, "term").groupBy("query_id", "ord").agg(F.sum(part).alias("raw")).filter("raw > 0")
+        scores = found.join(asked.join(weights, "term"), "term").groupBy("query_id", "ord").agg(F.sum(part).alias("raw"))
     w = Window.partitionBy("query_id").orderBy(F.round("raw", 9).desc(), "ord")
-    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), F.round("raw", 4).alias("score"))
+    return scores.filter("raw > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), F.round("raw", 4).alias("score"))
 
 
 def search_guide(chunks: DataFrame, requests: DataFrame, bounds: tuple[int, int] = (1, 20), tokens: Callable[[Column], Column] = words) -> DataFrame:
@@ -83,10 +181,16 @@ def search_guide(chunks: DataFrame, requests: DataFrame, bounds: tuple[int, int]
     that is blank or finds nothing has one row, found = false. requests: req_id, query, k, doc_type. Weights are those of the whole corpus."""
     wanted = requests.select("req_id", F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), F.coalesce("k", F.lit(5)))).alias("k"), "doc_type", "query")
     asked = wanted.select("req_id", "k", "doc_type", F.explode(tokens(F.col("query"))).alias("term")).groupBy("req_id", "k", "doc_type", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(term_weights(term_table(chunks, tokens(F.col("text")))), "term")
-    found = postings(chunks, tokens(F.col("text")), asked.select("term").distinct()).join(weighted, "term").filter("doc_type is null or type = doc_type")
+    weighted = asked.join(term_weights(kept(term_table(chunks, tokens(F.col("text"))), "terms")), "term").withColumn("w", F.col("qtf") * F.col("idf"))
+    avgdl = weighted.select("avgdl").first()
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scores = found.groupBy("req_id", "ord").agg(F.sum(part).alias("raw"), F.first("k").alias("k")).filter("raw > 0")
+
+    def joined(some: DataFrame) -> DataFrame:
+        found = postings(some, tokens(F.col("text")), asked.select("term").distinct()).join(weighted, "term").filter("doc_type is null or type = doc_type")
+        return found.groupBy("req_id", "ord").agg(F.sum(part).alias("raw")).select(F.col("req_id").alias("query_id"), "ord", "raw")
+
+    scores = _scores(chunks, weighted.select(F.col("req_id").alias("query_id"), "term", "w", "doc_type"), bounds[1], 9, tokens, _bm25_part(avgdl and avgdl[0]), joined)
+    scores = scores.filter("raw > 0").withColumnRenamed("query_id", "req_id").join(wanted.select("req_id", "k").groupBy("req_id").agg(F.first("k").alias("k")), "req_id")
     place = F.row_number().over(Window.partitionBy("req_id").orderBy(F.round("raw", 9).desc(), "ord"))
     best = scores.withColumn("place", place).filter(F.col("place") <= bounds[1]).filter("place <= k")
     best = best.select("req_id", (F.col("place") - 1).cast("long").alias("rank"), "ord", F.round("raw", 4).alias("score"))
@@ -96,9 +200,13 @@ def search_guide(chunks: DataFrame, requests: DataFrame, bounds: tuple[int, int]
 def token_overlap(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, ord, rank, score: chunk words among the query's, over the root of both lengths' product (4 places)."""
     asked = queries.select("query_id", words(F.col("query")).alias("q")).select("query_id", F.size("q").alias("ql"), F.explode(F.array_distinct("q")).alias("term"))
-    have = postings(chunks, terms=asked.select("term").distinct())
-    score = F.round(F.sum("tf") / F.sqrt(F.first("ql") * F.first("len")), 4)
-    scores = have.join(asked, "term").groupBy("query_id", "ord").agg(score.alias("score")).filter("score > 0")
+
+    def joined(some: DataFrame) -> DataFrame:
+        have = postings(some, terms=asked.select("term").distinct())
+        return have.join(asked, "term").groupBy("query_id", "ord").agg((F.sum("tf") / F.sqrt(F.first("ql") * F.first("len"))).alias("raw"))
+
+    scores = _scores(chunks, asked.select("query_id", "term", "ql", F.lit(1.0).alias("w")), k, 4, words, None, joined)
+    scores = scores.select("query_id", "ord", F.round("raw", 4).alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord")
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "ord", (F.col("place") - 1).cast("long").alias("rank"), "score")
 

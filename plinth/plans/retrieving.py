@@ -157,11 +157,12 @@ def names_in_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(found).cast("long").alias("n_names"), F.md5(F.array_join(found, ",")).alias("names"))
 
 
+def with_meta(t: Tables, hits: DataFrame) -> DataFrame:
+    return hits.join(chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content")), "ord").drop("ord")
+
+
 def two_paths(t: Tables) -> tuple[DataFrame, DataFrame]:
-    meta = chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content"))
-    a = retrieval.bm25(chunks(t), asked(t), 10).join(meta, "ord").drop("ord")
-    b = retrieval.token_overlap(chunks(t), asked(t), 10).join(meta, "ord").drop("ord")
-    return b, a
+    return with_meta(t, retrieval.token_overlap(chunks(t), asked(t), 10)), with_meta(t, retrieval.bm25(chunks(t), asked(t), 10))
 
 
 _PATHS = f"""
@@ -216,9 +217,8 @@ select query_id, content, score, degraded, rank from r where rank < 5
 """)
 def hybrid_fallback(t: Tables) -> DataFrame:
     """All queries; those that BM25 over German documents can't answer keep the other path's hits and scores."""
-    b, _ = two_paths(t)
-    meta = chunks(t).select("ord", "source", "type", F.col("ord").cast("string").alias("content"))
-    a = retrieval.bm25(chunks(t), asked(t), 10, types=["de"]).join(meta, "ord").drop("ord")
+    b = with_meta(t, retrieval.token_overlap(chunks(t), asked(t), 10))
+    a = with_meta(t, retrieval.bm25(chunks(t), asked(t), 10, types=["de"]))
     return retrieval.hybrid(b, a, asked(t), 5).select("query_id", "content", "score", "degraded", "rank")
 
 
