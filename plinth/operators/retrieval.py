@@ -21,6 +21,8 @@ from plinth.functions.text import named_in, words
 K1, B, FLOOR, RRF = 1.5, 0.75, 0.25, 60
 #: Bytes of query vectors (8 a component) that are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
+#: Queries whose scores a task has at a time.
+QUERIES = 256
 #: Rows (query, term) of a set of queries, and bytes of its table of weights, that are sent to the tasks; a larger set is joined with the postings.
 SENT_ROWS, SENT_BYTES = 500_000, 32 << 20
 
@@ -267,6 +269,21 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Colu
         ids, q = np.array([r.query_id for r in rows]), np.array([r.q for r in rows], float)
         sent = spark.sparkContext.broadcast((ids, q))
 
+        def first(q: np.ndarray, y: np.ndarray, c: np.ndarray, best: tuple | None) -> tuple:
+            """The k best of y and of those found before: scores and ids."""
+            s = q @ y.T
+            if metric == "cosine":
+                lengths = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((y * y).sum(1)))
+                s = np.divide(s, lengths, out=np.zeros_like(s), where=lengths > 0)
+            elif metric == "l2":
+                s = 1 - ((q * q).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * s)
+            s = np.round(s, 9)
+            found = np.broadcast_to(c, s.shape)
+            if best is not None:
+                s, found = np.hstack([best[0], s]), np.hstack([best[1], found])
+            order = np.lexsort((found, -s), axis=1)[:, :k]
+            return np.take_along_axis(s, order, 1), np.take_along_axis(found, order, 1)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
             best = None
@@ -277,21 +294,11 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Colu
                 cand = pdf.vec_id.to_numpy()
                 for a in range(0, len(cand), 2048):
                     y, c = x[a : a + 2048], cand[a : a + 2048]
-                    s = q @ y.T
-                    if metric == "cosine":
-                        lengths = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((y * y).sum(1)))
-                        s = np.divide(s, lengths, out=np.zeros_like(s), where=lengths > 0)
-                    elif metric == "l2":
-                        s = 1 - ((q * q).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * s)
-                    s = np.round(s, 9)
-                    ids2 = np.broadcast_to(c, s.shape)
-                    if best is not None:
-                        s, ids2 = np.hstack([best[0], s]), np.hstack([best[1], ids2])
-                    order = np.lexsort((ids2, -s), axis=1)[:, :k]
-                    best = np.take_along_axis(s, order, 1), np.take_along_axis(ids2, order, 1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": best[1].ravel(), "sim": best[0].ravel()})
+                    # Some queries at a time, so that a table of scores stays small however many queries were sent.
+                    best = [first(q[i : i + QUERIES], y, c, best and best[j]) for j, i in enumerate(range(0, len(q), QUERIES))]
+            for j, (sim, ids2) in enumerate(best or []):
+                asked_ids = ids[j * QUERIES : (j + 1) * QUERIES]
+                yield pd.DataFrame({"query_id": np.repeat(asked_ids, sim.shape[1]), "vec_id": ids2.ravel(), "sim": sim.ravel()})
 
         parts.append(chosen.mapInPandas(run, "query_id long, vec_id long, sim double"))
 

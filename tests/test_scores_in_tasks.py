@@ -37,3 +37,12 @@ def test_no_posting_is_shuffled(spark, docs):
     for hits in (retrieval.bm25(docs, asked, 2), retrieval.token_overlap(docs, asked, 2)):
         plan = hits._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "FileScan parquet" in plan
+
+
+def test_queries_in_small_groups(spark, monkeypatch):
+    """A task has the scores of some queries at a time; the rows are those of all queries at once."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5 - 2), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    asked = vectors.filter("vec_id < 11").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    whole = rows(retrieval.vector_top_k(vectors, asked, 4))
+    monkeypatch.setattr(retrieval, "QUERIES", 3)
+    assert rows(retrieval.vector_top_k(vectors, asked, 4)) == whole and len(whole) == 44
