@@ -136,7 +136,8 @@ def write_graph_tables(nodes: DataFrame, edges: DataFrame, name: str, path: str,
     them without shuffling an edge, and stats: what (node or edge), kind, n and, on the rows without a kind, all of them."""
     names = {k: f"{name}_{k}" for k in ("nodes", "out", "in", "stats")}
     for df, part, key in ((nodes, "nodes", "node_id"), (edges, "out", "src"), (edges, "in", "dst")):
-        df.write.mode("overwrite").option("path", f"{path}/{part}").bucketBy(buckets, key).sortBy(key).saveAsTable(names[part])
+        # Dealt by bucket first: one file for each bucket, not one for each bucket and task.
+        df.repartition(buckets, key).write.mode("overwrite").option("path", f"{path}/{part}").bucketBy(buckets, key).sortBy(key).saveAsTable(names[part])
     spark = nodes.sparkSession
     counted = [spark.table(names[part]).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n") for part, kind, what in (("nodes", "kind", "node"), ("out", "relation", "edge"))]
     stats = counted[0].unionByName(counted[1])

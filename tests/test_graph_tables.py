@@ -57,3 +57,11 @@ def test_focus_with_skills(spark):
     skills = spark.createDataFrame([("a", "k2"), ("a", "k1"), ("b", None)], "name string, skill string")
     got = graph.focus_subgraph(con, cou, stars, 2, skills).orderBy("pos").collect()
     assert [(r.name, r.weight, r.skills) for r in got] == [("a", 0.9, ["k1", "k2"]), ("b", 0.7, [])]
+
+
+def test_a_bucket_is_one_file(spark, tmp_path):
+    nodes, edges = frames(spark)
+    wide = spark.range(400).selectExpr("'operator:' || id as src", "'enemy:' || id % 7 as dst", "'COUNTERS' as relation", "'r1' as key").repartition(8)
+    writers.write_graph_tables(nodes, edges.unionByName(wide), "wide_graph", str(tmp_path / "w"), buckets=4)
+    for part in ("nodes", "out", "in"):
+        assert 0 < len(list((tmp_path / "w" / part).glob("part-*"))) <= 4
