@@ -15,7 +15,7 @@ Fingerprints that differ in few bits are found without comparing all pairs:
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; fewer words than a
 shingle make one shingle of all words; repeated rows get a row each; a row with a null doc_id gets its fingerprint's component and never names one, unless no
 row of the component has an id (then null). Whole texts count, repeats included; an empty table gives no rows. Other columns are never read,
-whatever their names. keep_one (in setdup) uses the same index at a wide radius to find what is similar by whole shingle sets.
+whatever their names. keep_one (in setdup) uses the same buckets and index, and the index at a wide radius beyond them.
 """
 
 from __future__ import annotations
@@ -259,4 +259,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def _dealt(buckets: DataFrame) -> DataFrame:
+    """Buckets as bucket_links needs them."""
     return buckets.repartition(F.col("bucket")).sortWithinPartitions("bucket")

@@ -1,19 +1,20 @@
 """Operator 7 at a similarity: documents whose word shingles have a Jaccard similarity of `share` or more are one group.
 
-Fingerprints at that similarity differ in some 10 of 64 bits, where the equal bit fields of neardup would be 4 bits long and tell nothing apart. So
-fingerprints are dealt to buckets by minima of the shingles' hashes instead; the Gray-order index searches the buckets at a wide radius, and what it
-finds is compared by whole shingle sets.
+Pigeonhole buckets of the fingerprints and their Gray-order index come first, as in neardup. Fingerprints at that similarity differ in some 10 of 64 bits, where the
+equal bit fields of neardup would be 4 bits long and tell nothing apart. So what its radius leaves apart is dealt to further buckets by minima of the shingles' hashes;
+the Gray-order index searches these at a wide radius. Whatever is found is compared by whole shingle sets.
 
 1. Documents with equal shingle sets are one class (its first row by doc_id speaks for it), so copies cost nothing further.
 2. A class has BANDS keys, each of ROWS minima of hashed shingles. Two sets of similarity s share a key with probability
    1 - (1 - s ** ROWS) ** BANDS: at 0.8 all but one pair in 900,000, above it fewer are missed.
-3. The class that shares most keys with others is a key's hub. Every class is compared with the hubs of its keys: a group of n near copies costs
-   some n comparisons.
-4. Keys whose classes still lie in different components go through the Gray-order index, in tiles of TILE classes: it drops whole groups of
+3. Classes whose fingerprints differ in neardup.RADIUS bits or less meet in a pigeonhole bucket, whose index gives a spanning forest of them; its pairs are compared.
+4. The class that shares most keys with others is a key's hub. Every class still in another component is compared with the hubs of its keys: a group of n near
+   copies costs some n comparisons.
+5. Keys whose classes still lie in different components go through the Gray-order index, in tiles of TILE classes: it drops whole groups of
    fingerprints beyond the radius. Of the pairs it leaves, those go whose shared shingles can't suffice (a shingle that no other class of these
    keys has is never shared), and those whose SKETCH minima agree in fewer than least_agreement places, four standard deviations below what the
    similarity gives. That rules out the pairs inside a large group of much edited copies without comparing their texts. The others are compared.
-5. A pair is linked only if the Jaccard similarity of its whole shingle sets is at least `share`, in whole numbers.
+6. A pair is linked only if the Jaccard similarity of its whole shingle sets is at least `share`, in whole numbers.
 
 Defined results: words are split at blanks, ASCII capitals lowered; fewer words than a shingle make one shingle of all words; null, empty and
 wordless texts are copies of each other; of a component the smallest doc_id stays, then the first row; null ids come last; an empty table gives no
@@ -187,18 +188,34 @@ def index_pairs(buckets: DataFrame, share: int = SHARE, radius: int = RADIUS) ->
     return buckets.select("bucket", "fp", "node", "root", "n", "s", "low").mapInArrow(run, "src long, dst long")
 
 
+def fingerprint_pairs(classes: DataFrame, share: int = SHARE) -> DataFrame:
+    """src, dst: pairs of classes (node, n, fp) of near fingerprints whose sizes allow the similarity: a spanning forest of each pigeonhole bucket's links, and each
+    class with the first one of its own fingerprint."""
+    fps = cut(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("c")))
+    near = cut(neardup.bucket_links(neardup._dealt(neardup.into_buckets(fps.select("fp")))).distinct())
+    of = lambda fp, node, n: fps.select(F.col("fp").alias(fp), F.col("c.node").alias(node), F.col("c.n").alias(n))
+    far = near.join(of("src", "node", "n"), "src").join(of("dst", "to", "m"), "dst").select("node", "n", "to", "m")
+    same = classes.select("node", "n", "fp").join(of("fp", "to", "m"), "fp").filter("node <> to").select("node", "n", "to", "m")
+    return _ordered(far.unionByName(same).filter(_in_reach(share)))
+
+
 def links(rows: DataFrame, classes: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """node, root for each class (node: the row that stands for it, n, fp, keys) that is linked to another. rows: numbered."""
     keys = classes.select("node", "n", "fp", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     keys = cut(keys.join(shared, "key"))  # keys of one class alone are gone
+    first = cut(fingerprint_pairs(classes, share))
     # Only these classes are ever compared: their texts are written once, in a table of their own.
-    texts = written(picked(plain(rows).select("_row", "text"), keys.select("node").distinct()), "texts")
+    compared = keys.select("node").unionByName(first.select(F.col("src").alias("node"))).unionByName(first.select(F.col("dst").alias("node")))
+    texts = written(picked(plain(rows).select("_row", "text"), compared.distinct()), "texts")
+    near = _linked(first, texts, shingle, share)
+    roots = cut(neardup.components(near))
     degree = cut(keys.groupBy("node").agg(F.sum("size").alias("degree")))
     hubs = cut(keys.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("hub")))
     star = keys.select("key", "node", "n").join(hubs, "key").select("node", "n", F.col("hub.node").alias("to"), F.col("hub.n").alias("m"))
-    star = cut(_ordered(star.filter("node <> to").filter(_in_reach(share))))
-    edges = _linked(star, texts, shingle, share)
+    star = _with_root(_with_root(star.filter("node <> to").filter(_in_reach(share)), "node", roots, "a"), "to", roots, "b").filter("a <> b")
+    star = cut(_ordered(star))
+    edges = near.unionByName(_linked(star, texts, shingle, share))
     roots = neardup.components(edges)
     placed = cut(_with_root(keys.filter("size > 2"), "node", roots, "root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
