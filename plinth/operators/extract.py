@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pages whose cells a task holds at once.
+PAGES = 256
 CELLS = "page_id long, title string, section string, table_no int, table_class string, row_no int, cell_no int, tag string, text string, italics array<string>"
 #: The fields of an enemy level, in order; a header becomes the first of these that it starts with.
 ENEMY_FIELDS = ["名称", "地位", "种类", "描述", "攻击方式", "行动方式", "生命自回速度", "最大生命值", "攻击力", "防御力", "法术抗性", "攻击半径", "重量", "移动速度", "攻击间隔", "元素抗性", "损伤抵抗", "基础嘲讽等级", "目标价值", "特性"]
@@ -107,13 +109,15 @@ def cells(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in CELLS.split(", ")]
         for pdf in batches:
-            out = []
-            for page, html in zip(pdf.page_id, pdf.html):
-                p = _Cells()
-                p.feed(html or "")
-                p.close()
-                out += [(page, *r) for r in p.rows]
-            yield pd.DataFrame(out, columns=names)
+            # A batch's cells are many times its pages, so they go on some pages at a time.
+            for a in range(0, len(pdf), PAGES):
+                some, out = pdf.iloc[a : a + PAGES], []
+                for page, html in zip(some.page_id, some.html):
+                    p = _Cells()
+                    p.feed(html or "")
+                    p.close()
+                    out += [(page, *r) for r in p.rows]
+                yield pd.DataFrame(out, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, CELLS)
 
