@@ -24,6 +24,8 @@ MATCHERS = [
 ]
 SIGNALS = ["is_caster", "is_physical_dps", "has_arts_or_true", "has_control"]
 THRESHOLDS = {"defense": 800.0, "resistance": 50.0, "speed": 2.0}
+#: Parts of the hashes of nodes, and the rows of a part beyond which its nodes are taken for hubs.
+HASH_PARTS, HUB = 1 << 16, 200_000
 
 
 def _holds(text: Column, found: list[str]) -> Column:
@@ -214,8 +216,7 @@ def counter_heavy(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHO
 
 def node_detail(edges: DataFrame, cap: int = 200) -> DataFrame:
     """node_id, direction, neighbour, relation, key, pos, total, truncated: out edges, then in edges, `cap` of a node at most (a display's bound)."""
-    both = both_ways(edges)
-    return capped(both, both.groupBy("node_id").agg(F.count("*").alias("total")), cap)
+    return capped(both_ways(edges).withColumn("n", F.lit(1).cast("long")), cap)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -223,11 +224,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node_id"), F.lit(0).alias("dir"), F.col("dst").alias("neighbour"), "relation", "key").unionByName(edges.select(F.col("dst").alias("node_id"), F.lit(1).alias("dir"), F.col("src").alias("neighbour"), "relation", "key"))
 
 
-def capped(both: DataFrame, total: DataFrame, cap: int) -> DataFrame:
-    """The first `cap` edges of each node, with its total. both: see both_ways; total: node_id, total."""
-    w = Window.partitionBy("node_id").orderBy("dir", "relation", "neighbour", "key")
-    shown = both.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= cap)
-    return shown.join(total, "node_id").select("node_id", F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction"), "neighbour", "relation", "key", "pos", "total", (F.col("total") > cap).alias("truncated"))
+def capped(both: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` edges of each node, with its total, the sum of n. both: see both_ways, and n, the edges that a row counts for.
+
+    A node's rows are shuffled and sorted once. Nodes whose part of the hashes has more than HUB rows are cut in the tasks that have their rows and counted there first, so
+    no task gets all rows of a hub. Ids start alike, so a hash that is sorted first tells nodes apart at once."""
+    both = both.select(F.xxhash64("node_id").alias("_h"), "node_id", "dir", "neighbour", "relation", "key", "n")
+    part = F.pmod("_h", F.lit(HASH_PARTS))
+    hubs = [r.part for r in both.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).filter(F.col("rows") > HUB).select("part").collect()]
+    node = Window.partitionBy("_h", "node_id")
+    pos = F.row_number().over(node.orderBy("dir", "relation", "neighbour", "key")).cast("long").alias("pos")
+    shown = ["_h", "node_id", "dir", "neighbour", "relation", "key"]
+    plain = both
+    if hubs:
+        hub = F.broadcast(both.sparkSession.createDataFrame([(x,) for x in hubs], "part long"))
+        plain, many = (both.withColumn("part", part).join(hub, "part", how).drop("part") for how in ("left_anti", "left_semi"))
+    found = plain.select(*shown, pos, F.sum("n").over(node).alias("total")).filter(F.col("pos") <= cap)
+    if hubs:
+        first = many.select(*shown, pos).filter(F.col("pos") <= cap)
+        found = found.unionByName(first.join(many.groupBy("_h", "node_id").agg(F.sum("n").alias("total")), ["_h", "node_id"]))
+    return found.select("node_id", F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction"), "neighbour", "relation", "key", "pos", "total", (F.col("total") > cap).alias("truncated"))
 
 
 def node_view(nodes: DataFrame, edges: DataFrame, cap: int = 200) -> DataFrame:
