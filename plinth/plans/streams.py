@@ -159,11 +159,12 @@ def jsonl_bad_lines(t: Tables) -> DataFrame:
 @query("select count(*) as files, count(*) as entities, true as same from customer")
 def entity_files(t: Tables) -> DataFrame:
     """A JSON file for each customer, by market segment, read back: as many files as customers, with the same rows."""
-    from plinth.sources import writers
+    from plinth.sources import readers, writers
 
     out = f"{scratch(t)}/entities"
     rows = t.customer.select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
     n = writers.write_entity_files(rows, out)
-    back = t.spark.read.schema("c_custkey long, title string, category string").option("recursiveFileLookup", "true").json(out).withColumn("file", F.col("_metadata.file_path"))
+    read = F.from_json("json", "c_custkey long, title string, category string").alias("r")
+    back = readers.entity_files(t.spark, out).select(read, F.struct("folder", "name").alias("file")).select("r.*", "file")
     same = back.join(rows.withColumnRenamed("c_custkey", "k"), (F.col("c_custkey") == F.col("k")) & (back.title == rows.title) & (back.category == rows.category), "left_semi").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
     return same.select("files", F.lit(n).cast("long").alias("entities"), (F.col("n") == n).alias("same"))

@@ -54,6 +54,21 @@ def entities_lenient(spark: SparkSession, path: str, schema, missing: str = "emp
     return df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT), df.filter(F.col(_CORRUPT).isNotNull()).select("stem", F.col(_CORRUPT).alias("raw"))
 
 
+def entity_files(spark: SparkSession, path: str) -> DataFrame:
+    """folder, name, json of the files that writers.write_entity_files wrote. Only the folders' names come to the driver: a folder is listed in a task, and its files are
+    dealt over all tasks, which open them themselves. So there is no plan with an entry for each file."""
+    from pyarrow import fs
+
+    from plinth.sources.entity_files import files_at, lister, reader
+
+    files, root = files_at(path)
+    there = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    folders = spark.createDataFrame([(x.base_name,) for x in there if x.type == fs.FileType.Directory and not x.base_name.startswith("_staging-")], "folder string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = folders.repartition(max(1, min(n, len(there)))).mapInArrow(lister(path), "folder string, name string")
+    return names.repartition(n, "folder", "name").mapInArrow(reader(path), "folder string, name string, json string")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, file and line (from 1) of each line of text files, however many splits a file is read in.
 

@@ -117,6 +117,8 @@ def write_entity_files(rows: DataFrame, path: str, title: str = "title", categor
     stays. A null category is `_`, a null or empty title `_`. path: a URI that pyarrow's file systems reach (a local or shared folder, or an object store)."""
     name = lambda c: F.coalesce(F.nullif(safe_name(F.col(f"`{c}`").cast("string")), F.lit("")), F.lit("_"))
     named = rows.select(name(category).alias("folder"), name(title).alias("name"), F.col(f"`{title}`").cast("string").alias("title"), F.to_json(F.struct("*")).alias("json"))
+    # Files take time, not bytes: rows are dealt over as many tasks as a shuffle has, however few bytes they are.
+    named = named.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "folder", "name")
     one = named.groupBy("folder", "name").agg(F.max_by("json", F.struct("title", "json")).alias("json"))
     spark = rows.sparkSession
     spark.dataSource.register(EntityFiles)
