@@ -21,16 +21,16 @@ def resolve_entity(requests: DataFrame, pages: DataFrame) -> DataFrame:
 def resolve_stage(requests: DataFrame, stages: DataFrame) -> DataFrame:
     """requests with code: an exact code (of repeats the last by ord), else an equal title, else the first title that starts with the text and a blank, which is
     a join on the title's first word. requests: req_id, name; stages: ord, code, title."""
-    asked = requests.withColumn("_q", F.trim("name"))
-    by_code = stages.groupBy(F.col("code").alias("k")).agg(F.max_by(F.struct("code", "title"), "ord").alias("a"))
-    by_title = stages.groupBy(F.col("title").alias("k")).agg(F.min_by(F.struct("code", "title"), "ord").alias("b"))
-    out = asked.join(by_code, F.col("_q") == F.col("k"), "left").drop("k").join(by_title, F.col("_q") == F.col("k"), "left").drop("k")
-    # "starts with the text and a blank": every prefix of a title that ends before a blank is a key.
-    heads = stages.select("ord", "code", "title", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("title", " "))), lambda i: F.array_join(F.slice(F.split("title", " "), 1, i), " "))).alias("k"), F.size(F.split("title", " ")).alias("n")).filter("k <> title")
-    by_head = heads.groupBy("k").agg(F.min_by(F.struct("code", "title"), "ord").alias("c"))
-    out = out.join(by_head, F.col("_q") == F.col("k"), "left")
-    hit = F.coalesce("a", "b", "c")
-    return out.select(*requests.columns, hit.code.alias("code"), hit.title.alias("title"), hit.isNotNull().alias("found"))
+    # A stage's keys are shuffled once, for one join: its code, its title and, for "starts with the text and a blank", every prefix of the title that ends before a blank.
+    split = F.split("title", " ")
+    heads = F.filter(F.transform(F.sequence(F.lit(1), F.size(split)), lambda i: F.array_join(F.slice(split, 1, i), " ")), lambda k: k != F.col("title"))
+    key = lambda k, tier: F.struct(k.alias("k"), F.lit(tier).alias("tier"))
+    heads = F.coalesce(F.transform(heads, lambda k: key(k, 2)), F.array().cast("array<struct<k:string,tier:int>>"))
+    names = stages.select("ord", "code", "title", F.explode(F.concat(F.array(key(F.col("code"), 0), key(F.col("title"), 1)), heads)).alias("a")).filter("a.k is not null")
+    of = lambda tier, pick: pick(F.when(F.col("a.tier") == tier, F.struct("code", "title")), F.when(F.col("a.tier") == tier, F.col("ord")))
+    best = names.groupBy(F.col("a.k").alias("k")).agg(F.coalesce(of(0, F.max_by), of(1, F.min_by), of(2, F.min_by)).alias("hit"))
+    out = requests.withColumn("_q", F.trim("name")).join(best, F.col("_q") == F.col("k"), "left")
+    return out.select(*requests.columns, F.col("hit.code").alias("code"), F.col("hit.title").alias("title"), F.col("hit").isNotNull().alias("found"))
 
 
 def operator_records(requests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -69,11 +69,13 @@ def enemy_lookup(requests: DataFrame, pages: DataFrame, keys: list[str]) -> Data
 
 def stage_lookup(requests: DataFrame, stages: DataFrame, renames: dict[str, str], stats: list[str]) -> DataFrame:
     """req_id, code, info (renamed filled entries), enemies (their filled stats), found. stages: ord, code, title, normal map, enemies array<map>."""
-    hit = resolve_stage(requests, stages.select("ord", "code", "title")).join(stages.groupBy("code").agg(F.max_by(F.struct("normal", "enemies"), "ord").alias("s")), "code", "left")
-    filled = F.map_filter("s.normal", lambda k, v: k.isin(list(renames)) & (F.coalesce(v, F.lit("")) != ""))
+    # Only what is shown of a stage is shuffled.
+    filled = F.map_filter("normal", lambda k, v: k.isin(list(renames)) & (F.coalesce(v, F.lit("")) != ""))
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
-    foes = F.transform("s.enemies", lambda m: F.map_filter(m, lambda k, v: k.isin(stats) & (F.coalesce(v, F.lit("")) != "")))
-    return hit.select("req_id", "code", F.transform_keys(filled, lambda k, v: F.element_at(names, k)).alias("info"), foes.alias("enemies"), "found", F.lit("fact").alias("evidence"))
+    foes = F.transform("enemies", lambda m: F.map_filter(m, lambda k, v: k.isin(stats) & (F.coalesce(v, F.lit("")) != "")))
+    shown = stages.select("code", "ord", F.transform_keys(filled, lambda k, v: F.element_at(names, k)).alias("info"), foes.alias("enemies"))
+    hit = resolve_stage(requests, stages.select("ord", "code", "title")).join(shown.groupBy("code").agg(F.max_by(F.struct("info", "enemies"), "ord").alias("s")), "code", "left")
+    return hit.select("req_id", "code", "s.info", "s.enemies", "found", F.lit("fact").alias("evidence"))
 
 
 def fits() -> Column:
