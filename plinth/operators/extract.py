@@ -144,8 +144,8 @@ def section(cell: DataFrame, name: str) -> DataFrame:
     return cell.filter(F.col("section") == name)
 
 
-def th_td_pairs(row: DataFrame, wide_header: str = "名称") -> DataFrame:
-    """page_id, section, table_no, pairs (map header -> value). A row with headers and values pairs them in order; a row of headers alone waits for the
+def th_td_pairs(row: DataFrame, wide_header: str = "名称", *also: Column) -> DataFrame:
+    """page_id, section, table_no, pairs (map header -> value), and what `also` sums up of a table's rows. A row with headers and values pairs them in order; a row of headers alone waits for the
     next row of values alone; a row with the wide header and more headers than values waits with all of them. Of a repeated header the last value
     stands, at the first one's place; empty headers name nothing."""
     of = lambda tag: F.transform(F.filter(F.arrays_zip("tags", "texts"), lambda x: x.tags == tag), lambda x: x.texts)
@@ -158,9 +158,9 @@ def th_td_pairs(row: DataFrame, wide_header: str = "名称") -> DataFrame:
     waiting = F.last(F.when(waits, F.col("th")).when(alone, none), ignorenulls=True).over(w)
     heads = F.when(alone, F.coalesce(waiting, none)).when(waits, none).otherwise(F.col("th"))
     pair = F.filter(F.transform(F.arrays_zip(heads.alias("h"), F.col("td").alias("v")), lambda x: F.struct(x.h.alias("k"), x.v.alias("v"))), lambda x: (x.k != "") & x.v.isNotNull())
-    flat = r.withColumn("pair", pair).groupBy("page_id", "section", "table_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "pair"))), lambda x: x["pair"])).alias("ps"))
+    flat = r.withColumn("pair", pair).groupBy("page_id", "section", "table_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "pair"))), lambda x: x["pair"])).alias("ps"), *also)
     last = F.transform(F.array_distinct(F.transform("ps", lambda p: p.k)), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("ps", lambda p: p.k == k), -1).v.alias("v")))
-    return flat.select("page_id", "section", "table_no", F.map_from_entries(last).alias("pairs"))
+    return flat.withColumn("pairs", F.map_from_entries(last)).drop("ps")
 
 
 def js_object(text: str | None, name: str) -> str:
@@ -246,12 +246,13 @@ def skills(row: DataFrame, name: str = "技能") -> DataFrame:
 
 
 def operator_records(pages: DataFrame, row: DataFrame) -> DataFrame:
-    """page_id, name, star_rating (the source counts from 0), and the record's trait, obtain, extra and growth attributes, and skills."""
+    """page_id, name, star_rating (the source counts from 0), and the record's trait, obtain, extra and growth attributes, and skills. Each part may be as long as the pages, which
+    no estimate knows behind the parser, so none is broadcast."""
     meta = embedded_objects(pages, "operator", "name string, star int, class string, branch string, pos string, tag string")
     base = meta.select("page_id", F.col("object.name").alias("name"), (F.col("object.star") + 1).alias("star_rating"), F.col("object").alias("meta"))
     listed = skills(row).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "name", "type", "levels"))), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x.levels.alias("levels"))).alias("skills"))
     for part in (traits(row), obtain(row), extra_attributes(row), growth(row), listed):
-        base = base.join(part, "page_id", "left")
+        base = base.join(part.hint("merge"), "page_id", "left")
     return base
 
 
@@ -264,16 +265,17 @@ def enemy_levels(row: DataFrame, fields: list[str] = ENEMY_FIELDS) -> DataFrame:
     """page_id, level, data (map field -> value), traits: the first table of a level's class with any pair, in sections `级别N`. Of headers that become one
     field the last counts. traits: the first filled trait field, else the italic texts of the table's last row, of its first cell that has any."""
     r = row.filter(F.col("section").rlike(r"^级别\d+$")).filter(F.col("table_class").rlike("|".join(LEVEL_TABLES)))
-    pairs = th_td_pairs(r).filter(F.size("pairs") > 0)
-    pairs = pairs.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id", "section"))).filter(F.col("table_no") == F.col("_first")).drop("_first")
-    e = pairs.select("page_id", "section", "table_no", F.posexplode(F.map_entries("pairs")).alias("pos", "e")).select("page_id", "section", "table_no", "pos", field_of(F.col("e.key"), fields).alias("f"), F.col("e.value").alias("v"))
-    one = e.groupBy("page_id", "section", "table_no", "f").agg(F.max_by("v", "pos").alias("v"))
-    g = one.groupBy("page_id", "section", "table_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("data"))
     slanted = F.filter(F.transform(F.arrays_zip("tags", "italics"), lambda x: F.when((x.tags == "td") & (F.size(x.italics) > 0), x.italics)), lambda x: x.isNotNull())
-    tail = r.groupBy("page_id", "section", "table_no").agg(F.max_by(F.get(slanted, F.lit(0)), "row_no").alias("slanted"))
+    # The italics go along with the pairs: a join of both would parse the pages twice and broadcast a row for each table.
+    pairs = th_td_pairs(r, "名称", F.max_by(F.get(slanted, F.lit(0)), "row_no").alias("slanted")).filter(F.size("pairs") > 0)
+    pairs = pairs.withColumn("_first", F.min("table_no").over(Window.partitionBy("page_id", "section"))).filter(F.col("table_no") == F.col("_first")).drop("_first")
+    table = ["page_id", "section", "table_no", "slanted"]
+    e = pairs.select(*table, F.posexplode(F.map_entries("pairs")).alias("pos", "e")).select(*table, "pos", field_of(F.col("e.key"), fields).alias("f"), F.col("e.value").alias("v"))
+    one = e.groupBy(*table, "f").agg(F.max_by("v", "pos").alias("v"))
+    g = one.groupBy(*table).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("data"))
     named = F.coalesce(*[F.nullif(F.try_element_at("data", F.lit(f)), F.lit("")) for f in TRAIT_FIELDS])
     found = F.when(named.isNotNull(), F.array(named)).otherwise(F.coalesce("slanted", F.array().cast("array<string>")))
-    return g.join(tail, ["page_id", "section", "table_no"]).select("page_id", F.regexp_extract("section", r"(\d+)", 1).cast("int").alias("level"), "data", found.alias("traits"))
+    return g.select("page_id", F.regexp_extract("section", r"(\d+)", 1).cast("int").alias("level"), "data", found.alias("traits"))
 
 
 def stage_cards(row: DataFrame) -> DataFrame:
